@@ -139,3 +139,73 @@ NA_LIST_SQL = sql_list(NA_STRINGS)
 
 def with_ctes(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
+
+
+# -- scoring and evaluation -------------------------------------------------
+
+def dbl(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def _shape(logit: str) -> str:
+    """Columns p0, p1 of the two-class softmax with FAKE logit 0."""
+    m = f"greatest(CAST(0 AS DOUBLE), {logit})"
+    e0, e1 = f"exp(CAST(0 AS DOUBLE) - {m})", f"exp({logit} - {m})"
+    return f"{e0} / ({e0} + {e1}) AS p0, {e1} / ({e0} + {e1}) AS p1"
+
+
+def _flat() -> str:
+    return ("CASE WHEN p1 > p0 THEN 'REAL' ELSE 'FAKE' END AS pred_label, "
+            "CAST(CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS INTEGER) AS pred_label_id, "
+            "round(greatest(p0, p1), 4) AS pred_confidence, round(p0, 4) AS prob_fake, "
+            "round(p1, 4) AS prob_real")
+
+
+def text_logit(cap: str, length: str) -> str:
+    from claimspark.operators.scoring import TEXT_RULE as R
+    return (f"{dbl(R['bias'])} + {dbl(R['capitalized_word_ratio'])} * {cap} "
+            f"+ {dbl(R['statement_len'])} * {length}")
+
+
+def credit_logit(rate: str) -> str:
+    from claimspark.operators.scoring import CREDIT_RULE as R
+    return f"{dbl(R['bias'])} + {dbl(R['speaker_lie_rate'])} * {rate}"
+
+
+SCORED_CTE = PROCESSED_CTE + f""",
+scored0 AS (
+  SELECT *, 'rule_text' AS model, {text_logit('capitalized_word_ratio', 'statement_len')} AS logit_real
+  FROM processed
+  UNION ALL
+  SELECT *, 'rule_credit' AS model, {credit_logit('speaker_lie_rate')} AS logit_real FROM processed
+),
+scored1 AS (SELECT *, {_shape('logit_real')} FROM scored0),
+pred AS (
+  SELECT *, {_flat()}, label_binary AS y_true, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS y_pred,
+         CAST(id AS BIGINT) AS id_num
+  FROM scored1
+),
+cm AS (SELECT model, split, CAST(y_true AS INTEGER) AS true_label, CAST(y_pred AS INTEGER) AS predicted_label,
+              count(*) AS n FROM pred GROUP BY ALL),
+sides AS (
+  SELECT model, split, true_label AS class_id, n AS support, 0 AS predicted,
+         CASE WHEN true_label = predicted_label THEN n ELSE 0 END AS tp FROM cm
+  UNION ALL
+  SELECT model, split, predicted_label, 0, n, 0 FROM cm
+),
+pc AS (
+  SELECT model, split, class_id, CAST(sum(support) AS BIGINT) AS support,
+         CAST(sum(predicted) AS BIGINT) AS predicted, CAST(sum(tp) AS BIGINT) AS tp
+  FROM sides GROUP BY ALL
+),
+pcm AS (
+  SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+         CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+         CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2 * tp / (support + predicted) END AS f1
+  FROM pc
+),
+macro AS (
+  SELECT model, split, sum(tp) / sum(support) AS accuracy, avg(f1) AS f1, avg(precision) AS precision,
+         avg(recall) AS recall, CAST(sum(support) AS BIGINT) AS n_rows
+  FROM pcm GROUP BY ALL
+)"""

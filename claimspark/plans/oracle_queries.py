@@ -82,3 +82,96 @@ SQL["model_input"] = O.with_ctes(O.PROCESSED_CTE, f"""
 SELECT id, statement_clean, label_binary, split FROM processed
 WHERE split IN ('train', 'valid') AND statement_clean IS NOT NULL AND label_binary IS NOT NULL
   AND statement_clean NOT IN {O.NA_LIST_SQL}""")
+
+# -- scoring and evaluation -------------------------------------------------
+
+SQL["metrics"] = O.with_ctes(O.SCORED_CTE, "SELECT model, split, accuracy, f1, precision, recall, n_rows FROM macro")
+
+SQL["classification_report"] = O.with_ctes(O.SCORED_CTE, """
+SELECT model, split, CASE class_id WHEN 0 THEN 'Fake' WHEN 1 THEN 'Real' ELSE CAST(class_id AS VARCHAR) END AS row_label,
+       precision, recall, f1, support FROM pcm
+UNION ALL
+SELECT model, split, 'accuracy', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), accuracy, n_rows FROM macro
+UNION ALL
+SELECT model, split, 'macro avg', precision, recall, f1, n_rows FROM macro
+UNION ALL
+SELECT model, split, 'weighted avg',
+       CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(precision * support) / sum(support) END,
+       CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(recall * support) / sum(support) END,
+       CASE WHEN sum(support) = 0 THEN 0.0 ELSE sum(f1 * support) / sum(support) END,
+       CAST(sum(support) AS BIGINT)
+FROM pcm GROUP BY model, split""")
+
+SQL["confusion_matrix"] = O.with_ctes(O.SCORED_CTE, """
+, classes AS (SELECT model, split, true_label AS c FROM cm UNION SELECT model, split, predicted_label FROM cm),
+grid AS (SELECT a.model, a.split, a.c AS true_label, b.c AS predicted_label
+         FROM classes a JOIN classes b ON a.model = b.model AND a.split = b.split),
+cells AS (SELECT g.model, g.split, g.true_label, g.predicted_label, CAST(coalesce(cm.n, 0) AS BIGINT) AS n
+          FROM grid g LEFT JOIN cm ON g.model = cm.model AND g.split = cm.split
+               AND g.true_label = cm.true_label AND g.predicted_label = cm.predicted_label)
+SELECT *, CASE WHEN sum(n) OVER w = 0 THEN NULL ELSE n / sum(n) OVER w END AS row_share
+FROM cells WINDOW w AS (PARTITION BY model, split, true_label)""")
+
+SQL["error_table"] = O.with_ctes(O.SCORED_CTE, """
+, errs AS (SELECT *, row_number() OVER (PARTITION BY model, split ORDER BY id_num) AS rn
+           FROM pred WHERE y_true <> y_pred)
+SELECT model, split, statement, CAST(y_true AS INTEGER) AS true_label, CAST(y_pred AS INTEGER) AS predicted_label,
+       label, statement_len, speaker_lie_rate, party, speaker, context
+FROM errs WHERE rn <= 20""")
+
+SQL["error_type_counts"] = O.with_ctes(O.SCORED_CTE, """
+SELECT model, split, count(*) AS n_rows, count(*) FILTER (WHERE y_true <> y_pred) AS n_errors,
+       100.0 * avg(CAST(y_true <> y_pred AS DOUBLE)) AS error_pct,
+       count(*) FILTER (WHERE y_true <> y_pred AND y_pred = 1) AS n_false_positive,
+       count(*) FILTER (WHERE y_true <> y_pred AND y_pred = 0) AS n_false_negative
+FROM pred GROUP BY model, split""")
+
+_ERRS = """
+, errs AS (SELECT *, CASE WHEN y_pred = 1 THEN 'false_positive' ELSE 'false_negative' END AS error_type
+           FROM pred WHERE y_true <> y_pred)"""
+
+SQL["error_party_topk"] = O.with_ctes(O.SCORED_CTE, _ERRS + """
+, c AS (SELECT model, split, error_type, party, count(*) AS n_errors FROM errs GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY model, split, error_type
+                                        ORDER BY n_errors DESC, party ASC) AS INTEGER) AS rank FROM c)
+SELECT * FROM r WHERE rank <= 8""")
+
+SQL["error_samples"] = O.with_ctes(O.SCORED_CTE, _ERRS + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY model, split, error_type ORDER BY id_num) AS rn FROM errs)
+SELECT model, split, error_type, statement, label, party, speaker_lie_rate FROM r WHERE rn <= 5""")
+
+SQL["error_length_hist"] = O.with_ctes(O.SCORED_CTE, """
+, h AS (SELECT model, split, CAST(y_true <> y_pred AS INTEGER) AS is_error,
+               CAST(statement_len AS DOUBLE) AS x FROM pred),
+st AS (SELECT model, split, is_error, count(x) AS n,
+              CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+              CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi
+       FROM h GROUP BY ALL),
+b AS (SELECT h.model, h.split, h.is_error,
+             least(CAST(floor((h.x - st.lo) * 30 / (st.hi - st.lo)) AS INTEGER), 29) AS bin
+      FROM h JOIN st ON h.model = st.model AND h.split = st.split AND h.is_error = st.is_error),
+c AS (SELECT model, split, is_error, bin, count(*) AS cnt FROM b GROUP BY ALL),
+g AS (SELECT st.*, CAST(unnest(range(30)) AS INTEGER) AS bin FROM st)
+SELECT g.model, g.split, g.is_error, g.bin,
+       g.lo + g.bin * ((g.hi - g.lo) / 30) AS bin_lo,
+       g.lo + (g.bin + 1) * ((g.hi - g.lo) / 30) AS bin_hi,
+       CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
+       coalesce(c.cnt, 0) / (g.n * ((g.hi - g.lo) / 30)) AS density
+FROM g LEFT JOIN c ON g.model = c.model AND g.split = c.split AND g.is_error = c.is_error AND g.bin = c.bin""")
+
+SQL["model_comparison"] = O.with_ctes(O.SCORED_CTE.replace(
+    "FROM scored1\n)", "FROM scored1 WHERE split = 'test'\n)"), """
+, mm AS (SELECT model, sum(tp) / sum(support) AS accuracy, avg(f1) AS f1, avg(precision) AS precision,
+                avg(recall) AS recall FROM pcm GROUP BY model)
+SELECT model, printf('%.4f', accuracy) AS accuracy, printf('%.4f', f1) AS f1_macro,
+       printf('%.4f', precision) AS precision_macro, printf('%.4f', recall) AS recall_macro FROM mm""")
+
+SQL["prediction_shape"] = O.with_ctes(O.SCORED_CTE, """
+SELECT model, id, pred_label, pred_label_id, pred_confidence, prob_fake, prob_real FROM pred""")
+
+_BATCH_TEXT = "coalesce(statement, '')"
+SQL["batch_score_rule"] = O.with_ctes(O.RAW_CTE, f"""
+, s AS (SELECT id, {O.text_logit(O.cap_ratio(_BATCH_TEXT), O.word_count(O.clean_text(_BATCH_TEXT)))} AS z FROM raw),
+s1 AS (SELECT id, {O._shape('z')} FROM s)
+SELECT id, {O._flat()}, 'claimspark_rule_v1' AS version FROM s1""")
+SQL["batch_score_model"] = SQL["batch_score_rule"]

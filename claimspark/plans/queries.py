@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import clean_categorical, clean_text
+from claimspark.operators import errors as ER
+from claimspark.operators import metrics as M
 from claimspark.operators import prepare as P
+from claimspark.operators import scoring as S
 from claimspark.schema import CATEGORICAL_COLUMNS, CREDIT_COLUMNS, PROCESSED_COLUMNS, RAW_COLUMNS
 from claimspark.session import scratch_path
 from claimspark.sources.adapter import claims_raw
@@ -101,6 +104,76 @@ def q_processed_read(spark, sf_dir):
                           columns=[*PROCESSED_COLUMNS, "split"])
 
 
+# -- scoring and evaluation --------------------------------------------------
+
+EVAL_GROUP = ["model", "split"]
+
+
+def scored_claims(spark, sf_dir):
+    """Processed claims scored by the two fixed rule models, in one pass (no union of scans)."""
+    p = processed(spark, sf_dir)
+    models = F.explode(F.array(
+        F.struct(F.lit("rule_text").alias("model"), S.text_rule_logit_features().alias("logit_real")),
+        F.struct(F.lit("rule_credit").alias("model"), S.credit_rule_logit().alias("logit_real")),
+    )).alias("m")
+    s = p.select("*", models).select("*", "m.model", "m.logit_real").drop("m")
+    s = S.score_with_rule(s, F.col("logit_real"))
+    return s.withColumns({"y_true": F.col("label_binary"), "y_pred": F.col("pred_label_id"),
+                          "id_num": F.col("id").cast("bigint")})
+
+
+def q_metrics(spark, sf_dir):
+    return M.compute_metrics(scored_claims(spark, sf_dir), group=EVAL_GROUP)
+
+
+def q_classification_report(spark, sf_dir):
+    return M.classification_report(scored_claims(spark, sf_dir), group=EVAL_GROUP)
+
+
+def q_confusion_matrix(spark, sf_dir):
+    return M.confusion_matrix(scored_claims(spark, sf_dir), group=EVAL_GROUP)
+
+
+def q_error_table(spark, sf_dir):
+    return ER.error_analysis(scored_claims(spark, sf_dir), group=EVAL_GROUP, order_by="id_num")
+
+
+def q_error_type_counts(spark, sf_dir):
+    return ER.error_type_counts(scored_claims(spark, sf_dir), group=EVAL_GROUP)
+
+
+def q_error_party_topk(spark, sf_dir):
+    return ER.error_party_topk(scored_claims(spark, sf_dir), group=EVAL_GROUP)
+
+
+def q_error_samples(spark, sf_dir):
+    return ER.error_samples(scored_claims(spark, sf_dir), group=EVAL_GROUP, order_by="id_num")
+
+
+def q_error_length_hist(spark, sf_dir):
+    s = scored_claims(spark, sf_dir).withColumn(
+        "is_error", (F.col("y_true") != F.col("y_pred")).cast("int"))
+    return ER.length_histogram(s, "statement_len", [*EVAL_GROUP, "is_error"])
+
+
+def q_model_comparison(spark, sf_dir):
+    return ER.model_comparison(scored_claims(spark, sf_dir).where(F.col("split") == "test"))
+
+
+def q_prediction_shape(spark, sf_dir):
+    return scored_claims(spark, sf_dir).select("model", "id", *S.FLAT_PREDICTION_COLUMNS)
+
+
+def q_batch_score_rule(spark, sf_dir):
+    return S.batch_score(claims_raw(spark, sf_dir)).select("id", *S.FLAT_PREDICTION_COLUMNS, "version")
+
+
+def q_batch_score_model(spark, sf_dir):
+    raw = claims_raw(spark, sf_dir).select("id", "statement")
+    return S.score_in_pandas(raw, S.python_text_rule).select(
+        "id", *S.FLAT_PREDICTION_COLUMNS, "version")
+
+
 QUERIES = {
     "feature_table": q_feature_table,
     "class_balance": q_class_balance,
@@ -117,4 +190,16 @@ QUERIES = {
     "model_input": q_model_input,
     "split_union": q_split_union,
     "processed_read": q_processed_read,
+    "metrics": q_metrics,
+    "classification_report": q_classification_report,
+    "confusion_matrix": q_confusion_matrix,
+    "error_table": q_error_table,
+    "error_type_counts": q_error_type_counts,
+    "error_party_topk": q_error_party_topk,
+    "error_samples": q_error_samples,
+    "error_length_hist": q_error_length_hist,
+    "model_comparison": q_model_comparison,
+    "prediction_shape": q_prediction_shape,
+    "batch_score_rule": q_batch_score_rule,
+    "batch_score_model": q_batch_score_model,
 }
