@@ -209,3 +209,45 @@ macro AS (
          avg(recall) AS recall, CAST(sum(support) AS BIGINT) AS n_rows
   FROM pcm GROUP BY ALL
 )"""
+
+
+# -- text features -----------------------------------------------------------
+
+DOCS_CTE = RAW_CTE + f""",
+docs AS (SELECT id, {clean_text('statement')} AS text FROM raw)"""
+
+
+def ngrams2(t: str) -> str:
+    return f"list_concat({t}, list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]))"
+
+
+def tf_ctes(ngram_max: int) -> str:
+    terms = tokens("text") if ngram_max == 1 else ngrams2("t")
+    src = "docs" if ngram_max == 1 else f"(SELECT id, {tokens('text')} AS t FROM docs)"
+    return f""",
+toks AS (SELECT id, unnest({terms}) AS term FROM {src}),
+tf AS (SELECT id, term, count(*) AS tf FROM toks GROUP BY ALL),
+dfq AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS corpus_tf FROM tf GROUP BY term),
+nd AS (SELECT count(*) AS n FROM docs)"""
+
+
+def idf_sql(df: str) -> str:
+    return f"(ln((1 + nd.n) / (1 + {df})) + 1)"
+
+
+def vocab_cte(k: int) -> str:
+    return f""",
+vocab AS (
+  SELECT term, df, corpus_tf, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx
+  FROM (SELECT * FROM dfq ORDER BY corpus_tf DESC, term ASC LIMIT {k})
+)"""
+
+
+def fold_sql(k: int, r: str = "r", start: str = "s", n: str = "nc") -> str:
+    def upto(x, i):
+        return f"greatest(0, floor(({x} - 1 - {i}) / {k}) + 1)"
+    cums, terms = [], []
+    for i in range(k):
+        terms.append(f"({upto(f'({start} + {n})', i)} - {upto(start, i)})")
+        cums.append(" + ".join(terms))
+    return "CAST(" + " + ".join(f"(CASE WHEN {c} <= {r} THEN 1 ELSE 0 END)" for c in cums) + " AS INTEGER)"

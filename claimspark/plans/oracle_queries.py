@@ -175,3 +175,36 @@ SQL["batch_score_rule"] = O.with_ctes(O.RAW_CTE, f"""
 s1 AS (SELECT id, {O._shape('z')} FROM s)
 SELECT id, {O._flat()}, 'claimspark_rule_v1' AS version FROM s1""")
 SQL["batch_score_model"] = SQL["batch_score_rule"]
+
+# -- text features and folds --------------------------------------------------
+
+SQL["tokens"] = O.with_ctes(O.DOCS_CTE, f"""
+, t AS (SELECT id, {O.tokens('text')} AS t FROM docs)
+SELECT id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens FROM t""")
+
+SQL["ngrams"] = O.with_ctes(O.DOCS_CTE, f"""
+, t AS (SELECT id, {O.tokens('text')} AS t FROM docs),
+g AS (SELECT id, {O.ngrams2('t')} AS g FROM t)
+SELECT id, CAST(len(g) AS INTEGER) AS n_ngrams, array_to_string(g, '|') AS ngrams FROM g""")
+
+SQL["tfidf"] = O.with_ctes(O.DOCS_CTE + O.tf_ctes(1), f"""
+SELECT tf.id, tf.term, tf.tf, dfq.df, round({O.idf_sql('dfq.df')}, 6) AS idf,
+       round((1 + ln(tf.tf)) * {O.idf_sql('dfq.df')}, 6) AS weight
+FROM tf JOIN dfq ON tf.term = dfq.term CROSS JOIN nd""")
+
+SQL["tfidf_normalized"] = O.with_ctes(O.DOCS_CTE + O.tf_ctes(2) + O.vocab_cte(1000), f"""
+, w AS (SELECT tf.id, tf.term, v.idx, (1 + ln(tf.tf)) * {O.idf_sql('v.df')} AS w
+        FROM tf JOIN vocab v ON tf.term = v.term CROSS JOIN nd)
+SELECT id, term, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""")
+
+SQL["vocabulary_topk"] = O.with_ctes(O.DOCS_CTE + O.tf_ctes(2) + O.vocab_cte(1000), f"""
+SELECT v.term, v.idx, v.df, v.corpus_tf, round({O.idf_sql('v.df')}, 6) AS idf FROM vocab v CROSS JOIN nd""")
+
+SQL["stratified_folds"] = O.with_ctes(O.PROCESSED_CTE, f"""
+, mi AS (SELECT id, label_binary, CAST(id AS BIGINT) AS id_num FROM processed
+         WHERE split IN ('train', 'valid') AND statement_clean NOT IN {O.NA_LIST_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY label_binary ORDER BY id_num) - 1 AS r FROM mi),
+sz AS (SELECT label_binary, count(*) AS nc FROM mi GROUP BY ALL),
+st AS (SELECT label_binary, nc, coalesce(sum(nc) OVER (ORDER BY label_binary
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM sz)
+SELECT r.id, r.label_binary, {O.fold_sql(5)} AS fold FROM r JOIN st ON r.label_binary = st.label_binary""")

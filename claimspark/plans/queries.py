@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import clean_categorical, clean_text
+from claimspark.functions.text import ngrams, tokens
 from claimspark.operators import errors as ER
+from claimspark.operators import folds as FO
+from claimspark.operators import tfidf as TF
 from claimspark.operators import metrics as M
 from claimspark.operators import prepare as P
 from claimspark.operators import scoring as S
@@ -174,6 +177,52 @@ def q_batch_score_model(spark, sf_dir):
         "id", *S.FLAT_PREDICTION_COLUMNS, "version")
 
 
+# -- text features and folds -------------------------------------------------
+
+VOCAB_SIZE = 1000
+
+
+def corpus(spark, sf_dir):
+    """Every claim's cleaned text (the whole documents table)."""
+    return claims_raw(spark, sf_dir).select("id", clean_text(F.col("statement")).alias("statement_clean"))
+
+
+def q_tokens(spark, sf_dir):
+    t = tokens(F.col("statement_clean"))
+    return corpus(spark, sf_dir).select("id", F.size(t).alias("n_tokens"),
+                                        F.array_join(t, " ").alias("tokens"))
+
+
+def q_ngrams(spark, sf_dir):
+    g = ngrams(tokens(F.col("statement_clean")), 2)
+    return corpus(spark, sf_dir).select("id", F.size(g).alias("n_ngrams"), F.array_join(g, "|").alias("ngrams"))
+
+
+def q_tfidf(spark, sf_dir):
+    w = TF.tfidf_long(corpus(spark, sf_dir), ngram_max=1, max_features=None, sublinear=True,
+                      normalize=False)
+    return w.select("id", "term", "tf", "df", F.round("idf", 6).alias("idf"),
+                    F.round("weight", 6).alias("weight"))
+
+
+def q_tfidf_normalized(spark, sf_dir):
+    w = TF.tfidf_long(corpus(spark, sf_dir), ngram_max=2, max_features=VOCAB_SIZE, sublinear=True,
+                      normalize=True)
+    return w.select("id", "term", "idx", F.round("weight", 6).alias("weight"))
+
+
+def q_vocabulary_topk(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    v = TF.vocabulary(TF.term_frequencies(c, ngram_max=2), c.count(), VOCAB_SIZE)
+    return v.select("term", "idx", "df", "corpus_tf", F.round("idf", 6).alias("idf"))
+
+
+def q_stratified_folds(spark, sf_dir):
+    mi = P.model_input(processed(spark, sf_dir), splits=["train", "valid"]).select(
+        "id", "label_binary", F.col("id").cast("bigint").alias("id_num"))
+    return FO.stratified_folds(mi, "label_binary", "id_num", k=5).select("id", "label_binary", "fold")
+
+
 QUERIES = {
     "feature_table": q_feature_table,
     "class_balance": q_class_balance,
@@ -202,4 +251,10 @@ QUERIES = {
     "prediction_shape": q_prediction_shape,
     "batch_score_rule": q_batch_score_rule,
     "batch_score_model": q_batch_score_model,
+    "tokens": q_tokens,
+    "ngrams": q_ngrams,
+    "tfidf": q_tfidf,
+    "tfidf_normalized": q_tfidf_normalized,
+    "vocabulary_topk": q_vocabulary_topk,
+    "stratified_folds": q_stratified_folds,
 }
