@@ -100,6 +100,17 @@ def _sparse(size, pairs):
     return SparseVector(size, [p[0] for p in pairs], [p[1] for p in pairs])
 
 
+def vectors_from_tf(tf: DataFrame, vocab: DataFrame, size: int, docs: DataFrame,
+                    id_col: str = "id", sublinear: bool = True, features_col: str = "features"
+                    ) -> DataFrame:
+    """Sparse L2-normalised vectors for `docs` from a precomputed tf table; documents without
+    vocabulary terms get an all-zero vector. Per-document groups are bounded by the vocabulary."""
+    w = weigh(tf, vocab, id_col, sublinear, True, bounded=True)
+    pairs = w.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("pairs"))
+    out = docs.join(pairs, id_col, "left")
+    return out.withColumn(features_col, _sparse(F.lit(size), F.col("pairs"))).drop("pairs")
+
+
 @dataclass
 class TfidfModel:
     """A fitted vocabulary (bounded by max_features) and its settings."""
@@ -110,21 +121,21 @@ class TfidfModel:
     sublinear: bool
 
     def transform(self, df: DataFrame, id_col: str = "id", text_col: str = "statement_clean",
-                  features_col: str = "features") -> DataFrame:
-        """Append a sparse L2-normalised TF-IDF vector; documents without vocabulary terms get
-        an all-zero vector."""
-        tf = term_frequencies(df, id_col, text_col, self.ngram_max)
-        w = weigh(tf, self.vocab, id_col, self.sublinear, True, bounded=True)
-        vec = (w.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("pairs")))
-        out = df.join(vec, id_col, "left")
-        return out.withColumn(features_col, _sparse(F.lit(self.size), F.col("pairs"))).drop("pairs")
+                  features_col: str = "features", tf: DataFrame | None = None) -> DataFrame:
+        """Append the TF-IDF vector; pass `tf` to reuse term frequencies already computed."""
+        if tf is None:
+            tf = term_frequencies(df, id_col, text_col, self.ngram_max)
+        return vectors_from_tf(tf, self.vocab, self.size, df, id_col, self.sublinear, features_col)
+
+
+def fit_from_tf(tf: DataFrame, n_docs: int, ngram_max: int, max_features: int,
+                sublinear: bool = True) -> TfidfModel:
+    vocab = vocabulary(tf, n_docs, max_features).cache()
+    return TfidfModel(vocab, vocab.count(), ngram_max, sublinear)
 
 
 def fit_tfidf(df: DataFrame, id_col: str = "id", text_col: str = "statement_clean",
               ngram_max: int = 1, max_features: int = 10_000, sublinear: bool = True) -> TfidfModel:
     """Fit vocabulary and idf on `df` only (call inside each fold to avoid leakage)."""
-    n_docs = df.count()
     tf = term_frequencies(df, id_col, text_col, ngram_max)
-    vocab = vocabulary(tf, n_docs, max_features).cache()
-    size = vocab.count()
-    return TfidfModel(vocab, size, ngram_max, sublinear)
+    return fit_from_tf(tf, df.count(), ngram_max, max_features, sublinear)

@@ -14,6 +14,8 @@ from claimspark.functions.text import ngrams, tokens
 from claimspark.operators import errors as ER
 from claimspark.operators import folds as FO
 from claimspark.operators import tfidf as TF
+from claimspark.plans import models as MD
+from claimspark.plans.experiment import run_baseline_experiment
 from claimspark.operators import metrics as M
 from claimspark.operators import prepare as P
 from claimspark.operators import scoring as S
@@ -223,6 +225,51 @@ def q_stratified_folds(spark, sf_dir):
     return FO.stratified_folds(mi, "label_binary", "id_num", k=5).select("id", "label_binary", "fold")
 
 
+# -- models -----------------------------------------------------------------
+
+# Driver-facing grids: small, so a run at sf0.01 stays short. The reference grids
+# are claimspark.plans.models.REFERENCE_GRIDS (param_grid turns them into Params).
+QUERY_LR = MD.Params("lr", ngram_max=1, max_features=VOCAB_SIZE, C=10.0, max_iter=50, tol=1e-4)
+QUERY_SVM = MD.Params("svm", ngram_max=1, max_features=VOCAB_SIZE, C=1.0, max_iter=50, tol=1e-4)
+QUERY_FOLDS = 3
+
+
+def labelled(spark, sf_dir):
+    p = processed(spark, sf_dir)
+    return P.model_input(p).withColumn("id_num", F.col("id").cast("bigint"))
+
+
+def _predict(spark, sf_dir, params):
+    # fit and predict both read the prepared claims: keep them once
+    data = labelled(spark, sf_dir).select("id", "split", "statement_clean", "label_binary").checkpoint()
+    trainval = data.where(F.col("split").isin("train", "valid"))
+    clf = MD.TfidfClassifier(params).fit(trainval.select("id", "statement_clean", "label_binary"))
+    out = clf.predict(data.select("id", "split", "statement_clean", "label_binary"))
+    return out.select("id", "split", "label_binary", "prediction", F.round("score", 4).alias("score"))
+
+
+def q_lr_predict(spark, sf_dir):
+    return _predict(spark, sf_dir, QUERY_LR)
+
+
+def q_svm_predict(spark, sf_dir):
+    return _predict(spark, sf_dir, QUERY_SVM)
+
+
+def q_cv_results(spark, sf_dir):
+    trainval = labelled(spark, sf_dir).where(F.col("split").isin("train", "valid")).checkpoint()
+    grid = [MD.with_params(QUERY_LR, C=c) for c in (1.0, 10.0)]
+    res = MD.grid_search(trainval, grid, QUERY_FOLDS, order_col="id_num", refit=False)
+    return res.to_frame(spark)
+
+
+def q_experiment_summary(spark, sf_dir):
+    grids = {"lr": [MD.with_params(QUERY_LR, C=c) for c in (1.0, 10.0)],
+             "svm": [MD.with_params(QUERY_SVM, C=c) for c in (0.1, 1.0)]}
+    return run_baseline_experiment(labelled(spark, sf_dir).checkpoint(), grids, QUERY_FOLDS,
+                                   order_col="id_num")
+
+
 QUERIES = {
     "feature_table": q_feature_table,
     "class_balance": q_class_balance,
@@ -257,4 +304,8 @@ QUERIES = {
     "tfidf_normalized": q_tfidf_normalized,
     "vocabulary_topk": q_vocabulary_topk,
     "stratified_folds": q_stratified_folds,
+    "lr_predict": q_lr_predict,
+    "svm_predict": q_svm_predict,
+    "cv_results": q_cv_results,
+    "experiment_summary": q_experiment_summary,
 }
