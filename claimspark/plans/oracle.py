@@ -251,3 +251,42 @@ def fold_sql(k: int, r: str = "r", start: str = "s", n: str = "nc") -> str:
         terms.append(f"({upto(f'({start} + {n})', i)} - {upto(start, i)})")
         cums.append(" + ".join(terms))
     return "CAST(" + " + ".join(f"(CASE WHEN {c} <= {r} THEN 1 ELSE 0 END)" for c in cums) + " AS INTEGER)"
+
+
+# -- evidence ----------------------------------------------------------------
+
+def first_sentences(x: str, n: int = 3) -> str:
+    parts = f"list_filter(regexp_extract_all({x}, '[^.!?]*(?:[.!?]+|$)'), lambda s: trim(s) <> '')"
+    return f"trim(array_to_string(list_slice({parts}, 1, {n}), ''))"
+
+
+def _vec(src: str, key: str, prefix: str) -> str:
+    return f""",
+{prefix}c AS (SELECT {key} AS k, {clean_text('text')} AS t FROM {src}),
+{prefix}tf AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest({tokens('t')}) AS term FROM {prefix}c) GROUP BY ALL)"""
+
+
+EVIDENCE_CTE = "nd AS (SELECT count(*) AS n FROM documents)" + _vec("documents", "doc_id", "d") + \
+    _vec("benchmark", "item_id", "q") + f""",
+terms AS (SELECT term, count(*) AS df FROM dtf GROUP BY term),
+dw0 AS (SELECT dtf.k, dtf.term, (1 + ln(dtf.tf)) * {idf_sql('terms.df')} AS w
+        FROM dtf JOIN terms ON dtf.term = terms.term CROSS JOIN nd),
+dw AS (SELECT k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM dw0),
+qw0 AS (SELECT qtf.k, qtf.term, (1 + ln(qtf.tf)) * {idf_sql('terms.df')} AS w
+        FROM qtf JOIN terms ON qtf.term = terms.term CROSS JOIN nd),
+qw AS (SELECT k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM qw0),
+sc AS (SELECT qw.k AS q, dw.k AS doc, round(sum(qw.w * dw.w), 9) AS r
+       FROM qw JOIN dw ON qw.term = dw.term GROUP BY qw.k, dw.k),
+top AS (SELECT q, max(r) AS r FROM sc GROUP BY q),
+tied AS (SELECT sc.* FROM sc JOIN top ON sc.q = top.q AND sc.r = top.r),
+summ AS (SELECT q, count(*) AS n_best, min(doc) AS first_doc, max(r) AS best_score,
+                list_slice(list_sort(list(doc)), 1, 3) AS shown FROM tied GROUP BY q),
+ev AS (
+  SELECT b.item_id, CASE WHEN s.n_best = 1 THEN s.first_doc END AS best_doc_id,
+         round(s.best_score, 6) AS best_score, CAST(coalesce(s.n_best, 0) AS BIGINT) AS n_best,
+         CASE WHEN s.n_best IS NULL THEN {q('No search results found.')}
+              WHEN s.n_best > 1 THEN {q('Search is too ambiguous. Possible matches: ')} || '['
+                   || array_to_string(list_transform(s.shown, lambda x: CAST(x AS VARCHAR)), ', ') || ']'
+              ELSE {first_sentences('d.text')} END AS evidence
+  FROM benchmark b LEFT JOIN summ s ON b.item_id = s.q LEFT JOIN documents d ON d.doc_id = s.first_doc
+)"""

@@ -208,3 +208,50 @@ sz AS (SELECT label_binary, count(*) AS nc FROM mi GROUP BY ALL),
 st AS (SELECT label_binary, nc, coalesce(sum(nc) OVER (ORDER BY label_binary
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM sz)
 SELECT r.id, r.label_binary, {O.fold_sql(5)} AS fold FROM r JOIN st ON r.label_binary = st.label_binary""")
+
+# -- evidence and fact-check batch -------------------------------------------
+
+SQL["evidence_top1"] = O.with_ctes(O.EVIDENCE_CTE, "SELECT * FROM ev")
+
+_STM = "coalesce(text, '')"
+SQL["evidence_prompt"] = O.with_ctes(O.EVIDENCE_CTE + f""",
+s AS (SELECT item_id, text, {O.text_logit(O.cap_ratio(_STM), O.word_count(O.clean_text(_STM)))} AS z FROM benchmark),
+s1 AS (SELECT item_id, text, {O._shape('z')} FROM s),
+s2 AS (SELECT item_id, text, {O._flat()} FROM s1),
+c AS (SELECT item_id, text, printf('The style model predicted this is %s with %.2f%% confidence.',
+                                    pred_label, pred_confidence * 100) AS classifier_evidence FROM s2)""", f"""
+SELECT c.item_id, c.classifier_evidence, ev.evidence AS search_evidence,
+       printf({O.q(__import__('claimspark.operators.evidence', fromlist=['x']).PROMPT_TEMPLATE)},
+              c.text, c.classifier_evidence, ev.evidence) AS prompt
+FROM c JOIN ev ON c.item_id = ev.item_id""")
+
+SQL["verdict_parse"] = f"""
+SELECT conv_id, turn,
+       CASE WHEN regexp_extract(coalesce(text, ''), '(?i)FINAL VERDICT:\\s*\\[?(TRUE|FALSE|UNVERIFIED)', 1) = ''
+            THEN 'UNVERIFIED'
+            ELSE upper(regexp_extract(coalesce(text, ''), '(?i)FINAL VERDICT:\\s*\\[?(TRUE|FALSE|UNVERIFIED)', 1))
+       END AS verdict
+FROM conversations WHERE role = 'assistant'"""
+
+# -- sequences and streaming ----------------------------------------------------
+
+SQL["sequence_encode"] = O.with_ctes(O.DOCS_CTE + O.tf_ctes(1) + O.vocab_cte(1000), f"""
+, t AS (SELECT id, {O.tokens('text')} AS t FROM docs),
+p AS (SELECT id, unnest(t[1:126]) AS term, generate_subscripts(t[1:126], 1) AS pos FROM t),
+ids AS (SELECT p.id, list(CAST(coalesce(v.idx + 4, 3) AS INTEGER) ORDER BY p.pos) AS ids
+        FROM p LEFT JOIN vocab v ON p.term = v.term GROUP BY p.id),
+b AS (SELECT t.id, len(t.t) AS n_tokens, list_concat([0], coalesce(ids.ids, []), [2]) AS body
+      FROM t LEFT JOIN ids ON t.id = ids.id)
+SELECT id,
+       array_to_string(list_concat(body, list_transform(range(128 - len(body)), lambda i: 1)), ' ') AS input_ids,
+       array_to_string(list_concat(list_transform(range(len(body)), lambda i: 1),
+                                   list_transform(range(128 - len(body)), lambda i: 0)), '') AS attention_mask,
+       CAST(n_tokens AS INTEGER) AS n_tokens
+FROM b""")
+
+SQL["stream_score"] = f"""
+WITH s AS (SELECT doc_id, {O.text_logit(O.cap_ratio(_BATCH_TEXT.replace('statement', 'text')),
+                                        O.word_count(O.clean_text(_BATCH_TEXT.replace('statement', 'text'))))} AS z
+           FROM documents),
+s1 AS (SELECT doc_id, {O._shape('z')} FROM s)
+SELECT doc_id, {O._flat()}, 'claimspark_rule_v1' AS version FROM s1"""

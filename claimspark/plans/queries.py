@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from claimspark.functions.text import clean_categorical, clean_text
 from claimspark.functions.text import ngrams, tokens
 from claimspark.operators import errors as ER
+from claimspark.operators import evidence as EV
+from claimspark.operators import sequences as SQ
 from claimspark.operators import folds as FO
 from claimspark.operators import tfidf as TF
 from claimspark.plans import models as MD
@@ -22,6 +24,8 @@ from claimspark.operators import scoring as S
 from claimspark.schema import CATEGORICAL_COLUMNS, CREDIT_COLUMNS, PROCESSED_COLUMNS, RAW_COLUMNS
 from claimspark.session import scratch_path
 from claimspark.sources.adapter import claims_raw
+from claimspark.sources.tables import read_table, table_path
+from claimspark.streaming import score_stream as ST
 from claimspark.sources.processed import read_processed, write_processed
 from claimspark.sources.tsv import load_all_splits, write_splits_tsv
 
@@ -270,6 +274,60 @@ def q_experiment_summary(spark, sf_dir):
                                    order_col="id_num")
 
 
+# -- evidence and fact-check batch -------------------------------------------
+
+def evidence(spark, sf_dir):
+    """Statements from `benchmark`, evidence corpus from `documents`."""
+    return EV.best_evidence(read_table(spark, sf_dir, "benchmark", "item_id", "text"),
+                            read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def q_evidence_top1(spark, sf_dir):
+    return evidence(spark, sf_dir).select(
+        "item_id", "best_doc_id", F.round("best_score", 6).alias("best_score"), "n_best", "evidence")
+
+
+def q_evidence_prompt(spark, sf_dir):
+    """PIPE-6 as a batch: score each statement, retrieve evidence, build the prompt."""
+    stm = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    scored = S.batch_score(stm, "text").select(
+        "item_id", "text", EV.classifier_sentence().alias("classifier_evidence"))
+    ev = evidence(spark, sf_dir).select("item_id", F.col("evidence").alias("search_evidence"))
+    out = scored.join(ev, "item_id", "inner")
+    return out.select("item_id", "classifier_evidence", "search_evidence",
+                      EV.prompt_column("text", "classifier_evidence", "search_evidence").alias("prompt"))
+
+
+def q_verdict_parse(spark, sf_dir):
+    """PRJ-20 over the assistant turns of `conversations` as the response table."""
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conv.where(F.col("role") == "assistant").select(
+        "conv_id", "turn", EV.parse_verdict("text").alias("verdict"))
+
+
+# -- sequences and streaming ----------------------------------------------------
+
+SEQ_LEN = 128
+
+
+def q_sequence_encode(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    vocab = SQ.token_vocabulary(c, "id", "statement_clean", VOCAB_SIZE)
+    enc = SQ.encode(c, vocab, "id", "statement_clean", SEQ_LEN)
+    return enc.select("id", F.array_join("input_ids", " ").alias("input_ids"),
+                      F.array_join("attention_mask", "").alias("attention_mask"), "n_tokens")
+
+
+def q_stream_score(spark, sf_dir):
+    """Stream the documents file as requests, score each, write parquet, read the sink back."""
+    schema = spark.read.parquet(table_path(sf_dir, "documents")).schema
+    requests = ST.request_stream(spark, sf_dir, schema, glob="documents.parquet")
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    q = ST.start_scoring(ST.score_requests(requests, "doc_id", "text"), out, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
 QUERIES = {
     "feature_table": q_feature_table,
     "class_balance": q_class_balance,
@@ -308,4 +366,9 @@ QUERIES = {
     "svm_predict": q_svm_predict,
     "cv_results": q_cv_results,
     "experiment_summary": q_experiment_summary,
+    "evidence_top1": q_evidence_top1,
+    "evidence_prompt": q_evidence_prompt,
+    "verdict_parse": q_verdict_parse,
+    "sequence_encode": q_sequence_encode,
+    "stream_score": q_stream_score,
 }
