@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+from pyspark.sql import types as T
 
 from claimspark.schema import NA_STRINGS, RAW_COLUMNS, RAW_SCHEMA, SPLITS
 
+# One column past the 14: filled only by rows with too many fields.
+_SENTINEL = "__extra_field"
+_READ_SCHEMA = T.StructType(RAW_SCHEMA.fields + [T.StructField(_SENTINEL, T.StringType(), True)])
+
 
 def null_out_na(df: DataFrame, columns=None) -> DataFrame:
     """Turn the CSV missing-value spellings into null on every string column."""
@@ -17,15 +22,16 @@ def null_out_na(df: DataFrame, columns=None) -> DataFrame:
 
 
 def load_split(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """One split: 14 nullable string columns, quoted fields, malformed rows fail the read.
+    """One split: 14 nullable string columns, quoted fields; a short row is padded with
+    nulls, a row with too many fields fails the read (checked lazily, no extra pass).
 
     `multiline=True` honours quoted tabs/newlines (a file is then read by one
     task). `multiline=False` disables quoting so files split across tasks; use it
     for large inputs known to have no quoted fields.
     """
-    reader = (spark.read.schema(RAW_SCHEMA)
+    reader = (spark.read.schema(_READ_SCHEMA)
               .option("sep", "\t").option("header", False)
-              .option("mode", "FAILFAST")
+              .option("mode", "PERMISSIVE")
               .option("ignoreLeadingWhiteSpace", False)
               .option("ignoreTrailingWhiteSpace", False))
     if multiline:
@@ -38,7 +44,9 @@ def load_split(spark: SparkSession, path: str, multiline: bool = True) -> DataFr
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"File not found: {path}") from e
         raise
-    return null_out_na(df, RAW_COLUMNS)
+    checked = df.where(F.col(_SENTINEL).isNull()
+                       | F.raise_error(F.lit(f"too many fields in a row of {path}")).isNull())
+    return null_out_na(checked.select(*RAW_COLUMNS), RAW_COLUMNS)
 
 
 def load_all_splits(spark: SparkSession, data_dir: str, pattern: str = "{split}.tsv",
