@@ -24,3 +24,13 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
     if n <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by `keys` when the input has fewer partitions than the cluster's
+    default parallelism (few large files or row groups), so CPU-heavy per-row work that
+    follows runs on every core. Inputs that are already wide enough are left as they are."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,7 +86,8 @@ def tfidf_long(df: DataFrame, id_col: str = "id", text_col: str = "statement_cle
                normalize: bool = True) -> DataFrame:
     """Fit and apply on the same corpus; returns (id, term, idx, tf, df, idf, weight)."""
     n_docs = df.count()
-    tf = term_frequencies(df, id_col, text_col, ngram_max)
+    # tf is read twice (vocabulary, weights): computed once
+    tf = term_frequencies(df, id_col, text_col, ngram_max).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = vocabulary(tf, n_docs, max_features)
     return weigh(tf, vocab, id_col, sublinear, normalize, bounded=max_features is not None)
 

@@ -323,7 +323,8 @@ def q_stream_score(spark, sf_dir):
     schema = spark.read.parquet(table_path(sf_dir, "documents")).schema
     requests = ST.request_stream(spark, sf_dir, schema, glob="documents.parquet")
     out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    q = ST.start_scoring(ST.score_requests(requests, "doc_id", "text"), out, ckpt)
+    parts = spark.sparkContext.defaultParallelism
+    q = ST.start_scoring(ST.score_requests(requests, "doc_id", "text", partitions=parts), out, ckpt)
     q.awaitTermination()
     return spark.read.parquet(out)
 

@@ -28,8 +28,13 @@ def request_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: st
 
 
 def score_requests(requests: DataFrame, id_col: str, text_col: str,
-                   version: str = DEFAULT_MODEL_VERSION) -> DataFrame:
-    scored = batch_score(requests.select(id_col, text_col), text_col, version)
+                   version: str = DEFAULT_MODEL_VERSION, partitions: int | None = None) -> DataFrame:
+    """Score each request. `partitions` spreads a micro-batch over that many tasks first
+    (worth one shuffle when requests arrive in few large files and scoring is CPU-bound)."""
+    req = requests.select(id_col, text_col)
+    if partitions:
+        req = req.repartition(partitions, id_col)
+    scored = batch_score(req, text_col, version)
     return scored.select(id_col, *FLAT_PREDICTION_COLUMNS, "version")
 
 
