@@ -12,6 +12,13 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip_ws(c: Column) -> Column:
+    """Unicode strip. The trailing side is stripped as a leading side of the reversed
+    text: an anchored match stops at once, where `W+$` is tried at every whitespace run."""
+    lead = f"^{WS_CLASS}+"
+    return F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(c, lead, "")), lead, ""))
+
+
 def clean_text(c: Column | str) -> Column:
     """trim (Unicode) -> collapse whitespace runs -> each non-ASCII run to one space -> lower.
 
@@ -19,8 +26,7 @@ def clean_text(c: Column | str) -> Column:
     non-ASCII replacement, so "café x" gives "caf  x".
     """
     c = _col(c)
-    trimmed = F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
-    collapsed = F.regexp_replace(trimmed, f"{WS_CLASS}+", " ")
+    collapsed = F.regexp_replace(strip_ws(c), f"{WS_CLASS}+", " ")
     ascii_only = F.regexp_replace(collapsed, "[^\\x00-\\x7F]+", " ")
     return F.coalesce(F.lower(ascii_only), F.lit(""))
 
@@ -29,7 +35,7 @@ def clean_categorical(c: Column | str, fill: str = CATEGORICAL_FILL) -> Column:
     """null -> fill, then strip, lower, and "" -> fill."""
     c = _col(c)
     filled = F.coalesce(c, F.lit(fill))
-    stripped = F.lower(F.regexp_replace(filled, f"^{WS_CLASS}+|{WS_CLASS}+$", ""))
+    stripped = F.lower(strip_ws(filled))
     return F.when(stripped == "", F.lit(fill)).otherwise(stripped)
 
 

@@ -25,6 +25,7 @@ from pyspark import StorageLevel
 from claimspark.operators.joins import join_checked, spread
 from claimspark.operators.tfidf import document_frequencies, idf_expr, term_frequencies
 from claimspark.schema import AMBIGUOUS_PREFIX, NO_RESULTS
+from claimspark.session import materialize
 
 SCORE_DECIMALS = 9
 
@@ -45,11 +46,11 @@ def corpus_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = join_checked(tf, terms.select("term", "idf"), "term", "inner")
     # postings feed several joins: write them once to the checkpoint folder (short lineage,
     # survives executor loss) instead of recomputing the corpus tokenisation per consumer
-    postings = _normalise(joined.select(
+    postings = materialize(_normalise(joined.select(
         "doc", "term", ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")),
-        "doc").checkpoint()
+        "doc"))
     max_w = postings.groupBy("term").agg(F.max("w").alias("max_w"))
-    terms = terms.join(max_w, "term", "inner").checkpoint()
+    terms = materialize(terms.join(max_w, "term", "inner"))
     tf.unpersist()
     return postings, terms, n_docs
 
@@ -63,7 +64,7 @@ def query_terms(queries: DataFrame, terms: DataFrame, id_col: str = "item_id",
     joined = join_checked(tf, terms.select("term", "idf", "df", "max_w"), "term", "inner")
     w = joined.select("q", "term", "df", "max_w",
                       ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
-    return _normalise(w, "q").checkpoint()
+    return materialize(_normalise(w, "q"))
 
 
 def _pair_scores(qt: DataFrame, postings: DataFrame) -> DataFrame:
@@ -89,10 +90,11 @@ def retrieval_scores(qt: DataFrame, postings: DataFrame, rare_df_max: int | None
     best = cand_scores.groupBy("q").agg(F.max("score").alias("lower"))
     upper = (qt.where(F.col("df") > rare_df_max)
              .groupBy("q").agg(F.sum(F.col("w") * F.col("max_w")).alias("upper")))
-    status = (qt.select("q").distinct().join(best, "q", "left").join(upper, "q", "left")
-              .select("q", (F.col("lower").isNotNull()
-                            & (F.col("lower") > F.coalesce(F.col("upper"), F.lit(0.0)) + F.lit(1e-12)))
-                      .alias("done"))).checkpoint()
+    status = materialize(
+        qt.select("q").distinct().join(best, "q", "left").join(upper, "q", "left")
+        .select("q", (F.col("lower").isNotNull()
+                      & (F.col("lower") > F.coalesce(F.col("upper"), F.lit(0.0)) + F.lit(1e-12)))
+                .alias("done")))
     done = status.where("done").select("q")
     rest = status.where(~F.col("done")).select("q")
     exact = cand_scores.join(done, "q", "left_semi")

@@ -22,7 +22,7 @@ from claimspark.operators import metrics as M
 from claimspark.operators import prepare as P
 from claimspark.operators import scoring as S
 from claimspark.schema import CATEGORICAL_COLUMNS, CREDIT_COLUMNS, PROCESSED_COLUMNS, RAW_COLUMNS
-from claimspark.session import scratch_path
+from claimspark.session import materialize, scratch_path
 from claimspark.sources.adapter import claims_raw
 from claimspark.sources.tables import read_table, table_path
 from claimspark.streaming import score_stream as ST
@@ -245,7 +245,7 @@ def labelled(spark, sf_dir):
 
 def _predict(spark, sf_dir, params):
     # fit and predict both read the prepared claims: keep them once
-    data = labelled(spark, sf_dir).select("id", "split", "statement_clean", "label_binary").checkpoint()
+    data = materialize(labelled(spark, sf_dir).select("id", "split", "statement_clean", "label_binary"))
     trainval = data.where(F.col("split").isin("train", "valid"))
     clf = MD.TfidfClassifier(params).fit(trainval.select("id", "statement_clean", "label_binary"))
     out = clf.predict(data.select("id", "split", "statement_clean", "label_binary"))
@@ -261,7 +261,7 @@ def q_svm_predict(spark, sf_dir):
 
 
 def q_cv_results(spark, sf_dir):
-    trainval = labelled(spark, sf_dir).where(F.col("split").isin("train", "valid")).checkpoint()
+    trainval = materialize(labelled(spark, sf_dir).where(F.col("split").isin("train", "valid")))
     grid = [MD.with_params(QUERY_LR, C=c) for c in (1.0, 10.0)]
     res = MD.grid_search(trainval, grid, QUERY_FOLDS, order_col="id_num", refit=False)
     return res.to_frame(spark)
@@ -270,7 +270,7 @@ def q_cv_results(spark, sf_dir):
 def q_experiment_summary(spark, sf_dir):
     grids = {"lr": [MD.with_params(QUERY_LR, C=c) for c in (1.0, 10.0)],
              "svm": [MD.with_params(QUERY_SVM, C=c) for c in (0.1, 1.0)]}
-    return run_baseline_experiment(labelled(spark, sf_dir).checkpoint(), grids, QUERY_FOLDS,
+    return run_baseline_experiment(materialize(labelled(spark, sf_dir)), grids, QUERY_FOLDS,
                                    order_col="id_num")
 
 

@@ -61,3 +61,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder name under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared checkpoint folder, computed once.
+
+    `checkpoint()` alone evaluates the plan twice (the eager count, then the file
+    write); persisting first lets the write read the cached blocks. The result has a
+    short lineage and survives executor loss (unlike localCheckpoint).
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.operators.joins import join_checked
+from claimspark.operators.joins import join_checked, spread
 from claimspark.schema import RAW_COLUMNS
 from claimspark.sources.tables import read_table
 
@@ -56,7 +56,8 @@ def speaker_history(claims: DataFrame, speaker_col: str = "speaker",
 
 
 def claims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    # the text work downstream is CPU-bound: spread a narrow input (few files) over all cores
+    docs = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), "doc_id")
     labels = read_table(spark, sf_dir, "labels", "doc_id", "quality")
     base = (docs.join(labels, "doc_id", "left")
             .select("doc_id", "text", "lang", "source",
