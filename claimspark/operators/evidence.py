@@ -16,12 +16,11 @@ result ambiguous and list the first three documents by id.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import clean_text, first_sentences
-from pyspark import StorageLevel
-
 from claimspark.operators.joins import join_checked, spread
 from claimspark.operators.tfidf import document_frequencies, idf_expr, term_frequencies
 from claimspark.schema import AMBIGUOUS_PREFIX, NO_RESULTS
@@ -68,9 +67,12 @@ def query_terms(queries: DataFrame, terms: DataFrame, id_col: str = "item_id",
 
 
 def _pair_scores(qt: DataFrame, postings: DataFrame) -> DataFrame:
-    return (qt.select("q", "term", F.col("w").alias("wq"))
-            .join(postings.select("doc", "term", F.col("w").alias("wd")), "term", "inner")
-            .groupBy("q", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
+    """sum_t wq * wd per (statement, doc). The statement side is measured and, when bounded
+    (a batch of claims against a large corpus), broadcast: postings are then joined where
+    they lie, partial sums per (q, doc) are aggregated map-side, and only those move."""
+    joined = join_checked(postings.select("doc", "term", F.col("w").alias("wd")),
+                          qt.select("q", "term", F.col("w").alias("wq")), "term", "inner")
+    return joined.groupBy("q", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
 def retrieval_scores(qt: DataFrame, postings: DataFrame, rare_df_max: int | None) -> DataFrame:
@@ -120,7 +122,9 @@ def best_evidence(queries: DataFrame, docs: DataFrame, q_id: str = "item_id", q_
     rare = None if rare_share is None else max(1, int(rare_share * n_docs))
     scores = retrieval_scores(qt, postings, rare).withColumn("r", F.round("score", SCORE_DECIMALS))
     top = scores.groupBy("q").agg(F.max("r").alias("r"))
-    tied = scores.join(top, ["q", "r"], "inner")  # only documents on the best score
+    # one row per statement, measured then broadcast: a statement that matches every
+    # document does not pull all its scores into one task
+    tied = join_checked(scores, top, ["q", "r"], "inner")  # only documents on the best score
     w = Window.partitionBy("q").orderBy("doc")
     shown = (tied.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= candidates_shown)
              .groupBy("q").agg(F.array_sort(F.collect_list("doc")).alias("shown")))
