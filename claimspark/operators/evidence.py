@@ -36,8 +36,8 @@ def _normalise(w: DataFrame, key: str) -> DataFrame:
 
 def corpus_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     """(postings(doc, term, w), terms(term, df, idf, max_w), n_docs) for a document table."""
+    n_docs = docs.count()  # from the scan (parquet metadata), before any repartition
     raw = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")), "doc")
-    n_docs = raw.count()
     clean = raw.select("doc", clean_text(F.col("t")).alias("t"))
     # tf feeds the term statistics and the postings: computed once
     tf = term_frequencies(clean, "doc", "t", 1).persist(StorageLevel.MEMORY_AND_DISK)
