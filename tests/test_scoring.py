@@ -57,3 +57,16 @@ def test_sequence_encoding(spark):
     assert enc[3]["input_ids"] == [0, 3, 3, 3, 3, 2]       # truncated, unknown token id 3
     assert enc[1]["input_ids"][:2] == [0, 4] and enc[1]["n_tokens"] == 3
     assert enc[4]["n_tokens"] == 0
+
+
+def test_score_csv_table_and_write_predictions(spark):
+    from claimspark.plans import queries as Q
+    from claimspark.sources.processed import read_for_scoring, write_processed, write_table
+
+    path = write_processed(Q.q_feature_table(spark, SF_SMALL), scratch_path(spark, "t-csv"), fmt="csv")
+    table = read_for_scoring(spark, path, fmt="csv")
+    scored = S.batch_score(table, text_col="statement_clean")
+    assert scored.count() == Q.q_feature_table(spark, SF_SMALL).count()
+    out = write_table(scored.select("id", *S.FLAT_PREDICTION_COLUMNS), scratch_path(spark, "t-pred"), "csv")
+    back = spark.read.option("header", True).csv(out)
+    assert set(back.columns) == {"id", *S.FLAT_PREDICTION_COLUMNS}
