@@ -35,33 +35,32 @@ def _normalise(w: DataFrame, key: str) -> DataFrame:
 
 
 def corpus_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """(postings(doc, term, w), terms(term, df, idf, max_w), n_docs) for a document table."""
+    """(postings(doc, term, w), terms(term, df, idf), n_docs) for a document table.
+
+    Tokenisation runs once (tf is persisted). `postings` stays a plan: its per-document
+    L2 window hash-partitions it by doc, so a broadcast statement join and the
+    (statement, doc) sums that follow run in the same stage, without another shuffle.
+    """
     n_docs = docs.count()  # from the scan (parquet metadata), before any repartition
     raw = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")), "doc")
     clean = raw.select("doc", clean_text(F.col("t")).alias("t"))
-    # tf feeds the term statistics and the postings: computed once
     tf = term_frequencies(clean, "doc", "t", 1).persist(StorageLevel.MEMORY_AND_DISK)
-    terms = document_frequencies(tf).withColumn("idf", idf_expr(F.col("df"), n_docs))
+    terms = materialize(document_frequencies(tf).withColumn("idf", idf_expr(F.col("df"), n_docs)))
     joined = join_checked(tf, terms.select("term", "idf"), "term", "inner")
-    # postings feed several joins: write them once to the checkpoint folder (short lineage,
-    # survives executor loss) instead of recomputing the corpus tokenisation per consumer
-    postings = materialize(_normalise(joined.select(
+    postings = _normalise(joined.select(
         "doc", "term", ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")),
-        "doc"))
-    max_w = postings.groupBy("term").agg(F.max("w").alias("max_w"))
-    terms = materialize(terms.join(max_w, "term", "inner"))
-    tf.unpersist()
+        "doc")
     return postings, terms, n_docs
 
 
 def query_terms(queries: DataFrame, terms: DataFrame, id_col: str = "item_id",
                 text_col: str = "text") -> DataFrame:
-    """(q, term, w, df, max_w): statement vectors over the corpus vocabulary."""
+    """(q, term, w, df): statement vectors over the corpus vocabulary."""
     raw = spread(queries.select(F.col(id_col).alias("q"), F.col(text_col).alias("t")), "q")
     clean = raw.select("q", clean_text(F.col("t")).alias("t"))
     tf = term_frequencies(clean, "q", "t", 1)
-    joined = join_checked(tf, terms.select("term", "idf", "df", "max_w"), "term", "inner")
-    w = joined.select("q", "term", "df", "max_w",
+    joined = join_checked(tf, terms.select("term", "idf", "df"), "term", "inner")
+    w = joined.select("q", "term", "df",
                       ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
     return materialize(_normalise(w, "q"))
 
@@ -79,6 +78,10 @@ def retrieval_scores(qt: DataFrame, postings: DataFrame, rare_df_max: int | None
     """Exact (q, doc, score) for every document that can be a statement's best match."""
     if rare_df_max is None:
         return _pair_scores(qt, postings)
+    # pruned mode reads the postings several times: keep them once, with each term's max weight
+    postings = materialize(postings)
+    max_w = postings.groupBy("term").agg(F.max("w").alias("max_w"))
+    qt = join_checked(qt, max_w, "term", "inner")
     rare_q = qt.where(F.col("df") <= rare_df_max)
     rare_p = postings.join(qt.select("term", "df").distinct().where(F.col("df") <= rare_df_max)
                            .select("term"), "term", "left_semi")
