@@ -84,19 +84,31 @@ def batch_score(df: DataFrame, text_col: str = "statement", version: str = DEFAU
 
 # -- ML-12: external scorers through Arrow batches ---------------------------
 
+# Python workers are reused across tasks: a model built once stays in the worker process.
+_WORKER_MODELS: dict[str, Callable] = {}
+
+
+def _worker_model(key: str, make_predict: Callable[[], Callable]) -> Callable:
+    if key not in _WORKER_MODELS:
+        _WORKER_MODELS[key] = make_predict()
+    return _WORKER_MODELS[key]
+
 def score_in_pandas(df: DataFrame, make_predict: Callable[[], Callable[[list[str]], np.ndarray]],
-                    text_col: str = "statement", version: str = DEFAULT_MODEL_VERSION) -> DataFrame:
-    """Score with a Python model: `make_predict()` runs once per Python worker task and returns
-    `predict(texts) -> array[n, 2]` of class probabilities. Batches are Arrow record batches
-    (spark.sql.execution.arrow.maxRecordsPerBatch rows); only the text column crosses to Python.
+                    text_col: str = "statement", version: str = DEFAULT_MODEL_VERSION,
+                    model_key: str | None = None) -> DataFrame:
+    """Score with a Python model: `make_predict()` builds `predict(texts) -> array[n, 2]` of
+    class probabilities once per Python worker process (cached under `model_key`). Batches
+    are Arrow record batches (spark.sql.execution.arrow.maxRecordsPerBatch rows); only the
+    text column crosses to Python.
     """
+    key = model_key or f"{make_predict.__module__}.{make_predict.__qualname__}:{version}"
     key_cols = [c for c in df.columns if c != text_col]
     in_df = df.select(*key_cols, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     schema = T.StructType(in_df.schema.fields + [
         T.StructField("prob_fake_raw", T.DoubleType()), T.StructField("prob_real_raw", T.DoubleType())])
 
     def run(batches):
-        predict = make_predict()
+        predict = _worker_model(key, make_predict)
         for pdf in batches:
             probs = np.asarray(predict(pdf[text_col].tolist()), dtype="float64").reshape(-1, 2)
             yield pdf.assign(prob_fake_raw=probs[:, 0], prob_real_raw=probs[:, 1])

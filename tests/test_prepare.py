@@ -159,3 +159,11 @@ def test_missing_file_raises(spark):
 
 def test_raw_columns_order():
     assert RAW_COLUMNS[0] == "id" and RAW_COLUMNS[-1] == "context" and len(RAW_COLUMNS) == 14
+
+
+def test_tsv_splittable_mode_without_quotes(spark):
+    d = tempfile.mkdtemp(prefix="claimspark-tsv-", dir="/tmp")
+    base = ["a", "b", "c", "d", "e", "1", "2", "3", "4", "5", "ctx"]
+    write(os.path.join(d, "x.tsv"), tsv_row("1", "true", 'say "hi"', *base) + tsv_row("2", "false", "plain", *base))
+    got = {r["id"]: r["statement"] for r in load_split(spark, os.path.join(d, "x.tsv"), multiline=False).collect()}
+    assert got == {"1": 'say "hi"', "2": "plain"}  # quotes are ordinary characters in this mode
