@@ -80,3 +80,15 @@ def test_experiment_writes_tables(spark):
     assert len(cmp_rows) == 2
     errs = spark.read.option("header", True).option("multiLine", True).csv(f"{res_dir}/error_analysis_lr")
     assert errs.count() <= 20 and "true_label" in errs.columns
+
+
+def test_retrieval_sums_pairs_without_shuffling_them(spark):
+    from claimspark.operators import evidence as EV
+    from claimspark.sources.tables import read_table
+
+    docs = read_table(spark, SF_SMALL, "documents", "doc_id", "text")
+    qs = read_table(spark, SF_SMALL, "benchmark", "item_id", "text")
+    postings, terms, _ = EV.corpus_index(docs)
+    p = plan(EV._pair_scores(EV.query_terms(qs, terms), postings))
+    assert "BroadcastHashJoin" in p
+    assert "hashpartitioning(q" not in p  # (statement, doc) sums stay in the postings' stage
