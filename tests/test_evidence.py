@@ -5,7 +5,6 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from claimspark.operators import evidence as EV
 from claimspark.schema import AMBIGUOUS_PREFIX, NO_RESULTS

@@ -1,7 +1,6 @@
 """Prediction shaping, batch and Python scorers, streaming = batch, sequence encoding."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from claimspark.operators import scoring as S

@@ -6,7 +6,6 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from claimspark.operators import folds as FO
 from claimspark.operators import tfidf as TF
