@@ -92,3 +92,13 @@ def test_retrieval_sums_pairs_without_shuffling_them(spark):
     p = plan(EV._pair_scores(EV.query_terms(qs, terms), postings))
     assert "BroadcastHashJoin" in p
     assert "hashpartitioning(q" not in p  # (statement, doc) sums stay in the postings' stage
+
+
+def test_hot_speaker_rollup_joined_by_broadcast(spark):
+    # one source may hold a third of all rows: its rollup row is broadcast, never shuffled to
+    # one task with all of that source's claims
+    from claimspark.sources.adapter import claims_raw
+
+    p = plan(claims_raw(spark, SF_SMALL))
+    join_lines = [line for line in p.splitlines() if "Join" in line and "source" in line]
+    assert join_lines and all("BroadcastHashJoin" in line for line in join_lines)
