@@ -94,9 +94,9 @@ def tfidf_long(df: DataFrame, id_col: str = "id", text_col: str = "statement_cle
 
 # -- vectors for Spark ML ----------------------------------------------------
 
-@F.udf(returnType=VectorUDT())
+@F.udf(returnType=VectorUDT(), useArrow=True)
 def _sparse(size, pairs):
-    # Small per-document helper: (idx, weight) pairs already sorted by idx.
+    # Small per-document helper, Arrow-batched: (idx, weight) pairs already sorted by idx.
     if not pairs:
         return SparseVector(size, [], [])
     return SparseVector(size, [p[0] for p in pairs], [p[1] for p in pairs])
