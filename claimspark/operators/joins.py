@@ -23,6 +23,7 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
     n = small.limit(max_rows + 1).count()
     if n <= max_rows:
         return big.join(F.broadcast(small), on, how)
+    small.unpersist()  # not small after all: do not keep it cached
     return big.join(small, on, how)
 
 
