@@ -69,3 +69,11 @@ def test_score_csv_table_and_write_predictions(spark):
     out = write_table(scored.select("id", *S.FLAT_PREDICTION_COLUMNS), scratch_path(spark, "t-pred"), "csv")
     back = spark.read.option("header", True).csv(out)
     assert set(back.columns) == {"id", *S.FLAT_PREDICTION_COLUMNS}
+
+
+def test_sequence_encoding_with_labels(spark):
+    corpus = spark.createDataFrame([(1, "aa bb", 1), (2, "cc", 0)], "id int, statement_clean string, y int")
+    vocab = SQ.token_vocabulary(corpus, "id", "statement_clean", 10)
+    enc = {r["id"]: r for r in SQ.encode(corpus, vocab, max_length=4, label_col="y").collect()}
+    assert enc[1]["labels"] == 1 and enc[2]["labels"] == 0
+    assert enc[1]["input_ids"] == [0, 4, 5, 2] and enc[2]["input_ids"] == [0, 6, 2, 1]

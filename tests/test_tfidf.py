@@ -111,3 +111,8 @@ def test_rank_within_many_buckets(spark):
     for g in "ab":
         ordered = sorted((k, i) for i, gg, k in data if gg == g)
         assert [got[i] for _, i in ordered] == list(range(len(ordered)))
+
+
+def test_bounded_vocabulary_is_broadcast(spark, docs):
+    out = TF.tfidf_long(docs, max_features=3)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
