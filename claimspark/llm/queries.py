@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimspark.llm import chat_format, mixing, quality_forest, token_counts, warc
+from claimspark.llm import chat_format, jaccard_join, mixing, quality_forest, token_counts, warc
 from claimspark.session import scratch_path
 from claimspark.sources.tables import read_table
 
@@ -21,6 +21,10 @@ def op3_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op4_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_mix_sources(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mix_documents(docs).select(
@@ -46,6 +50,7 @@ def op10_warc(spark, sf_dir):
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_mix_sources": op7_mix_sources,
     "op8_chat_format": op8_chat_format,
     "op10_warc": op10_warc,
