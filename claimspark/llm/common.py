@@ -7,6 +7,7 @@ strings. Word and shingle identities are 64-bit hashes.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -67,6 +68,12 @@ def release(df: DataFrame) -> None:
         hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now rather than at the driver's next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

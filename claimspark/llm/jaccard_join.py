@@ -96,16 +96,16 @@ def _packed_rows(number: int, ids: np.ndarray, hashes: np.ndarray, at: np.ndarra
     order = np.argsort(fragment, kind="stable")
     keys = hashes[order].astype(np.uint32)
     cut = np.concatenate([[0], np.cumsum(counts.sum(axis=1))])
-    out = []
+    out, home = [], ((number >> 32) * 31 + (number & 0xFFFFFFFF)) % fragments
     signatures = set_signature(hashes, at)
     for f in range(fragments):
         held = _small(counts[f])
-        if f and cut[f] == cut[f + 1]:
+        if f != home and cut[f] == cut[f + 1]:
             continue
         out.append({"batch": number, "fragment": f, "keys": keys[cut[f]:cut[f + 1]].tobytes(), "counts": held.tobytes(),
-                    "kind": held.dtype.str, "ids": ids.tobytes() if f == 0 else None,
-                    "ns": n.astype(np.int64).tobytes() if f == 0 else None,
-                    "signatures": signatures.tobytes() if f == 0 else None})
+                    "kind": held.dtype.str, "ids": ids.tobytes() if f == home else None,
+                    "ns": n.astype(np.int64).tobytes() if f == home else None,
+                    "signatures": signatures.tobytes() if f == home else None})
     return pa.RecordBatch.from_pylist(out, _PACKED)
 
 

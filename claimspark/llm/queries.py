@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimspark.llm import chat_format, jaccard_join, mixing, quality_forest, token_counts, warc
+from claimspark.llm import chat_format, jaccard_join, mixing, quality_forest, suffix_dedup, token_counts, warc
 from claimspark.session import scratch_path
 from claimspark.sources.tables import read_table
 
@@ -38,6 +38,10 @@ def op8_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(hostile)))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeat_digests(read_table(spark, sf_dir, "documents", "doc_id", "text"), length=50)
+
+
 def op10_warc(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
     path = scratch_path(spark, "warc")
@@ -53,5 +57,6 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_mix_sources": op7_mix_sources,
     "op8_chat_format": op8_chat_format,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
 }
