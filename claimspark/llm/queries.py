@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimspark.llm import chat_format, jaccard_join, mixing, quality_forest, suffix_dedup, token_counts, warc
+from claimspark.llm import (chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, quality_forest,
+                            suffix_dedup, token_counts, warc)
 from claimspark.session import scratch_path
 from claimspark.sources.tables import read_table
 
@@ -15,6 +16,10 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op2_html_extract(spark, sf_dir):
+    return html_extract.extract_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_quality_rules(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_forest.judge(docs, read_table(spark, sf_dir, "labels")).select(
@@ -25,6 +30,18 @@ def op4_ngram_jaccard(spark, sf_dir):
     return jaccard_join.components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    out = F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False))
+    model = language_id.fit(docs.where(~out))
+    return language_id.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_decontaminate(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_mix_sources(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mix_documents(docs).select(
@@ -53,8 +70,11 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_html_extract": op2_html_extract,
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_language_id": op5_language_id,
+    "op6_decontaminate": op6_decontaminate,
     "op7_mix_sources": op7_mix_sources,
     "op8_chat_format": op8_chat_format,
     "op9_suffix_dedup": op9_suffix_dedup,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimspark.llm import mixing, quality_forest
+from claimspark.llm import decontaminate, jaccard_join, mixing, quality_forest, suffix_dedup
 from claimspark.session import scratch_path
 from claimspark.sources.tables import read_table
 
@@ -14,6 +15,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_forest.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar documents: the one with the smallest id."""
+    return jaccard_join.keep_first(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 50 bytes that a smaller document has; documents with no word left go."""
+    cut = suffix_dedup.remove_repeats(docs, length=50)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item in them."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often each document is taken; documents that the mix leaves out go."""
     return mixing.mix_documents(docs).where("copies > 0")
@@ -21,10 +38,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("mixing sources", mix_sources),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("mixing sources to target weights", mix_sources),
 ]
 
-#: The forest, the shingle hashes and the knapsack are beyond SQL; tests compare with brute force.
+#: The forest, the shingle hashes, SimHash and the knapsack are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
