@@ -82,6 +82,9 @@ def _fragment_of(names: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def _small(values: np.ndarray) -> np.ndarray:
+    """The same values in the narrowest type."""
+    if len(values) and values.min() < 0:
+        return values.astype(np.int64)
     return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
 
 
@@ -216,9 +219,9 @@ _VERDICTS = "doc start size asked ids keys"
 def _judge_runs(table: pa.Table) -> pa.Table:
     """Sorts one fragment's positions by (gram, run, id): runs seen in a smaller document are done, first holders may stay."""
     rows = table.to_pylist()
-    part = {c: [_load(r[c]) for r in rows] for c in ("name", "key", "id")}
-    name, key, ids = (np.concatenate(part[c]) for c in ("name", "key", "id"))
-    ids = ids.astype(np.int64)
+    part = {c: [_load(r[c]) for r in rows] for c in ("name", "key")}
+    name, key = (np.concatenate(part[c]) for c in ("name", "key"))
+    ids = np.concatenate([_load(r["id"]).astype(np.int64) for r in rows])
     order = np.lexsort((ids, key, name))
     name, key, ids = name[order], key[order], ids[order]
     new_run, new_gram = np.ones(len(name), bool), np.ones(len(name), bool)
