@@ -6,7 +6,7 @@ that many words is fingerprinted: the 64 signs of the sum of its weighted n-gram
 fingerprints are indexed by `RADIUS + 1` bit blocks: two fingerprints within the radius agree in at least one block
 (they differ in at most `RADIUS` bits), so the index returns every pair within it. Candidates within the radius are verified by the exact
 weighted Jaccard similarity of n-gram multisets: sum of weight * min(count) over sum of weight * max(count). An n-gram
-weighs 1 + log2(items / items that have it), rounded to sixteenths; one that no item has weighs as one that a single item has.
+weighs the bytes of its words, so weights depend on no other text and results on no block.
 
 Windows without any n-gram of the block's items have similarity 0 and are not fingerprinted.
 
@@ -40,10 +40,23 @@ def _utf8(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return C.column_bytes(pa.array(texts, pa.string()))
 
 
-def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, word lengths in bytes, and each text's first word."""
     buf = C.lower_ascii(buf)
     starts, ends, first = C.word_bounds(buf, offs)
-    return C.word_hashes(buf, starts, ends), first
+    return C.word_hashes(buf, starts, ends), (ends - starts).astype(np.int32), first
+
+
+def gram_weights(sizes: np.ndarray, width: int) -> np.ndarray:
+    """Bytes of the words of each n-gram of one text."""
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    return (sums[width:] - sums[:-width] if len(sizes) >= width else sums[-1:] - sums[:1]).astype(np.int32)
+
+
+def counted(grams: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams, their counts and weights."""
+    values, at, counts = np.unique(grams, return_index=True, return_counts=True)
+    return values, counts, weights[at].astype(np.int64)
 
 
 def fingerprints(grams: np.ndarray, weights: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
@@ -64,17 +77,14 @@ class ItemBlock:
     """The index of one block of items."""
 
     def __init__(self, ids: list, texts: list[str | None], width: int, radius: int) -> None:
-        words, first = _words(*_utf8(texts))
+        words, sizes, first = _words(*_utf8(texts))
         self.width, self.radius, self.ids = width, radius, ids
         self.lengths = np.diff(first)
         grams, at = C.shingle_hashes(words, first, width)
         own = [grams[at[k]:at[k + 1]] for k in range(len(ids))]
-        self.known, df = np.unique(np.concatenate([np.unique(g) for g in own]) if own else np.zeros(0, np.uint64),
-                                   return_counts=True)
-        n = max(int((self.lengths > 0).sum()), 1)
-        self.weights = np.rint(16 * (1 + np.log2(n / np.maximum(df, 1)))).astype(np.int32)
-        self.rare = int(np.rint(16 * (1 + np.log2(n))))
-        self.items = [self.counted(g) for g in own]
+        weights = [gram_weights(sizes[first[k]:first[k + 1]], width) for k in range(len(ids))]
+        self.known = np.unique(grams)
+        self.items = [counted(g, w[:len(g)]) for g, w in zip(own, weights)]
         # lengths of the items that hold a known n-gram
         pairs = {(int(np.searchsorted(self.known, g)), int(self.lengths[k])) for k, gs in enumerate(own) for g in gs}
         held: dict[int, set[int]] = {}
@@ -89,24 +99,12 @@ class ItemBlock:
         self.index: dict[int, tuple] = {}
         for length in np.unique(self.lengths[self.lengths > 0]).tolist():
             members = np.flatnonzero(self.lengths == length)
-            prints = np.concatenate([fingerprints(own[k], self.weigh(own[k]), np.array([0]), len(own[k]))
+            prints = np.concatenate([fingerprints(own[k], weights[k], np.array([0]), len(own[k]))
                                      for k in members])
             keys = self.block_keys(prints)
             order = np.argsort(keys.ravel(), kind="stable")
             self.index[length] = (members, prints, keys.ravel()[order], order % len(members))
 
-    def weigh(self, grams: np.ndarray) -> np.ndarray:
-        out = np.full(len(grams), self.rare, dtype=np.int32)
-        if len(self.known):
-            place = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-            hit = self.known[place] == grams
-            out[hit] = self.weights[place[hit]]
-        return out
-
-    def counted(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        values, counts = np.unique(grams, return_counts=True)
-        return values, counts, self.weigh(values)
-
     def block_keys(self, prints: np.ndarray) -> np.ndarray:
         """(block, print) table of each fingerprint's bits in each block, with the block number on top."""
         out = np.empty((self.radius + 1, len(prints)), dtype=np.uint64)
@@ -134,15 +132,15 @@ class ItemBlock:
         return (np.concatenate(windows) if windows else np.zeros(0, np.int64),
                 np.repeat(members[hits], [len(w) for w in windows]) if windows else np.zeros(0, np.int64))
 
-    def similarity(self, grams: np.ndarray, item: int) -> float:
+    def similarity(self, grams: np.ndarray, weights: np.ndarray, item: int) -> float:
+        own, own_counts, own_weights = counted(grams, weights)
         values, counts, weights = self.items[item]
-        own, own_counts, own_weights = self.counted(grams)
         both = np.intersect1d(values, own, return_indices=True)
         shared = float((np.minimum(counts[both[1]], own_counts[both[2]]) * weights[both[1]]).sum())
         total = float((counts * weights).sum() + (own_counts * own_weights).sum()) - shared
         return shared / total if total else 0.0
 
-    def search(self, words: np.ndarray, threshold: float) -> dict[int, tuple[int, float, int]]:
+    def search(self, words: np.ndarray, sizes: np.ndarray, threshold: float) -> dict[int, tuple[int, float, int]]:
         """item -> (first word of the best window, similarity, windows that reach the threshold) for one text."""
         found: dict[int, tuple[int, float, int]] = {}
         grams, _ = C.shingle_hashes(words, np.array([0, len(words)]), self.width, short=False)
@@ -158,7 +156,7 @@ class ItemBlock:
                 np.add.at(mark, np.clip(at - (length - self.width), 0, len(words) - length + 1), 1)
                 np.add.at(mark, np.minimum(at, len(words) - length) + 1, -1)
                 jobs[length] = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-            weights = self.weigh(grams)
+            weights = gram_weights(sizes, self.width)
         for length, starts in jobs.items():
             if not len(starts):
                 continue
@@ -167,14 +165,16 @@ class ItemBlock:
             prints = fingerprints(grams[part], weights[part], starts - low, count)
             for w, item in zip(*self.candidates(length, prints)):
                 start = int(starts[w])
-                self._take(found, int(item), start, self.similarity(grams[start:start + count], int(item)), threshold)
+                own = slice(start, start + count)
+                self._take(found, int(item), start, self.similarity(grams[own], weights[own], int(item)), threshold)
         for length in [n for n in self.index if n < self.width and n <= len(words)]:  # items of a few words
             windows = np.arange(len(words) - length + 1)
             firsts = np.stack([windows, windows + length], axis=1)
             own = np.concatenate([C.shingle_hashes(words[a:b], np.array([0, length]), self.width)[0] for a, b in firsts])
             for k in np.flatnonzero(np.isin(own, self.known)):
+                weight = sizes[k:k + length].sum(keepdims=True)
                 for item in self.index[length][0]:
-                    self._take(found, int(item), int(k), self.similarity(own[k:k + 1], int(item)), threshold)
+                    self._take(found, int(item), int(k), self.similarity(own[k:k + 1], weight, int(item)), threshold)
         return found
 
     @staticmethod
@@ -193,7 +193,7 @@ def _search_column(column: pa.Array, block: ItemBlock, threshold: float) -> Iter
     buf, offs = C.column_bytes(column)
     few = any(n < block.width for n in block.index)
     for low, high, b, o in C.pieces(buf, offs):
-        words, first = _words(b, o)
+        words, sizes, first = _words(b, o)
         grams, at = C.shingle_hashes(words, first, block.width, short=False)
         hit = np.flatnonzero(block.filter[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
         if len(hit) and len(block.known):
@@ -201,7 +201,7 @@ def _search_column(column: pa.Array, block: ItemBlock, threshold: float) -> Iter
             hit = hit[block.known[place] == grams[hit]]
         rows = np.unique(np.searchsorted(at, hit, "right") - 1) if not few else np.arange(high - low)
         for k in rows.tolist():
-            found = block.search(words[first[k]:first[k + 1]], threshold)
+            found = block.search(words[first[k]:first[k + 1]], sizes[first[k]:first[k + 1]], threshold)
             if found:
                 yield low + k, found
 
