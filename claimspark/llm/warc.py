@@ -1,9 +1,9 @@
 """WARC archives: a writer on Spark's text sink and a salvage reader.
 
-Writer: one WARC/1.1 record per row, payload = the text in UTF-8. Records are rendered as
-strings and written by Spark's own file commit, so lost tasks leave no half-written
-archive. Rows with equal payloads are archived once: the smallest id is the response, the others
-are revisit records that refer to it.
+Writer: one WARC/1.1 record per row, payload = the text in UTF-8. Records are written by Spark's own
+file commit, so lost tasks leave no half-written archive; each is a gzip member of its own (or plain), and
+members are set apart by one zero byte, which gzip readers skip as padding. Rows with equal
+payloads are archived once: the smallest id is the response, the others are revisit records that refer to it.
 
 Salvage reader: every archive is checked record by record (version line, header
 lines, Content-Length inside the file, trailer, payload digest). After a failed check it searches for the
@@ -18,6 +18,7 @@ writes no record; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -27,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import ship_package
+from claimspark.llm.common import ship_package, stored
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 TRAILER = b"\r\n\r\n"
 NO_ID = "null"
+#: Largest table of revisits (64 bytes each) that is broadcast to the pages; beyond it both sides are shuffled by id.
+BROADCAST_BYTES = 16 << 20
+#: Stands between gzip members.
+PADDING = b"\0"
 ID_PREFIX = "urn:page:"
 #: Characters that would end a header line; percent-escaped in header values, with % itself.
 HEADER_ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))
@@ -53,7 +58,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     """id, uri, payload, payload_bytes, digest, record_type, refers_to for every row.
 
     Only (id, digest) rows are grouped, with map-side partial minima, so a payload shared by a
-    third of all rows is no hot group; whole payloads move once, by their id.
+    third of all rows is no hot group; whole payloads stay where they are unless the revisits are too many to broadcast.
     """
     uri = F.col(uri_col) if uri_col else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), uri.alias("uri"),
@@ -64,6 +69,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
                                         F.count_distinct("id").alias("ids")).where("copies > 1")
     repeats = (keyed.join(first, "digest").where("id <> first_id and ids > 1")
                .groupBy("id", "digest").agg(F.min("first_id").alias("refers_to")))
+    repeats = stored(repeats, "warc-repeats")
+    if repeats.count() * 64 <= BROADCAST_BYTES:
+        repeats = F.broadcast(repeats)
     out = rows.withColumn("digest", sha1_base32(F.col("payload")))
     return (out.join(repeats, ["id", "digest"], "left")
             .select("id", "uri", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), "digest",
@@ -82,8 +90,8 @@ def _record_id(value: Column) -> Column:
 
 
 def write_warc(records: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z",
-               records_per_file: int = 5000) -> None:
-    """Write planned records (see `plan_records`) as plain WARC files below `path`."""
+               records_per_file: int = 5000, compress: bool = True) -> None:
+    """Write planned records (see `plan_records`) as WARC files below `path`: gzip members, or plain."""
     revisit = F.col("record_type") == "revisit"
     body = F.when(revisit, "").otherwise(F.col("payload"))
     lines = [
@@ -101,8 +109,19 @@ def write_warc(records: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z"
         F.concat(F.lit("Content-Length: "), F.octet_length(body)),
     ]
     head = F.concat_ws(CRLF, *lines)
-    (records.select(F.concat(head, F.lit(CRLF + CRLF), body).alias("value"))
-     .write.option("lineSep", TRAILER.decode()).option("maxRecordsPerFile", records_per_file).text(path))
+    plain = records.select(F.concat(head, F.lit(CRLF + CRLF), body).alias("value"))
+    if not compress:
+        plain.write.option("lineSep", TRAILER.decode()).option("maxRecordsPerFile", records_per_file).text(path)
+        return
+    ship_package(records.sparkSession)
+    members = plain.mapInArrow(_members, "value binary").select(F.col("value").cast("string"))  # the bytes as they are
+    members.write.option("lineSep", PADDING.decode()).option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        members = [gzip.compress(value.as_py().encode("utf-8") + TRAILER, 6, mtime=0) for value in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
 
 
 # -- salvage reader --------------------------------------------------------------
@@ -156,6 +175,9 @@ def salvage(data: bytes) -> Iterator[tuple]:
     """
     at = 0
     while at < len(data):
+        if data[at:at + 1] == PADDING:
+            at += 1
+            continue
         found, why = [], ""
         if data[at:at + 3] == b"\x1f\x8b\x08":
             member = _member_at(data, at)
