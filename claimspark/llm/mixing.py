@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from claimspark.llm.common import ship_package, stored
 
 #: Documents of one (source, length) group that one seeded bucket holds on average.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 200
 #: Largest remaining budget that the dynamic programme fits, in length units.
 KNAPSACK_SPAN = 1 << 16
 
