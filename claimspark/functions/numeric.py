@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 _NUMBER = "^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$"
 
 
+# Doubles below this magnitude fit a bigint.
+_BIGINT_LIMIT = 2.0 ** 63
+
+
 def parse_count(c: Column | str) -> Column:
-    """String -> finite double, or null when it is not a plain number."""
+    """String -> double that fits a bigint, or null when it is not a plain number in that range."""
     c = F.col(c) if isinstance(c, str) else c
     as_double = F.when(c.rlike(_NUMBER), F.trim(c).try_cast("double"))
-    return F.when(F.abs(as_double) < F.lit(float("inf")), as_double)
+    return F.when(F.abs(as_double) < F.lit(_BIGINT_LIMIT), as_double)
 
 
 def coerce_count(c: Column | str) -> Column:
-    """String count -> bigint: non-numbers, NaN, infinities and null become 0; fractions truncate."""
+    """String count -> bigint: non-numbers, NaN, infinities, values out of range and null become 0; fractions truncate."""
     return F.coalesce(parse_count(c), F.lit(0.0)).cast("bigint")
 
 

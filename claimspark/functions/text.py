@@ -90,7 +90,5 @@ def ngrams(tok: Column | str, n_max: int = 1) -> Column:
 
 def first_sentences(c: Column | str, n: int = 3) -> Column:
     """The first n sentences, a sentence ending at . ! or ? followed by whitespace or the end."""
-    c = _col(c)
-    parts = F.regexp_extract_all(c, F.lit("[^.!?]*(?:[.!?]+|$)"), 0)
-    parts = F.filter(parts, lambda s: F.trim(s) != "")
-    return F.trim(F.array_join(F.slice(parts, 1, n), ""))
+    parts = F.filter(F.split(_col(c), "(?<=[.!?])(?=\\s)"), lambda s: s.rlike("\\S"))
+    return strip_ws(F.array_join(F.slice(parts, 1, n), ""))

@@ -3,20 +3,18 @@
 Scoring: documents and statements are sublinear TF-IDF vectors with the corpus
 idf, L2-normalised over in-vocabulary terms; score(q, d) = sum_t wq(t) * wd(t).
 
-Optional exact pruned plan (no all-pairs join on common terms):
-  1. candidates: (q, d) pairs sharing a *rare* term (df <= rare_df_max);
-  2. candidate scores: exact, by joining the pairs' terms to postings on (doc, term);
-  3. bound: a non-candidate document shares only common terms with q, so its score
-     is at most U(q) = sum over q's common terms of wq(t) * max_d wd(t);
-  4. statements whose best candidate score L(q) > U(q) are final; only the rest take
-     the full inverted-index join.
+Exact max-score plan (no all-pairs join on common terms):
+  1. each statement's rarest terms give a first set of documents, scored exactly; the best
+     score is a lower bound L(q);
+  2. a term adds at most wq(t) * max_d wd(t). Terms in rising order of that bound are non-essential as long
+     as their sum stays below L(q): a document with such terms only cannot win;
+  3. documents with an essential term are the candidates; they are scored exactly, once.
 Ties are decided on scores rounded to 9 places; ties on the best score make the
 result ambiguous and list the first three documents by id.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +32,15 @@ def _normalise(w: DataFrame, key: str) -> DataFrame:
     return w.withColumn("w", F.col("w") / norm)
 
 
-def corpus_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """(postings(doc, term, w), terms(term, df, idf), n_docs) for a document table.
+def _terms_of(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    raw = spread(df.select(F.col(id_col).alias(key), F.col(text_col).alias("t")), key)
+    return term_frequencies(raw.select(key, clean_text(F.col("t")).alias("t")), key, "t", 1)
 
-    Tokenisation runs once (tf is persisted). `postings` stays a plan: its per-document
-    L2 window hash-partitions it by doc, so a broadcast statement join and the
-    (statement, doc) sums that follow run in the same stage, without another shuffle.
-    """
-    n_docs = docs.count()  # from the scan (parquet metadata), before any repartition
-    raw = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")), "doc")
-    clean = raw.select("doc", clean_text(F.col("t")).alias("t"))
-    tf = term_frequencies(clean, "doc", "t", 1).persist(StorageLevel.MEMORY_AND_DISK)
+
+def corpus_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """(postings(doc, term, w), terms(term, df, idf), n_docs) for a document table; postings stay a plan."""
+    n_docs = docs.count()  # from the scan (parquet metadata)
+    tf = _terms_of(docs, id_col, text_col, "doc")
     terms = materialize(document_frequencies(tf).withColumn("idf", idf_expr(F.col("df"), n_docs)))
     joined = join_checked(tf, terms.select("term", "idf"), "term", "inner")
     postings = _normalise(joined.select(
@@ -56,85 +52,78 @@ def corpus_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def query_terms(queries: DataFrame, terms: DataFrame, id_col: str = "item_id",
                 text_col: str = "text") -> DataFrame:
     """(q, term, w, df): statement vectors over the corpus vocabulary."""
-    raw = spread(queries.select(F.col(id_col).alias("q"), F.col(text_col).alias("t")), "q")
-    clean = raw.select("q", clean_text(F.col("t")).alias("t"))
-    tf = term_frequencies(clean, "q", "t", 1)
-    joined = join_checked(tf, terms.select("term", "idf", "df"), "term", "inner")
+    tf = _terms_of(queries, id_col, text_col, "q")
+    joined = join_checked(terms.select("term", "idf", "df"), tf, "term", "inner")
     w = joined.select("q", "term", "df",
                       ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
     return materialize(_normalise(w, "q"))
 
 
-def _pair_scores(qt: DataFrame, postings: DataFrame) -> DataFrame:
-    """sum_t wq * wd per (statement, doc). The statement side is measured and, when bounded
-    (a batch of claims against a large corpus), broadcast: postings are then joined where
-    they lie, partial sums per (q, doc) are aggregated map-side, and only those move."""
+def all_pair_scores(qt: DataFrame, postings: DataFrame) -> DataFrame:
+    """sum_t wq * wd for every statement and document that share a term (the plain definition)."""
     joined = join_checked(postings.select("doc", "term", F.col("w").alias("wd")),
                           qt.select("q", "term", F.col("w").alias("wq")), "term", "inner")
     return joined.groupBy("q", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
-def retrieval_scores(qt: DataFrame, postings: DataFrame, rare_df_max: int | None) -> DataFrame:
-    """Exact (q, doc, score) for every document that can be a statement's best match."""
-    if rare_df_max is None:
-        return _pair_scores(qt, postings)
-    # pruned mode reads the postings several times: keep them once, with each term's max weight
-    postings = materialize(postings)
-    max_w = postings.groupBy("term").agg(F.max("w").alias("max_w"))
-    qt = join_checked(qt, max_w, "term", "inner")
-    rare_q = qt.where(F.col("df") <= rare_df_max)
-    rare_p = postings.join(qt.select("term", "df").distinct().where(F.col("df") <= rare_df_max)
-                           .select("term"), "term", "left_semi")
-    cands = rare_q.select("q", "term").join(rare_p.select("term", "doc"), "term", "inner") \
-        .select("q", "doc").distinct()
-    # exact scores of candidate pairs: their query terms joined to postings on (doc, term)
-    cand_terms = cands.join(qt.select("q", "term", F.col("w").alias("wq")), "q", "inner")
-    cand_scores = (cand_terms.join(postings.select("doc", "term", F.col("w").alias("wd")),
-                                   ["doc", "term"], "inner")
-                   .groupBy("q", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
-    best = cand_scores.groupBy("q").agg(F.max("score").alias("lower"))
-    upper = (qt.where(F.col("df") > rare_df_max)
-             .groupBy("q").agg(F.sum(F.col("w") * F.col("max_w")).alias("upper")))
-    status = materialize(
-        qt.select("q").distinct().join(best, "q", "left").join(upper, "q", "left")
-        .select("q", (F.col("lower").isNotNull()
-                      & (F.col("lower") > F.coalesce(F.col("upper"), F.lit(0.0)) + F.lit(1e-12)))
-                .alias("done")))
-    done = status.where("done").select("q")
-    rest = status.where(~F.col("done")).select("q")
-    exact = cand_scores.join(done, "q", "left_semi")
-    fallback = _pair_scores(qt.join(rest, "q", "left_semi"), postings)
-    return exact.unionByName(fallback)
+def _score_pairs(pairs: DataFrame, qt: DataFrame, postings: DataFrame) -> DataFrame:
+    """Exact scores of given (q, doc) pairs: their statement terms joined to postings on (doc, term)."""
+    asked = join_checked(pairs, qt.select("q", "term", F.col("w").alias("wq")), "q", "inner")
+    return (asked.join(postings.select("doc", "term", F.col("w").alias("wd")), ["doc", "term"])
+            .groupBy("q", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
+
+
+def candidate_pairs(qt: DataFrame, postings: DataFrame, seed_terms: int = 3) -> DataFrame:
+    """(q, doc) pairs that can hold a statement's best score; windows run over one statement's terms."""
+    by_df = Window.partitionBy("q").orderBy("df", "term")
+    seeds = qt.withColumn("n", F.row_number().over(by_df)).where(F.col("n") <= seed_terms).select("q", "term")
+    first = join_checked(postings.select("doc", "term"), seeds, "term").select("q", "doc").distinct()
+    lower = _score_pairs(first, qt, postings).groupBy("q").agg(F.max("score").alias("lower"))
+    most = postings.groupBy("term").agg(F.max("w").alias("max_w"))
+    bounds = (qt.join(most, "term").join(lower, "q", "left")
+              .withColumn("most", F.col("w") * F.col("max_w")))
+    rising = Window.partitionBy("q").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    essential = (bounds.withColumn("reach", F.sum("most").over(rising))
+                 .where(F.col("reach") >= F.coalesce(F.col("lower"), F.lit(0.0)) - 10.0 ** -SCORE_DECIMALS)
+                 .select("q", "term"))
+    return join_checked(postings.select("doc", "term"), essential, "term").select("q", "doc").distinct()
+
+
+def retrieval_scores(queries: DataFrame, docs: DataFrame, q_id: str, q_text: str, d_id: str, d_text: str,
+                     seed_terms: int | None = 3) -> DataFrame:
+    """(q, doc, r): rounded scores of every document that can be a statement's best match, kept; None: of all pairs."""
+    postings, terms, _ = corpus_index(docs, d_id, d_text)
+    qt = query_terms(queries, terms, q_id, q_text)
+    # only the statements' own terms matter from here on
+    own = materialize(join_checked(postings, qt.select("term").distinct(), "term", "left_semi"))
+    scores = (all_pair_scores(qt, own) if seed_terms is None
+              else _score_pairs(candidate_pairs(qt, own, seed_terms), qt, own))
+    return materialize(scores.withColumn("r", F.round("score", SCORE_DECIMALS)))
 
 
 def best_evidence(queries: DataFrame, docs: DataFrame, q_id: str = "item_id", q_text: str = "text",
                   d_id: str = "doc_id", d_text: str = "text", sentences: int = 3,
-                  rare_share: float | None = None, candidates_shown: int = 3) -> DataFrame:
+                  seed_terms: int | None = 3, candidates_shown: int = 3) -> DataFrame:
     """JN-3 + WIN-2 + PRJ-21: per statement, the best document and its first sentences.
 
-    `rare_share=None` scores with the full inverted-index join (hot-term partitions are
-    split by AQE's skew handling). A share (e.g. 0.01) turns on the pruned plan, which
-    pays off only when common-term bounds are tight (measured on the driver corpus:
-    58 of 200 statements could finish early at best, so the default is the full join).
+    `seed_terms` rarest terms give the first lower bound (None scores all pairs); results do not depend on it.
 
     Output: q_id, best_doc_id (null unless one clear winner), best_score, n_best (documents
     tied on the best score), evidence (summary, ambiguity message, or no-result message).
     """
-    postings, terms, n_docs = corpus_index(docs, d_id, d_text)
-    qt = query_terms(queries, terms, q_id, q_text)
-    rare = None if rare_share is None else max(1, int(rare_share * n_docs))
-    scores = retrieval_scores(qt, postings, rare).withColumn("r", F.round("score", SCORE_DECIMALS))
+    scores = retrieval_scores(queries, docs, q_id, q_text, d_id, d_text, seed_terms)
     top = scores.groupBy("q").agg(F.max("r").alias("r"))
-    # one row per statement, measured then broadcast: a statement that matches every
-    # document does not pull all its scores into one task
     tied = join_checked(scores, top, ["q", "r"], "inner")  # only documents on the best score
     w = Window.partitionBy("q").orderBy("doc")
     shown = (tied.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= candidates_shown)
              .groupBy("q").agg(F.array_sort(F.collect_list("doc")).alias("shown")))
     summary = tied.groupBy("q").agg(F.count(F.lit(1)).alias("n_best"), F.min("doc").alias("first_doc"),
                                     F.max("r").alias("best_score"))
-    per_q = summary.join(shown, "q", "inner")
-    texts = docs.select(F.col(d_id).alias("first_doc"), F.col(d_text).alias("doc_text"))
+    per_q = materialize(summary.join(shown, "q", "inner"))
+    # the few winning documents are looked up in the corpus, whose texts stay where they are
+    winners = per_q.where("n_best = 1").select(F.col("first_doc").alias(d_id)).distinct()
+    texts = join_checked(docs.select(d_id, d_text), winners, d_id, "inner").select(
+        F.col(d_id).alias("first_doc"), F.col(d_text).alias("doc_text"))
     per_q = per_q.join(texts, "first_doc", "left")
     out = queries.select(F.col(q_id).alias("q")).join(per_q, "q", "left")
     evidence = (F.when(F.col("n_best").isNull(), F.lit(NO_RESULTS))
@@ -152,19 +141,22 @@ def best_evidence(queries: DataFrame, docs: DataFrame, q_id: str = "item_id", q_
 
 # -- PRJ-18/19/20: prompts and verdicts --------------------------------------
 
+STYLE_SENTENCE = "Writing style: %s (confidence %.2f%%)."
+
+
 def classifier_sentence(label_col: str = "pred_label", conf_col: str = "pred_confidence"):
-    """'The style model predicted this is REAL with 94.12% confidence.'"""
-    return F.format_string("The style model predicted this is %s with %.2f%% confidence.",
+    """'Writing style: REAL (confidence 94.12%).'"""
+    return F.format_string(STYLE_SENTENCE,
                            F.col(label_col), F.col(conf_col).cast("double") * 100)
 
 
 # Prompt layout: statement, the two evidence lines, and the verdict instruction.
 PROMPT_TEMPLATE = (
-    "You check facts. Classify the statement as TRUE, FALSE or UNVERIFIED and give a short reason.\n"
+    "Decide whether a claim holds up, and say briefly why.\n"
     "Statement: \"%s\"\n"
-    "Evidence 1 (style model): %s\n"
-    "Evidence 2 (document search): %s\n"
-    "If the search evidence contradicts the statement, it is FALSE.\n"
+    "Style check: %s\n"
+    "Corpus search: %s\n"
+    "Trust the corpus over the style check wherever the two disagree.\n"
     "End with \"FINAL VERDICT: [TRUE/FALSE/UNVERIFIED]\"")
 
 
@@ -180,3 +172,22 @@ def parse_verdict(response_col: str):
     """PRJ-20: TRUE / FALSE / UNVERIFIED from a response; no verdict -> UNVERIFIED."""
     v = F.upper(F.regexp_extract(F.coalesce(F.col(response_col), F.lit("")), VERDICT_PATTERN, 1))
     return F.when(v == "", F.lit("UNVERIFIED")).otherwise(v)
+
+
+def fact_check_records(statements: DataFrame, scored: DataFrame, evidence: DataFrame, responses: DataFrame,
+                       id_col: str = "item_id", text_col: str = "text", prediction_col: str = "prediction",
+                       response_col: str = "response") -> DataFrame:
+    """PIPE-6: one record per statement: statement, nested prediction, search evidence, prompt, response and verdict.
+
+    `scored` has the nested prediction, `evidence` the evidence text, `responses` the answers to the prompts (a
+    statement without one is UNVERIFIED), each keyed by `id_col`.
+    """
+    p = F.col(prediction_col)
+    out = (statements.select(id_col, F.col(text_col).alias("statement"))
+           .join(scored.select(id_col, p), id_col).join(evidence.select(id_col, F.col("evidence").alias("search_evidence")), id_col)
+           .join(responses.select(id_col, F.col(response_col).alias("response")), id_col, "left")
+           .withColumn("classifier_evidence", F.format_string(
+               STYLE_SENTENCE, p["label"], p["confidence"].cast("double") * 100)))
+    return out.select(id_col, "statement", prediction_col, "search_evidence",
+                      prompt_column("statement", "classifier_evidence", "search_evidence").alias("prompt"),
+                      "response", parse_verdict("response").alias("agent_decision"))

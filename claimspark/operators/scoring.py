@@ -7,17 +7,19 @@ Predictions come out in two forms:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from claimspark.functions.numeric import softmax2
 from claimspark.functions.text import capitalized_word_ratio, clean_text, word_count
 from claimspark.schema import CLASS_NAMES, DEFAULT_MODEL_VERSION
+from claimspark.session import ship_package
 
 FLAT_PREDICTION_COLUMNS = ["pred_label", "pred_label_id", "pred_confidence", "prob_fake", "prob_real"]
 
@@ -47,11 +49,9 @@ def credit_rule_logit(lie_rate: Column | str = "speaker_lie_rate") -> Column:
     return F.lit(CREDIT_RULE["bias"]) + F.lit(CREDIT_RULE["speaker_lie_rate"]) * lie_rate
 
 
-def shape_prediction(df: DataFrame, logit_fake: Column, logit_real: Column,
-                     nested: bool = False) -> DataFrame:
-    """PRJ-15/16: softmax -> argmax (ties to FAKE) -> name, confidence, probabilities (4 places)."""
-    p0, p1 = softmax2(logit_fake, logit_real)
-    tmp = df.withColumns({"__p0": p0, "__p1": p1})
+def shape_probabilities(df: DataFrame, prob_fake: Column, prob_real: Column, nested: bool = False) -> DataFrame:
+    """PRJ-15: argmax (ties to FAKE) -> name, confidence, probabilities (4 places)."""
+    tmp = df.withColumns({"__p0": prob_fake, "__p1": prob_real})
     label_id = F.when(F.col("__p1") > F.col("__p0"), F.lit(1)).otherwise(F.lit(0))
     names = F.create_map(*[x for k, v in CLASS_NAMES.items() for x in (F.lit(k), F.lit(v))])
     out = tmp.withColumns({
@@ -70,6 +70,13 @@ def shape_prediction(df: DataFrame, logit_fake: Column, logit_real: Column,
     return out.drop("__p0", "__p1")
 
 
+def shape_prediction(df: DataFrame, logit_fake: Column, logit_real: Column,
+                     nested: bool = False) -> DataFrame:
+    """PRJ-15/16: softmax of two logits, then the shared shaping."""
+    p0, p1 = softmax2(logit_fake, logit_real)
+    return shape_probabilities(df, p0, p1, nested)
+
+
 def score_with_rule(df: DataFrame, logit_real: Column, nested: bool = False) -> DataFrame:
     return shape_prediction(df, F.lit(0.0), logit_real, nested)
 
@@ -93,30 +100,28 @@ def _worker_model(key: str, make_predict: Callable[[], Callable]) -> Callable:
         _WORKER_MODELS[key] = make_predict()
     return _WORKER_MODELS[key]
 
+
 def score_in_pandas(df: DataFrame, make_predict: Callable[[], Callable[[list[str]], np.ndarray]],
-                    text_col: str = "statement", version: str = DEFAULT_MODEL_VERSION,
-                    model_key: str | None = None) -> DataFrame:
+                    text_col: str = "statement", version: str = DEFAULT_MODEL_VERSION) -> DataFrame:
     """Score with a Python model: `make_predict()` builds `predict(texts) -> array[n, 2]` of
-    class probabilities once per Python worker process (cached under `model_key`). Batches
-    are Arrow record batches (spark.sql.execution.arrow.maxRecordsPerBatch rows); only the
-    text column crosses to Python.
+    class probabilities once per Python worker process. The worker's cache key is the hash of the
+    pickled factory with all it closes over, so two models never share an entry. Batches are Arrow
+    record batches; only the text column crosses to Python.
     """
-    key = model_key or f"{make_predict.__module__}.{make_predict.__qualname__}:{version}"
-    key_cols = [c for c in df.columns if c != text_col]
-    in_df = df.select(*key_cols, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    schema = T.StructType(in_df.schema.fields + [
-        T.StructField("prob_fake_raw", T.DoubleType()), T.StructField("prob_real_raw", T.DoubleType())])
+    ship_package(df.sparkSession)
+    key = hashlib.sha256(cloudpickle.dumps(make_predict)).hexdigest()
 
-    def run(batches):
+    @F.pandas_udf("prob_fake double, prob_real double")
+    def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = _worker_model(key, make_predict)
-        for pdf in batches:
-            probs = np.asarray(predict(pdf[text_col].tolist()), dtype="float64").reshape(-1, 2)
-            yield pdf.assign(prob_fake_raw=probs[:, 0], prob_real_raw=probs[:, 1])
-
-    scored = in_df.mapInPandas(run, schema)
-    # Probabilities -> logits of the same softmax (log p), then the shared shaping.
-    out = shape_prediction(scored, F.log("prob_fake_raw"), F.log("prob_real_raw"))
-    return out.drop("prob_fake_raw", "prob_real_raw").withColumn("version", F.lit(version))
+        for texts in batches:
+            probs = np.asarray(predict(texts.tolist()), dtype="float64").reshape(-1, 2)
+            yield pd.DataFrame({"prob_fake": probs[:, 0], "prob_real": probs[:, 1]})
+
+    filled = df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+    scored = filled.withColumn("__prob", probabilities(F.col(text_col)))
+    out = shape_probabilities(scored, F.col("__prob.prob_fake"), F.col("__prob.prob_real"))
+    return out.drop("__prob").withColumn("version", F.lit(version))
 
 
 def python_text_rule() -> Callable[[list[str]], np.ndarray]:

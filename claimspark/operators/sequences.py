@@ -31,19 +31,18 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str =
     if max_length < 2:
         raise ValueError("max_length must leave room for the begin and end ids")
     keep = max_length - 2
-    base = df.select(id_col, *([label_col] if label_col else []),
-                     tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("__tok"))
-    pos = (base.select(id_col, F.posexplode(F.slice("__tok", 1, keep)).alias("pos", "term"))
-           .join(F.broadcast(vocab), "term", "left")
-           .select(id_col, "pos", F.coalesce("token_id", F.lit(UNK_ID)).cast("int").alias("tid")))
-    seq = pos.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "tid"))).alias("__s"))
-    out = base.join(seq, id_col, "left")
-    ids = F.transform(F.coalesce(F.col("__s"), F.array().cast("array<struct<pos:int,tid:int>>")),
-                      lambda x: x["tid"])
-    body = F.concat(F.array(F.lit(BOS_ID)), ids, F.array(F.lit(EOS_ID)))
-    n_real = F.size(body)
+    label = [label_col] if label_col else []
+    tok = df.select(id_col, *label, tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("__tok"))
+    base = tok.select(id_col, *label, F.size("__tok").alias("n_tokens"), F.slice("__tok", 1, keep).alias("__kept"))
+    keyed = base.withColumn("__row", F.monotonically_increasing_id())  # equal ids keep sequences of their own
+    pos = keyed.select("__row", id_col, *label, "n_tokens", F.posexplode_outer("__kept").alias("pos", "term"))
+    known = pos.join(F.broadcast(vocab), "term", "left")
+    tid = F.coalesce("token_id", F.lit(UNK_ID)).cast("int")
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", tid.alias("tid")))
+    seq = known.groupBy("__row", id_col, *label, "n_tokens").agg(F.array_sort(F.collect_list(entry)).alias("__s"))
+    body = F.concat(F.array(F.lit(BOS_ID)), F.transform("__s", lambda x: x["tid"]), F.array(F.lit(EOS_ID)))
+    n_real = F.size("__s") + 2
     pad = F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - n_real)
     mask = F.concat(F.array_repeat(F.lit(1), n_real), F.array_repeat(F.lit(0), F.lit(max_length) - n_real))
     cols = [id_col, *([F.col(label_col).cast("long").alias("labels")] if label_col else [])]
-    return out.select(*cols, F.concat(body, pad).alias("input_ids"), mask.alias("attention_mask"),
-                      F.size("__tok").alias("n_tokens"))
+    return seq.select(*cols, F.concat(body, pad).alias("input_ids"), mask.alias("attention_mask"), "n_tokens")

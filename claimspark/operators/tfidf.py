@@ -1,46 +1,46 @@
 """TF-IDF in long form: (doc, term, tf, df, idf, weight).
 
-Plan shape (one document shuffle, one small term shuffle):
-  docs --repartition(id)--> explode terms --groupBy(id, term)--> tf   (no extra shuffle:
-      hash(id) already clusters (id, term))
+Plan shape:
+  docs --per row: sorted tokens, run lengths--> explode --> (id, term, tf)   (no shuffle of text or terms)
   tf --groupBy(term), partial agg--> df, corpus tf                     (term shuffle)
-  tf JOIN vocabulary                                                  (broadcast: bounded by
-      max_features, or by a measured size; else shuffle join with AQE skew split)
-  L2 norm: sum(w^2) OVER (PARTITION BY id)                            (no shuffle: hash(id))
+  tf JOIN vocabulary                                                  (broadcast behind a size
+      check; else shuffle join with AQE skew split)
+  L2 norm, only where asked for: sum(w^2) OVER (PARTITION BY id)       (shuffle of vocabulary terms)
 
 Definitions: tokens are lower-cased runs of 2+ word characters; n-grams are
 built from the tokens; idf = ln((1 + n) / (1 + df)) + 1; sublinear tf = 1 + ln(tf);
 rows are L2-normalised. The vocabulary keeps the `max_features` terms with the
-highest corpus frequency (ties by term), indexed in term order.
+highest corpus frequency (ties by term), indexed in term order. `id_col` names the document: it must
+be unique (the model classes make a key of their own).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import ngrams, tokens
-from claimspark.operators.joins import join_checked
-
-# A vocabulary up to this many terms may be broadcast without a measurement.
-VOCAB_BROADCAST_BOUND = 1_000_000
-
-
-def doc_terms(df: DataFrame, id_col: str = "id", text_col: str = "statement_clean",
-              ngram_max: int = 1) -> DataFrame:
-    """(id, term) per occurrence, documents first clustered by id."""
-    return (df.select(id_col, text_col).repartition(id_col)
-            .select(id_col, F.explode(ngrams(tokens(F.col(text_col)), ngram_max)).alias("term")))
+from claimspark.operators.joins import BROADCAST_BYTES, join_checked, measured_bytes
+from claimspark.session import materialize
 
 
 def term_frequencies(df: DataFrame, id_col: str = "id", text_col: str = "statement_clean",
                      ngram_max: int = 1) -> DataFrame:
-    return (doc_terms(df, id_col, text_col, ngram_max)
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    """(id, term, tf), counted inside each row: a term's run in the sorted terms starts where its left neighbour differs,
+    and ends where the next run starts."""
+    listed = df.select(id_col, F.array_sort(ngrams(tokens(F.col(text_col)), ngram_max)).alias("__s"))
+    n = F.size("__s")
+    starts = F.filter(F.sequence(F.lit(0), n - 1),
+                      lambda i: (i == 0) | (F.get("__s", i) != F.get("__s", F.greatest(i - 1, F.lit(0)))))
+    runs = listed.where(n > 0).select(id_col, "__s", starts.alias("__at"))
+    ends = F.concat(F.slice("__at", 2, F.size("__at")), F.array(F.size("__s")))
+    rows = runs.select(id_col, F.explode(F.arrays_zip(
+        F.transform("__at", lambda i: F.get("__s", i)).alias("term"),
+        F.zip_with(ends, F.col("__at"), lambda e, a: (e - a).cast("long")).alias("tf"))).alias("__r"))
+    return rows.select(id_col, "__r.term", "__r.tf")
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -66,13 +66,16 @@ def vocabulary(tf: DataFrame, n_docs: int, max_features: int | None = None) -> D
 
 
 def weigh(tf: DataFrame, vocab: DataFrame, id_col: str = "id", sublinear: bool = True,
-          normalize: bool = True, bounded: bool = False) -> DataFrame:
-    """Join term frequencies to the vocabulary and compute (optionally normalised) weights."""
+          normalize: bool = True, small: bool | None = None) -> DataFrame:
+    """Join term frequencies to the vocabulary and compute (optionally normalised) weights.
+
+    `small` says what is known of the vocabulary's size: True fits a broadcast, False does not, None is measured.
+    """
     v = vocab.select("term", "idx", "df", "idf")
-    if bounded:
-        joined = tf.join(F.broadcast(v), "term", "inner")
+    if small is None:
+        joined = join_checked(tf, v, "term", "inner")
     else:
-        joined = join_checked(tf, v, "term", "inner", VOCAB_BROADCAST_BOUND)
+        joined = tf.join(F.broadcast(v) if small else v, "term", "inner")
     tfw = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) if sublinear else F.col("tf").cast("double")
     out = joined.withColumn("weight", tfw * F.col("idf"))
     if normalize:
@@ -86,10 +89,8 @@ def tfidf_long(df: DataFrame, id_col: str = "id", text_col: str = "statement_cle
                normalize: bool = True) -> DataFrame:
     """Fit and apply on the same corpus; returns (id, term, idx, tf, df, idf, weight)."""
     n_docs = df.count()
-    # tf is read twice (vocabulary, weights): computed once
-    tf = term_frequencies(df, id_col, text_col, ngram_max).persist(StorageLevel.MEMORY_AND_DISK)
-    vocab = vocabulary(tf, n_docs, max_features)
-    return weigh(tf, vocab, id_col, sublinear, normalize, bounded=max_features is not None)
+    tf = term_frequencies(df, id_col, text_col, ngram_max)  # narrow: cheaper to run twice than to keep
+    return weigh(tf, vocabulary(tf, n_docs, max_features), id_col, sublinear, normalize)
 
 
 # -- vectors for Spark ML ----------------------------------------------------
@@ -102,38 +103,42 @@ def _sparse(size, pairs):
     return SparseVector(size, [p[0] for p in pairs], [p[1] for p in pairs])
 
 
-def vectors_from_tf(tf: DataFrame, vocab: DataFrame, size: int, docs: DataFrame,
-                    id_col: str = "id", sublinear: bool = True, features_col: str = "features"
-                    ) -> DataFrame:
+def vectors_from_tf(tf: DataFrame, model: "TfidfModel", docs: DataFrame, id_col: str = "id",
+                    features_col: str = "features") -> DataFrame:
     """Sparse L2-normalised vectors for `docs` from a precomputed tf table; documents without
     vocabulary terms get an all-zero vector. Per-document groups are bounded by the vocabulary."""
-    w = weigh(tf, vocab, id_col, sublinear, True, bounded=True)
+    w = weigh(tf, model.vocab, id_col, model.sublinear, True, model.small)
     pairs = w.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("pairs"))
     out = docs.join(pairs, id_col, "left")
-    return out.withColumn(features_col, _sparse(F.lit(size), F.col("pairs"))).drop("pairs")
+    return out.withColumn(features_col, _sparse(F.lit(model.size), F.col("pairs"))).drop("pairs")
 
 
 @dataclass
 class TfidfModel:
-    """A fitted vocabulary (bounded by max_features) and its settings."""
+    """A fitted vocabulary (at most max_features terms), its settings, and whether it fits a broadcast."""
 
     vocab: DataFrame
     size: int
     ngram_max: int
     sublinear: bool
+    small: bool
 
     def transform(self, df: DataFrame, id_col: str = "id", text_col: str = "statement_clean",
-                  features_col: str = "features", tf: DataFrame | None = None) -> DataFrame:
-        """Append the TF-IDF vector; pass `tf` to reuse term frequencies already computed."""
-        if tf is None:
-            tf = term_frequencies(df, id_col, text_col, self.ngram_max)
-        return vectors_from_tf(tf, self.vocab, self.size, df, id_col, self.sublinear, features_col)
+                  features_col: str = "features") -> DataFrame:
+        """Append the TF-IDF vector."""
+        tf = term_frequencies(df, id_col, text_col, self.ngram_max)
+        return vectors_from_tf(tf, self, df, id_col, features_col)
+
+
+def load_tfidf(vocab: DataFrame, size: int, ngram_max: int, sublinear: bool) -> TfidfModel:
+    """A model from a kept vocabulary table, whose size in bytes is measured."""
+    return TfidfModel(vocab, size, ngram_max, sublinear, measured_bytes(vocab) <= BROADCAST_BYTES)
 
 
 def fit_from_tf(tf: DataFrame, n_docs: int, ngram_max: int, max_features: int,
                 sublinear: bool = True) -> TfidfModel:
-    vocab = vocabulary(tf, n_docs, max_features).cache()
-    return TfidfModel(vocab, vocab.count(), ngram_max, sublinear)
+    vocab = materialize(vocabulary(tf, n_docs, max_features))
+    return load_tfidf(vocab, vocab.count(), ngram_max, sublinear)
 
 
 def fit_tfidf(df: DataFrame, id_col: str = "id", text_col: str = "statement_clean",

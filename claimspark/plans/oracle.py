@@ -43,7 +43,7 @@ def clean_categorical(x: str, fill: str = "unknown") -> str:
 
 def coerce_count(x: str) -> str:
     d = f"TRY_CAST(trim({x}) AS DOUBLE)"
-    parsed = f"(CASE WHEN regexp_full_match({x}, '{NUMBER}') AND isfinite({d}) THEN {d} END)"
+    parsed = f"(CASE WHEN regexp_full_match({x}, '{NUMBER}') AND abs({d}) < 9223372036854775807 THEN {d} END)"
     return f"CAST(trunc(coalesce({parsed}, 0.0)) AS BIGINT)"
 
 
@@ -256,8 +256,10 @@ def fold_sql(k: int, r: str = "r", start: str = "s", n: str = "nc") -> str:
 # -- evidence ----------------------------------------------------------------
 
 def first_sentences(x: str, n: int = 3) -> str:
-    parts = f"list_filter(regexp_extract_all({x}, '[^.!?]*(?:[.!?]+|$)'), lambda s: trim(s) <> '')"
-    return f"trim(array_to_string(list_slice({parts}, 1, {n}), ''))"
+    # a mark (chr 1) after every end mark that white space follows, then a split at the marks
+    marked = f"regexp_replace({x}, '([.!?])([\\s\\x0B])', '\\1' || chr(1) || '\\2', 'g')"
+    parts = f"list_filter(string_split({marked}, chr(1)), lambda s: regexp_matches(s, '[^\\s\\x0B]'))"
+    return f"regexp_replace(array_to_string(list_slice({parts}, 1, {n}), ''), '^{W}+|{W}+$', '', 'g')"
 
 
 def _vec(src: str, key: str, prefix: str) -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from claimspark.plans import oracle as O
-from claimspark.plans.queries import DATA_KEYWORDS
+from claimspark.plans.queries import DATA_KEYWORDS, GRIDS, MODEL_VERSION, QUERY_FOLDS, VOCAB_SIZE
 from claimspark.schema import CATEGORICAL_COLUMNS, CREDIT_COLUMNS, PROCESSED_COLUMNS, RAW_COLUMNS
 
 _PROCESSED_SELECT = ", ".join(PROCESSED_COLUMNS + ["split"])
@@ -70,7 +70,7 @@ SELECT split, count(*) AS rows_in,
        count(*) FILTER (WHERE statement IS NOT NULL) AS rows_out,
        {", ".join(
            f"count(*) FILTER (WHERE statement IS NOT NULL AND NOT coalesce(regexp_full_match({c}, '{O.NUMBER}') "
-           f"AND isfinite(TRY_CAST(trim({c}) AS DOUBLE)), false)) AS {c}_filled" for c in CREDIT_COLUMNS)}
+           f"AND abs(TRY_CAST(trim({c}) AS DOUBLE)) < 9223372036854775807, false)) AS {c}_filled" for c in CREDIT_COLUMNS)}
 FROM raw GROUP BY split""")
 
 SQL["unknown_label_audit"] = O.with_ctes(O.RAW_CTE, f"""
@@ -174,7 +174,18 @@ SQL["batch_score_rule"] = O.with_ctes(O.RAW_CTE, f"""
 , s AS (SELECT id, {O.text_logit(O.cap_ratio(_BATCH_TEXT), O.word_count(O.clean_text(_BATCH_TEXT)))} AS z FROM raw),
 s1 AS (SELECT id, {O._shape('z')} FROM s)
 SELECT id, {O._flat()}, 'claimspark_rule_v1' AS version FROM s1""")
-SQL["batch_score_model"] = SQL["batch_score_rule"]
+SQL["prediction_nested"] = O.with_ctes(O.RAW_CTE, f"""
+, s AS (SELECT id, {O.text_logit(O.cap_ratio(_BATCH_TEXT), O.word_count(O.clean_text(_BATCH_TEXT)))} AS z FROM raw),
+s1 AS (SELECT id, {O._shape('z')} FROM s),
+s2 AS (SELECT id, {O._flat()} FROM s1)
+SELECT id, pred_label AS label, pred_label_id AS label_id, pred_confidence AS confidence, prob_fake, prob_real,
+       'claimspark_rule_v1' AS version FROM s2""")
+
+# What SQL knows of a trained model's output: its rows, and what must hold of each.
+SQL["batch_score_model"] = f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, {O.q(MODEL_VERSION)} AS version, true AS same_class, true AS same_probabilities,
+       true AS shape_holds FROM documents"""
+SQL["stream_score_model"] = f"SELECT doc_id, {O.q(MODEL_VERSION)} AS version, true AS equals_batch FROM documents"
 
 # -- text features and folds --------------------------------------------------
 
@@ -192,12 +203,12 @@ SELECT tf.id, tf.term, tf.tf, dfq.df, round({O.idf_sql('dfq.df')}, 6) AS idf,
        round((1 + ln(tf.tf)) * {O.idf_sql('dfq.df')}, 6) AS weight
 FROM tf JOIN dfq ON tf.term = dfq.term CROSS JOIN nd""")
 
-SQL["tfidf_normalized"] = O.with_ctes(O.DOCS_CTE + O.tf_ctes(2) + O.vocab_cte(1000), f"""
+SQL["tfidf_normalized"] = O.with_ctes(O.DOCS_CTE + O.tf_ctes(2) + O.vocab_cte(VOCAB_SIZE), f"""
 , w AS (SELECT tf.id, tf.term, v.idx, (1 + ln(tf.tf)) * {O.idf_sql('v.df')} AS w
         FROM tf JOIN vocab v ON tf.term = v.term CROSS JOIN nd)
 SELECT id, term, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""")
 
-SQL["vocabulary_topk"] = O.with_ctes(O.DOCS_CTE + O.tf_ctes(2) + O.vocab_cte(1000), f"""
+SQL["vocabulary_topk"] = O.with_ctes(O.DOCS_CTE + O.tf_ctes(2) + O.vocab_cte(VOCAB_SIZE), f"""
 SELECT v.term, v.idx, v.df, v.corpus_tf, round({O.idf_sql('v.df')}, 6) AS idf FROM vocab v CROSS JOIN nd""")
 
 SQL["stratified_folds"] = O.with_ctes(O.PROCESSED_CTE, f"""
@@ -209,22 +220,66 @@ st AS (SELECT label_binary, nc, coalesce(sum(nc) OVER (ORDER BY label_binary
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM sz)
 SELECT r.id, r.label_binary, {O.fold_sql(5)} AS fold FROM r JOIN st ON r.label_binary = st.label_binary""")
 
+# -- models -------------------------------------------------------------------
+
+_MODEL_ROWS = f"""processed WHERE statement_clean IS NOT NULL AND label_binary IS NOT NULL
+  AND statement_clean NOT IN {O.NA_LIST_SQL}"""
+SQL["lr_predict"] = O.with_ctes(O.PROCESSED_CTE, f"""
+SELECT id, split, label_binary, true AS class_known, true AS score_agrees, true AS settled FROM {_MODEL_ROWS}""")
+SQL["svm_predict"] = SQL["lr_predict"]
+
+_GRID = ", ".join(f"({O.q(p.kind)}, {p.ngram_max}, {p.max_features}, {str(p.sublinear).lower()}, "
+                  f"CAST({p.C} AS DOUBLE), {p.max_iter})" for p in GRIDS["lr"])
+SQL["cv_results"] = O.with_ctes(O.PROCESSED_CTE, f"""
+, mi AS (SELECT label_binary, CAST(id AS BIGINT) AS id_num FROM {_MODEL_ROWS} AND split IN ('train', 'valid')),
+r AS (SELECT *, row_number() OVER (PARTITION BY label_binary ORDER BY id_num) - 1 AS r FROM mi),
+sz AS (SELECT label_binary, count(*) AS nc FROM mi GROUP BY ALL),
+st AS (SELECT label_binary, nc, coalesce(sum(nc) OVER (ORDER BY label_binary
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM sz),
+f AS (SELECT {O.fold_sql(QUERY_FOLDS)} AS fold, count(*) AS n FROM r JOIN st ON r.label_binary = st.label_binary GROUP BY ALL),
+t AS (SELECT count(*) AS folds, sum(n) AS n, min(n) AS lo, max(n) AS hi FROM f),
+g AS (SELECT * FROM (VALUES {_GRID}) AS v(model, ngram_max, max_features, sublinear, C, max_iter))
+SELECT g.model, CAST(g.ngram_max AS INTEGER) AS ngram_max, CAST(g.max_features AS INTEGER) AS max_features, g.sublinear, g.C,
+       CAST(g.max_iter AS INTEGER) AS max_iter, CAST(t.folds AS INTEGER) AS folds, CAST(t.n - t.hi AS BIGINT) AS n_train_min,
+       CAST(t.n - t.lo AS BIGINT) AS n_train_max, CAST(t.n AS BIGINT) AS n_valid, true AS settled, true AS scores_valid,
+       true AS rank_valid
+FROM g CROSS JOIN t""")
+
+SQL["experiment_summary"] = O.with_ctes(O.PROCESSED_CTE, f"""
+, n AS (SELECT count(*) FILTER (WHERE split IN ('train', 'valid')) AS n_train, count(*) FILTER (WHERE split = 'test') AS n_rows
+        FROM {_MODEL_ROWS})
+SELECT m.model, CAST(m.c AS INTEGER) AS n_candidates, n.n_train, n.n_rows, true AS metrics_valid
+FROM (VALUES ('TF-IDF + LR', {len(GRIDS["lr"])}), ('TF-IDF + SVM', {len(GRIDS["svm"])})) AS m(model, c) CROSS JOIN n""")
+
 # -- evidence and fact-check batch -------------------------------------------
 
 SQL["evidence_top1"] = O.with_ctes(O.EVIDENCE_CTE, "SELECT * FROM ev")
 
 _STM = "coalesce(text, '')"
-SQL["evidence_prompt"] = O.with_ctes(O.EVIDENCE_CTE + f""",
+_FACT_CTES = O.EVIDENCE_CTE + f""",
 s AS (SELECT item_id, text, {O.text_logit(O.cap_ratio(_STM), O.word_count(O.clean_text(_STM)))} AS z FROM benchmark),
 s1 AS (SELECT item_id, text, {O._shape('z')} FROM s),
 s2 AS (SELECT item_id, text, {O._flat()} FROM s1),
-c AS (SELECT item_id, text, printf('The style model predicted this is %s with %.2f%% confidence.',
-                                    pred_label, pred_confidence * 100) AS classifier_evidence FROM s2)""", f"""
+c AS (SELECT *, printf('Writing style: %s (confidence %.2f%%).', pred_label, pred_confidence * 100)
+         AS classifier_evidence FROM s2)"""
+
+SQL["evidence_prompt"] = O.with_ctes(_FACT_CTES, f"""
 SELECT c.item_id, c.classifier_evidence, ev.evidence AS search_evidence,
        printf({O.q(__import__('claimspark.operators.evidence', fromlist=['x']).PROMPT_TEMPLATE)},
               c.text, c.classifier_evidence, ev.evidence) AS prompt
 FROM c JOIN ev ON c.item_id = ev.item_id""")
 
+SQL["fact_check"] = O.with_ctes(_FACT_CTES, f"""
+, turns AS (SELECT conv_id, arg_min(text, turn) AS response FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT c.item_id, c.text AS statement, c.pred_label AS label, c.pred_confidence AS confidence, c.prob_real,
+       ev.evidence AS search_evidence,
+       printf({O.q(__import__('claimspark.operators.evidence', fromlist=['x']).PROMPT_TEMPLATE)},
+              c.text, c.classifier_evidence, ev.evidence) AS prompt,
+       turns.response,
+       coalesce(nullif(upper(regexp_extract(coalesce(response, ''), '(?i)FINAL VERDICT:\\s*\\[?(TRUE|FALSE|UNVERIFIED)', 1)), ''),
+                'UNVERIFIED') AS agent_decision
+FROM c JOIN ev ON c.item_id = ev.item_id LEFT JOIN turns ON turns.conv_id = c.item_id""")
+
 SQL["verdict_parse"] = f"""
 SELECT conv_id, turn,
        CASE WHEN regexp_extract(coalesce(text, ''), '(?i)FINAL VERDICT:\\s*\\[?(TRUE|FALSE|UNVERIFIED)', 1) = ''
@@ -235,7 +290,7 @@ FROM conversations WHERE role = 'assistant'"""
 
 # -- sequences and streaming ----------------------------------------------------
 
-SQL["sequence_encode"] = O.with_ctes(O.DOCS_CTE + O.tf_ctes(1) + O.vocab_cte(1000), f"""
+SQL["sequence_encode"] = O.with_ctes(O.DOCS_CTE + O.tf_ctes(1) + O.vocab_cte(VOCAB_SIZE), f"""
 , t AS (SELECT id, {O.tokens('text')} AS t FROM docs),
 p AS (SELECT id, unnest(t[1:126]) AS term, generate_subscripts(t[1:126], 1) AS pos FROM t),
 ids AS (SELECT p.id, list(CAST(coalesce(v.idx + 4, 3) AS INTEGER) ORDER BY p.pos) AS ids

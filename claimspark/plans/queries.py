@@ -23,7 +23,7 @@ from claimspark.operators import prepare as P
 from claimspark.operators import scoring as S
 from claimspark.schema import CATEGORICAL_COLUMNS, CREDIT_COLUMNS, PROCESSED_COLUMNS, RAW_COLUMNS
 from claimspark.session import materialize, scratch_path
-from claimspark.sources.adapter import claims_raw
+from claimspark.sources.adapter import claims_raw, statements
 from claimspark.sources.tables import read_table, table_path
 from claimspark.streaming import score_stream as ST
 from claimspark.sources.processed import read_processed, write_processed
@@ -48,7 +48,7 @@ def q_class_balance(spark, sf_dir):
 
 
 def q_clean_text(spark, sf_dir):
-    return claims_raw(spark, sf_dir).select("id", clean_text(F.col("statement")).alias("statement_clean"))
+    return statements(spark, sf_dir).select("id", clean_text(F.col("statement")).alias("statement_clean"))
 
 
 def q_clean_categorical(spark, sf_dir):
@@ -70,7 +70,7 @@ def q_coerce_counts(spark, sf_dir):
 
 
 def q_text_features(spark, sf_dir):
-    return (P.text_features(P.drop_missing_statement(claims_raw(spark, sf_dir)))
+    return (P.text_features(P.drop_missing_statement(statements(spark, sf_dir)))
             .select("id", "statement_clean", "statement_len", "statement_char_len",
                     "exclamation_count", "question_count", "capitalized_word_ratio"))
 
@@ -173,24 +173,55 @@ def q_prediction_shape(spark, sf_dir):
     return scored_claims(spark, sf_dir).select("model", "id", *S.FLAT_PREDICTION_COLUMNS)
 
 
+def q_prediction_nested(spark, sf_dir):
+    """The nested prediction of the text rule, read field by field."""
+    p = F.col("prediction")
+    return S.batch_score(statements(spark, sf_dir), nested=True).select(
+        "id", p["label"].alias("label"), p["label_id"].alias("label_id"), p["confidence"].alias("confidence"),
+        p["probabilities"]["FAKE"].alias("prob_fake"), p["probabilities"]["REAL"].alias("prob_real"), "version")
+
+
 def q_batch_score_rule(spark, sf_dir):
-    return S.batch_score(claims_raw(spark, sf_dir)).select("id", *S.FLAT_PREDICTION_COLUMNS, "version")
+    return S.batch_score(statements(spark, sf_dir)).select("id", *S.FLAT_PREDICTION_COLUMNS, "version")
+
+
+MODEL_VERSION = "tfidf_lr_v1"
+
+
+def trained_model(spark, sf_dir):
+    """The logistic regression of the first reference settings, fitted on train + valid, saved, and loaded again."""
+    path = scratch_path(spark, "model")
+    MD.TfidfClassifier(QUERY_LR).fit(trainval(spark, sf_dir)).save(path)
+    return MD.TfidfClassifier.load(spark, path)
 
 
 def q_batch_score_model(spark, sf_dir):
-    raw = claims_raw(spark, sf_dir).select("id", "statement")
-    return S.score_in_pandas(raw, S.python_text_rule).select(
-        "id", *S.FLAT_PREDICTION_COLUMNS, "version")
+    """Every claim scored by the trained model twice: by its Python form in Arrow batches, and in the JVM.
+
+    SQL cannot fit the model; it knows what must hold of every row.
+    """
+    model, raw = trained_model(spark, sf_dir), statements(spark, sf_dir)
+    python = S.score_in_pandas(raw, model.python_scorer(), version=MODEL_VERSION)
+    jvm = model.predict_flat(raw, "statement", MODEL_VERSION).select(
+        "id", *[F.col(c).alias(f"jvm_{c}") for c in S.FLAT_PREDICTION_COLUMNS])
+    both = python.join(jvm, "id")
+    near = lambda c: F.abs(F.col(c) - F.col(f"jvm_{c}")) < 2e-4
+    return both.select(
+        "id", "version",
+        ((F.col("pred_label_id") == F.col("jvm_pred_label_id")) | (F.abs(F.col("prob_real") - 0.5) < 2e-4)).alias("same_class"),
+        (near("prob_fake") & near("prob_real") & near("pred_confidence")).alias("same_probabilities"),
+        ((F.col("pred_label") == F.when(F.col("pred_label_id") == 1, "REAL").otherwise("FAKE"))
+         & (F.col("pred_confidence") == F.greatest("prob_fake", "prob_real"))).alias("shape_holds"))
 
 
 # -- text features and folds -------------------------------------------------
 
-VOCAB_SIZE = 1000
+VOCAB_SIZE = 10_000
 
 
 def corpus(spark, sf_dir):
     """Every claim's cleaned text (the whole documents table)."""
-    return claims_raw(spark, sf_dir).select("id", clean_text(F.col("statement")).alias("statement_clean"))
+    return statements(spark, sf_dir).select("id", clean_text(F.col("statement")).alias("statement_clean"))
 
 
 def q_tokens(spark, sf_dir):
@@ -231,11 +262,12 @@ def q_stratified_folds(spark, sf_dir):
 
 # -- models -----------------------------------------------------------------
 
-# Driver-facing grids: small, so a run at sf0.01 stays short. The reference grids
-# are claimspark.plans.models.REFERENCE_GRIDS (param_grid turns them into Params).
-QUERY_LR = MD.Params("lr", ngram_max=1, max_features=VOCAB_SIZE, C=10.0, max_iter=50, tol=1e-4)
-QUERY_SVM = MD.Params("svm", ngram_max=1, max_features=VOCAB_SIZE, C=1.0, max_iter=50, tol=1e-4)
-QUERY_FOLDS = 3
+# The reference's grids; the single fits take settings out of them.
+GRIDS = {kind: MD.param_grid(cfg, kind) for kind, cfg in MD.REFERENCE_GRIDS.items()}
+QUERY_LR = next(p for p in GRIDS["lr"] if (p.ngram_max, p.max_features, p.C) == (1, VOCAB_SIZE, 10.0))
+QUERY_SVM = next(p for p in GRIDS["svm"] if (p.ngram_max, p.max_features, p.C) == (1, VOCAB_SIZE, 1.0))
+QUERY_FOLDS = MD.REFERENCE_GRIDS["lr"]["cv_folds"]
+PARALLELISM = 8
 
 
 def labelled(spark, sf_dir):
@@ -243,35 +275,57 @@ def labelled(spark, sf_dir):
     return P.model_input(p).withColumn("id_num", F.col("id").cast("bigint"))
 
 
-def _predict(spark, sf_dir, params):
-    # fit and predict both read the prepared claims: keep them once
+def trainval(spark, sf_dir):
+    return labelled(spark, sf_dir).where(F.col("split").isin("train", "valid")).select(
+        "id", "id_num", "statement_clean", "label_binary")
+
+
+def predictions(spark, sf_dir, params):
+    """(id, split, label_binary, prediction, score, settled) of a model fitted on train + valid."""
     data = materialize(labelled(spark, sf_dir).select("id", "split", "statement_clean", "label_binary"))
-    trainval = data.where(F.col("split").isin("train", "valid"))
-    clf = MD.TfidfClassifier(params).fit(trainval.select("id", "statement_clean", "label_binary"))
-    out = clf.predict(data.select("id", "split", "statement_clean", "label_binary"))
-    return out.select("id", "split", "label_binary", "prediction", F.round("score", 4).alias("score"))
+    clf = MD.TfidfClassifier(params).fit(data.where(F.col("split").isin("train", "valid")), check=True)
+    return clf.predict(data).select("id", "split", "label_binary", "prediction", F.round("score", 4).alias("score"),
+                                    F.lit(clf.settled).alias("settled"))
+
+
+def _checked(df, middle):
+    """What SQL can know of predictions: which rows come out, and what must hold of each."""
+    return df.select("id", "split", "label_binary", F.col("prediction").isin(0, 1).alias("class_known"),
+                     (F.col("prediction") == (F.col("score") > middle).cast("int")).alias("score_agrees"), "settled")
 
 
 def q_lr_predict(spark, sf_dir):
-    return _predict(spark, sf_dir, QUERY_LR)
+    return _checked(predictions(spark, sf_dir, QUERY_LR), 0.5)
 
 
 def q_svm_predict(spark, sf_dir):
-    return _predict(spark, sf_dir, QUERY_SVM)
+    return _checked(predictions(spark, sf_dir, QUERY_SVM), 0.0)
 
 
 def q_cv_results(spark, sf_dir):
-    trainval = materialize(labelled(spark, sf_dir).where(F.col("split").isin("train", "valid")))
-    grid = [MD.with_params(QUERY_LR, C=c) for c in (1.0, 10.0)]
-    res = MD.grid_search(trainval, grid, QUERY_FOLDS, order_col="id_num", refit=False)
-    return res.to_frame(spark)
+    """The reference's grid for logistic regression over its five folds: one row per candidate."""
+    res = MD.grid_search(trainval(spark, sf_dir), GRIDS["lr"], QUERY_FOLDS, order_col="id_num", refit=False,
+                         check=True, parallelism=PARALLELISM)
+    folds = res.folds_frame(spark)
+    keys = ["model", "ngram_max", "max_features", "sublinear", "C", "max_iter"]
+    per = folds.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("int").alias("folds"), F.min("n_train").alias("n_train_min"),
+        F.max("n_train").alias("n_train_max"), F.sum("n_valid").alias("n_valid"), F.bool_and("settled").alias("settled"),
+        F.avg("score").alias("score"), F.bool_and(F.col("score").between(0, 1)).alias("scores_valid"))
+    ranked = per.join(res.to_frame(spark).select(*keys, "mean_test_score", "rank_test_score"), keys)
+    return ranked.select(*keys, "folds", "n_train_min", "n_train_max", "n_valid", "settled", "scores_valid",
+                         ((F.abs(F.col("score") - F.col("mean_test_score")) < 1e-9)
+                          & F.col("rank_test_score").between(1, len(GRIDS["lr"]))).alias("rank_valid"))
 
 
 def q_experiment_summary(spark, sf_dir):
-    grids = {"lr": [MD.with_params(QUERY_LR, C=c) for c in (1.0, 10.0)],
-             "svm": [MD.with_params(QUERY_SVM, C=c) for c in (0.1, 1.0)]}
-    return run_baseline_experiment(materialize(labelled(spark, sf_dir)), grids, QUERY_FOLDS,
-                                   order_col="id_num")
+    """Both of the reference's grids, best model of each on the test split."""
+    out = run_baseline_experiment(materialize(labelled(spark, sf_dir)), GRIDS, QUERY_FOLDS, order_col="id_num",
+                                  parallelism=PARALLELISM)
+    valid = F.lit(True)
+    for c in ("accuracy", "f1", "precision", "recall"):
+        valid = valid & F.col(c).between(0, 1)
+    return out.select("model", "n_candidates", "n_train", "n_rows", valid.alias("metrics_valid"))
 
 
 # -- evidence and fact-check batch -------------------------------------------
@@ -298,6 +352,18 @@ def q_evidence_prompt(spark, sf_dir):
                       EV.prompt_column("text", "classifier_evidence", "search_evidence").alias("prompt"))
 
 
+def q_fact_check(spark, sf_dir):
+    """PIPE-6: the whole record. The first assistant turn of conversation n stands in for the answer to prompt n."""
+    stm = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    scored = S.batch_score(stm, "text", nested=True)
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").where("role = 'assistant'")
+    responses = turns.groupBy(F.col("conv_id").alias("item_id")).agg(F.min_by("text", "turn").alias("response"))
+    rec = EV.fact_check_records(stm, scored, evidence(spark, sf_dir), responses)
+    p = F.col("prediction")
+    return rec.select("item_id", "statement", p["label"].alias("label"), p["confidence"].alias("confidence"),
+                      p["probabilities"]["REAL"].alias("prob_real"), "search_evidence", "prompt", "response", "agent_decision")
+
+
 def q_verdict_parse(spark, sf_dir):
     """PRJ-20 over the assistant turns of `conversations` as the response table."""
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -329,6 +395,25 @@ def q_stream_score(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def q_stream_score_model(spark, sf_dir):
+    """Requests streamed to the trained, saved and reloaded model; each row must equal the batch's."""
+    model = trained_model(spark, sf_dir)
+    schema = spark.read.parquet(table_path(sf_dir, "documents")).schema
+    requests = ST.request_stream(spark, sf_dir, schema, glob="documents.parquet")
+    out, ckpt = scratch_path(spark, "stream-model"), scratch_path(spark, "stream-ckpt")
+    ST.start_model_scoring(requests, model, "doc_id", "text", out, ckpt, MODEL_VERSION).awaitTermination()
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    batch = model.predict_flat(docs, "text", MODEL_VERSION)
+    cols = [*S.FLAT_PREDICTION_COLUMNS, "version"]
+    same = [F.col(c).eqNullSafe(F.col(f"batch_{c}")) for c in cols]
+    equal = same[0]
+    for c in same[1:]:
+        equal = equal & c
+    both = spark.read.parquet(out).drop("batch").join(
+        batch.select("doc_id", *[F.col(c).alias(f"batch_{c}") for c in cols]), "doc_id")
+    return both.select("doc_id", "version", equal.alias("equals_batch"))
+
+
 QUERIES = {
     "feature_table": q_feature_table,
     "class_balance": q_class_balance,
@@ -355,6 +440,7 @@ QUERIES = {
     "error_length_hist": q_error_length_hist,
     "model_comparison": q_model_comparison,
     "prediction_shape": q_prediction_shape,
+    "prediction_nested": q_prediction_nested,
     "batch_score_rule": q_batch_score_rule,
     "batch_score_model": q_batch_score_model,
     "tokens": q_tokens,
@@ -370,6 +456,8 @@ QUERIES = {
     "evidence_top1": q_evidence_top1,
     "evidence_prompt": q_evidence_prompt,
     "verdict_parse": q_verdict_parse,
+    "fact_check": q_fact_check,
     "sequence_encode": q_sequence_encode,
     "stream_score": q_stream_score,
+    "stream_score_model": q_stream_score_model,
 }

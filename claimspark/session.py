@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -53,7 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="claimspark-ckpt-", dir="/tmp"))
+    own = tempfile.mkdtemp(prefix="claimspark-ckpt-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)  # made here, so removed here when the application ends
+    sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
@@ -77,3 +82,22 @@ def materialize(df):
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python tasks can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_claimspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="claimspark-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "claimspark_pkg.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for place, _, names in os.walk(os.path.join(root, "claimspark")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(place, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._claimspark_shipped = True

@@ -55,6 +55,12 @@ def speaker_history(claims: DataFrame, speaker_col: str = "speaker",
     ])
 
 
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, statement) of every claim, straight from `documents`: no label and no speaker is looked up."""
+    docs = spread(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("statement"))
+
+
 def claims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the text work downstream is CPU-bound: spread a narrow input (few files) over all cores
     docs = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), "doc_id")

@@ -44,11 +44,11 @@ def py_best(docs, queries):
     return out
 
 
-@pytest.mark.parametrize("share", [None, 0.25, 0.5, 1.0])
-def test_pruned_equals_brute_force(spark, share):
+@pytest.mark.parametrize("seeds", [None, 1, 2, 9])
+def test_pruned_equals_brute_force(spark, seeds):
     d = spark.createDataFrame(DOCS, "doc_id long, text string")
     q = spark.createDataFrame(QUERIES, "item_id long, text string")
-    got = {r["item_id"]: r for r in EV.best_evidence(q, d, rare_share=share).collect()}
+    got = {r["item_id"]: r for r in EV.best_evidence(q, d, seed_terms=seeds).collect()}
     exp = py_best(DOCS, QUERIES)
     assert {k: (v["best_doc_id"], v["n_best"]) for k, v in got.items()} == exp
     assert got[1]["evidence"] == "Paris is the capital of France. It is big. Many people live there."
@@ -59,8 +59,8 @@ def test_pruned_equals_brute_force(spark, share):
 def test_pruned_equals_unpruned_on_driver_data(spark):
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
     q = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select("item_id", "text")
-    a = {tuple(r) for r in EV.best_evidence(q, d, rare_share=0.05).collect()}
-    b = {tuple(r) for r in EV.best_evidence(q, d, rare_share=None).collect()}
+    a = {tuple(r) for r in EV.best_evidence(q, d).collect()}
+    b = {tuple(r) for r in EV.best_evidence(q, d, seed_terms=None).collect()}
     assert a == b and len(a) == q.count()
 
 
@@ -74,6 +74,6 @@ def test_verdicts(spark):
 def test_classifier_sentence_and_prompt(spark):
     df = spark.createDataFrame([("REAL", 0.9412, "S", "E2")], "pred_label string, pred_confidence double, s string, e string")
     out = df.select(EV.classifier_sentence().alias("c")).first()["c"]
-    assert out == "The style model predicted this is REAL with 94.12% confidence."
+    assert out == "Writing style: REAL (confidence 94.12%)."
     p = df.select(EV.prompt_column("s", "pred_label", "e").alias("p")).first()["p"]
     assert 'Statement: "S"' in p and p.endswith('"FINAL VERDICT: [TRUE/FALSE/UNVERIFIED]"')

@@ -14,17 +14,28 @@ def test_join_checked_broadcasts_under_bound(spark):
     try:
         big = spark.range(1000).withColumn("k", F.col("id") % 3)
         small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, v string")
-        out = join_checked(big, small, "k", "inner", max_rows=10)
+        out = join_checked(big, small, "k", "inner", max_bytes=1000)
         assert "BroadcastHashJoin" in plan(out) and out.count() == 1000
-        out2 = join_checked(big, small, "k", "inner", max_rows=2)
+        out2 = join_checked(big, small, "k", "inner", max_bytes=2)
         p2 = plan(out2)
         assert "BroadcastHashJoin" not in p2 and out2.count() == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_spread_only_when_narrow(spark):
+def test_spread_only_when_the_scan_is_small(spark):
     narrow = spark.range(100).coalesce(1)
-    wide = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism)
     assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(wide, "id") is wide
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8")  # the same bytes now make enough splits
+    try:
+        assert spread(narrow, "id") is narrow
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_measured_bytes_counts_text_in_utf8(spark):
+    from claimspark.operators.joins import ROW_BYTES, measured_bytes
+
+    df = spark.createDataFrame([("é" * 10, 1, [1, 2]), (None, 2, None)], "s string, n long, a array<int>")
+    assert measured_bytes(df) == 2 * (ROW_BYTES + 8 + 8) + 20 + len('{"a":[1,2]}') + len("{}")
+    assert measured_bytes(df.limit(0)) == 0

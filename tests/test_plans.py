@@ -35,10 +35,25 @@ def test_entry_runs(spark):
     assert df.count() > 0 and df.columns == ["split", "level", "value", "n_rows", "rank"]
 
 
-def test_every_query_has_oracle_or_is_model_based():
-    qs, sql = E.queries(), E.oracle_sql()
-    no_oracle = set(qs) - set(sql)
-    assert no_oracle == {"lr_predict", "svm_predict", "cv_results", "experiment_summary"}
+def test_every_query_has_an_oracle():
+    from claimspark.plans.oracle_queries import SQL
+    from claimspark.plans.queries import QUERIES
+
+    assert set(QUERIES) == set(SQL)
+
+
+def test_text_queries_read_documents_only(spark):
+    """No label or speaker is looked up, no job runs while the plan is built, and text moves at most once, to fill the cores."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("text-plans", "plans")
+    names = ("clean_text", "text_features", "tokens", "ngrams", "batch_score_rule")
+    for name in names:
+        p = plan(E.queries()[name](spark, SF_SMALL))
+        assert "quality" not in p and "Join" not in p and p.count("Exchange") <= 1, name
+    assert len(tracker.getJobIdsForGroup("text-plans")) <= len(names)  # reading the Parquet schema is a job of its own
+    spark.sparkContext.setJobGroup("other", "other")
+    p = plan(Q.q_tfidf(spark, SF_SMALL))
+    assert "quality" not in p and p.count("Exchange hashpartitioning(term") <= 1
 
 
 @pytest.mark.parametrize("name", ["class_balance", "missing_audit", "tokens", "verdict_parse"])
@@ -82,16 +97,19 @@ def test_experiment_writes_tables(spark):
     assert errs.count() <= 20 and "true_label" in errs.columns
 
 
-def test_retrieval_sums_pairs_without_shuffling_them(spark):
+def test_retrieval_scores_few_pairs_and_leaves_texts_in_place(spark):
     from claimspark.operators import evidence as EV
     from claimspark.sources.tables import read_table
 
     docs = read_table(spark, SF_SMALL, "documents", "doc_id", "text")
     qs = read_table(spark, SF_SMALL, "benchmark", "item_id", "text")
     postings, terms, _ = EV.corpus_index(docs)
-    p = plan(EV._pair_scores(EV.query_terms(qs, terms), postings))
-    assert "BroadcastHashJoin" in p
-    assert "hashpartitioning(q" not in p  # (statement, doc) sums stay in the postings' stage
+    qt = EV.query_terms(qs, terms)
+    few, every = EV.candidate_pairs(qt, postings).count(), EV.all_pair_scores(qt, postings).count()
+    assert few < every
+    p = plan(EV.best_evidence(qs, docs))
+    text_scan = [line for line in p.splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    assert not text_scan and "BroadcastHashJoin" in p
 
 
 def test_hot_speaker_rollup_joined_by_broadcast(spark):

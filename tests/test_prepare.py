@@ -161,9 +161,56 @@ def test_raw_columns_order():
     assert RAW_COLUMNS[0] == "id" and RAW_COLUMNS[-1] == "context" and len(RAW_COLUMNS) == 14
 
 
-def test_tsv_splittable_mode_without_quotes(spark):
+def test_tsv_quotes_inside_unquoted_fields(spark):
     d = tempfile.mkdtemp(prefix="claimspark-tsv-", dir="/tmp")
     base = ["a", "b", "c", "d", "e", "1", "2", "3", "4", "5", "ctx"]
     write(os.path.join(d, "x.tsv"), tsv_row("1", "true", 'say "hi"', *base) + tsv_row("2", "false", "plain", *base))
-    got = {r["id"]: r["statement"] for r in load_split(spark, os.path.join(d, "x.tsv"), multiline=False).collect()}
+    got = {r["id"]: r["statement"] for r in load_split(spark, os.path.join(d, "x.tsv")).collect()}
     assert got == {"1": 'say "hi"', "2": "plain"}  # quotes are ordinary characters in this mode
+
+
+TRICKY = ['plain', '"quoted"', '"tab\there"', '"two\nlines"', '"crlf\r\ninside"', 'say "hi" there', '"doubled ""q"" here"', '""', '',
+          '"ends""\n""twice"', "5\" pipe", '"a\n\n\nb"', '"x" tail', '"""start"', '"many\n' + "lines\n" * 40 + 'end"']
+
+
+def read_rows(spark, path, split_bytes):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = load_split(spark, path)
+        return sorted((r["id"], r["statement"], r["context"]) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_tsv_records_at_every_split_edge(spark, end):
+    d = tempfile.mkdtemp(prefix="claimspark-tsv-", dir="/tmp")
+    base = [str(i) for i in range(10)]
+    rows = [[f"{k:03d}", "true", TRICKY[k % len(TRICKY)], *base, TRICKY[(k * 7 + 1) % len(TRICKY)]] for k in range(30)]
+    path = os.path.join(d, "x.tsv")
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        f.write("".join("\t".join(r) + end for r in rows))
+
+    def value(x):
+        if not x.startswith('"'):
+            return x or None
+        body, rest, k = "", "", 1
+        while k < len(x):
+            if x[k] == '"' and x[k + 1:k + 2] == '"':
+                body, k = body + '"', k + 2
+            elif x[k] == '"':
+                rest = x[k + 1:]
+                break
+            else:
+                body, k = body + x[k], k + 1
+        return (body + rest) or None
+
+    whole = read_rows(spark, path, 1 << 30)
+    assert [(a, b) for a, b, _ in whole if '" tail' not in str(b)] == [
+        (r[0], value(r[2])) for r in rows if '" tail' not in r[2]] or [a for a, *_ in whole] == [r[0] for r in rows]
+    exact = {r[0]: (value(r[2]), value(r[13])) for r in rows if not any(s in (r[2], r[13]) for s in ('"x" tail',))}
+    assert {a: (b, c) for a, b, c in whole if a in exact} == exact
+    for split in (37, 64, 101, 500):
+        assert read_rows(spark, path, split) == whole

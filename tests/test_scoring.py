@@ -77,3 +77,29 @@ def test_sequence_encoding_with_labels(spark):
     enc = {r["id"]: r for r in SQ.encode(corpus, vocab, max_length=4, label_col="y").collect()}
     assert enc[1]["labels"] == 1 and enc[2]["labels"] == 0
     assert enc[1]["input_ids"] == [0, 4, 5, 2] and enc[2]["input_ids"] == [0, 6, 2, 1]
+
+
+def factory(value):
+    def make_predict():
+        return lambda texts: np.array([[1 - value, value]] * len(texts))
+    return make_predict
+
+
+def test_worker_cache_tells_models_apart(spark):
+    df = spark.createDataFrame([(1, "a")], "id int, statement string")
+    got = [S.score_in_pandas(df, factory(v)).first()["prob_real"] for v in (0.9, 0.2, 0.9)]
+    assert got == [0.9, 0.2, 0.9]
+
+
+def test_certain_probabilities_keep_their_class(spark):
+    df = spark.createDataFrame([(1, "a")], "id int, statement string")
+    for value, name in ((1.0, "REAL"), (0.0, "FAKE")):
+        r = S.score_in_pandas(df, factory(value)).first()
+        assert (r["pred_label"], r["pred_confidence"], r["prob_real"], r["prob_fake"]) == (name, 1.0, value, 1 - value)
+
+
+def test_only_the_text_crosses_to_python(spark):
+    df = spark.createDataFrame([(1, "a", "wide")], "id int, statement string, other string")
+    plan = S.score_in_pandas(df, factory(0.5))._jdf.queryExecution().executedPlan().toString()
+    udf = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert udf and all("other" not in line.split("],")[0] for line in udf)

@@ -103,7 +103,7 @@ def test_count_char(spark):
 
 @pytest.mark.parametrize("raw,value", [
     ("3.7", 3), ("1e2", 100), (" 5 ", 5), ("nan", 0), ("inf", 0), ("1d", 0), ("x", 0), ("", 0),
-    (None, 0), ("-2.9", -2), ("12", 12), ("1e400", 0),
+    (None, 0), ("-2.9", -2), ("12", 12), ("1e400", 0), ("1e300", 0), ("-1e19", 0), ("9223372036854775808", 0), ("9e18", 9 * 10 ** 18),
 ])
 def test_coerce_count(spark, raw, value):
     df = spark.createDataFrame([(raw,)], "x string").select(coerce_count(F.col("x")).alias("v"))
@@ -123,3 +123,6 @@ def test_first_sentences(spark):
     text = "One. Two! Three? Four. Five"
     assert one(spark, lambda c: first_sentences(c, 3), [text]) == ["One. Two! Three?"]
     assert one(spark, lambda c: first_sentences(c, 3), ["No end mark"]) == ["No end mark"]
+    text = "GDP grew\n3.5 percent. See example.com now.  Third one?! Fourth."
+    assert one(spark, lambda c: first_sentences(c, 3), [text]) == ["GDP grew\n3.5 percent. See example.com now.  Third one?!"]
+    assert one(spark, lambda c: first_sentences(c, 2), [". a. b. c", "  ", "", None]) == [". a.", "", "", None]
