@@ -8,16 +8,13 @@ strings. Word and shingle identities are 64-bit hashes.
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.session import scratch_path
+from claimspark.session import scratch_path, ship_package  # noqa: F401
 
 #: Bytes of text handled at once by the kernels (a longer single text is one piece).
 PIECE_BYTES = 1 << 20
@@ -32,23 +29,6 @@ _ODD_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that tasks can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_claimspark_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(prefix="claimspark-zip-"), "claimspark_pkg.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(os.path.join(root, "claimspark")):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    sc._claimspark_shipped = True
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared checkpoint folder and read it back (cuts the lineage)."""
     spark = df.sparkSession
@@ -127,7 +107,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, PIECE_BYTES + (PIECE_BYTES >> 2))
+        size = n + (n >> 2)
         for key, base in (("up", _ODD), ("down", _ODD_INV)):
             a = np.full(size, base, dtype=np.uint64)
             a[0] = 1
