@@ -42,11 +42,30 @@ GRAM = 20
 NO_ID = (1 << 63) - 1
 
 
+#: Bytes that the ranking of positions holds in its working arrays at once (a longer single text is one part).
+PART_BYTES = 1 << 18
+
+
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
-    """(position, first window, last window, gram name) of every synchronised position, in order, and the hash sums.
+    """(position, first window, last window, gram name, run name, text) of every synchronised position, in order.
 
-    A window is the start of `length` bytes inside one text.
+    A window is the start of `length` bytes inside one text; a run's name covers all its windows' bytes.
     """
+    parts = []
+    for low, _, b, o in C.pieces(buf, offs, PART_BYTES):
+        pos, first, last, names, sums = _anchors(b, o, length, gram)
+        runs = C.mix(C.span_hash(sums, first, last + length) * C._ODD + (pos - first).astype(np.uint64) * np.uint64(257)
+                     + (last - first).astype(np.uint64))
+        base = int(offs[low])
+        parts.append((pos + base, first + base, last + base, names, runs, np.searchsorted(o, pos, "right") - 1 + low))
+    if not parts:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
+    return tuple(np.concatenate(column) for column in zip(*parts))
+
+
+def _anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
+    """(position, first window, last window, gram name) of every synchronised position, and the hash sums."""
     none = np.zeros(0, dtype=np.int64)
     sums = C.prefix_sums(buf)
     n = len(buf)
@@ -144,8 +163,7 @@ _GRAMS = "name doc ids keys"
 
 def _send_grams(batches, length: int, gram: int, fragments: int) -> Iterator[pa.RecordBatch]:
     for number, ids, keys, b, o, _, _ in _input(batches):
-        pos, _, _, names, _ = anchors(b, o, length, gram)
-        doc = np.searchsorted(o, pos, "right") - 1
+        _, _, _, names, _, doc = anchors(b, o, length, gram)
         # a gram once per text, whatever its count there
         order = np.lexsort((names, doc))
         doc, names = doc[order], names[order]
@@ -161,11 +179,17 @@ def _repeated_grams(table: pa.Table) -> pa.Table:
     """Per batch: the gram names of one fragment that more than one text has, by text."""
     rows = table.to_pylist()
     names = [_load(r["name"]) for r in rows]
-    every = np.sort(np.concatenate(names))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    out = []
+    every = np.concatenate(names)
+    order = np.argsort(every, kind="stable")
+    ranked = every[order]
+    same = np.zeros(len(every) + 1, dtype=bool)
+    same[1:-1] = ranked[1:] == ranked[:-1]
+    twice = np.empty(len(every), dtype=bool)
+    twice[order] = same[1:] | same[:-1]
+    out, at = [], 0
     for r, own in zip(rows, names):
-        hit = np.isin(own, twice) if len(twice) else np.zeros(len(own), bool)
+        hit = twice[at:at + len(own)]
+        at += len(own)
         out.append({**r, "name": _dump(own[hit]), "doc": _dump(_small(_load(r["doc"])[hit]))})
     return pa.Table.from_pylist(out, _schema(_GRAMS))
 
@@ -192,8 +216,7 @@ _RUNS = "name doc key id pos first size ids keys"
 
 def _send_runs(batches, length: int, gram: int, fragments: int) -> Iterator[pa.RecordBatch]:
     for number, ids, keys, b, o, batch, low in _input(batches):
-        pos, first, last, names, sums = anchors(b, o, length, gram)
-        doc = np.searchsorted(o, pos, "right") - 1
+        pos, first, last, names, whole, doc = anchors(b, o, length, gram)
         fragment = _fragment_of(names, fragments)
         code = (fragment << 32) | names.astype(np.uint32).astype(np.int64)
         cut = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -204,9 +227,7 @@ def _send_runs(batches, length: int, gram: int, fragments: int) -> Iterator[pa.R
             here = code[cut[k]:cut[k + 1]]
             place = np.minimum(np.searchsorted(own, here), len(own) - 1)
             keep[cut[k]:cut[k + 1]] = own[place] == here
-        pos, first, last, names, doc, fragment = (x[keep] for x in (pos, first, last, names, doc, fragment))
-        whole = C.mix(C.span_hash(sums, first, last + length) * C._ODD + (pos - first).astype(np.uint64) * np.uint64(257)
-                      + (last - first).astype(np.uint64))
+        pos, first, last, names, whole, doc, fragment = (x[keep] for x in (pos, first, last, names, whole, doc, fragment))
         out = _rows(fragment, fragments, number,
                     {"name": names.astype(np.uint32), "doc": doc, "key": whole, "id": ids[doc], "pos": pos - o[doc],
                      "first": pos - first, "size": last - first}, ids=_dump(ids), keys=_dump(keys))
@@ -285,8 +306,7 @@ _WINDOWS = "bytes doc id start size ids keys"
 
 def _send_windows(batches, length: int, gram: int, fragments: int) -> Iterator[pa.RecordBatch]:
     for number, ids, keys, b, o, batch, low in _input(batches):
-        _, first, last, names, _ = anchors(b, o, length, gram)
-        doc = np.searchsorted(o, first, "right") - 1
+        _, first, last, names, _, doc = anchors(b, o, length, gram)
         cut = np.searchsorted(doc, np.arange(len(ids) + 1))
         keep = np.zeros(len(first), dtype=bool)
         asked = batch.column("asked")
@@ -314,39 +334,47 @@ def _send_windows(batches, length: int, gram: int, fragments: int) -> Iterator[p
 def _judge_windows(table: pa.Table, length: int) -> pa.Table:
     """Sorts one fragment's windows by (name, id): those that a smaller document has are repeats; answered as runs."""
     rows = table.to_pylist()
-    names, ids, places = [], [], []
+    names, ids, sizes = [], [], []
     for r in rows:
         buf = np.frombuffer(r["bytes"], np.uint8)
         size = _load(r["size"]).astype(np.int64)
         n = size + length
-        base = np.cumsum(n) - n
-        idx = np.arange(int((size + 1).sum())) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1) \
-            + np.repeat(base, size + 1)
+        idx = _counting(size + 1) + np.repeat(np.cumsum(n) - n, size + 1)
         names.append(C.span_hash(C.prefix_sums(buf), idx, idx + length) if len(idx) else np.zeros(0, np.uint64))
-        ids.append(np.repeat(_load(r["id"]).astype(np.int64), size + 1))
-        places.append((np.repeat(_load(r["doc"]).astype(np.int64), size + 1),
-                       np.arange(len(idx)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
-                       + np.repeat(_load(r["start"]).astype(np.int64), size + 1)))
-    name, every = np.concatenate(names), np.concatenate(ids)
-    order = np.lexsort((every, name))
-    new = np.ones(len(name), bool)
-    new[1:] = name[order][1:] != name[order][:-1]
-    least = np.empty(len(name), dtype=np.int64)
-    least[order] = every[order][new][np.cumsum(new) - 1] if len(name) else every
+        ids.append(np.repeat(_load(r["id"]), size + 1))
+        sizes.append(size)
+    name = np.concatenate(names)
+    names.clear()
+    every = np.concatenate(ids) if len({x.dtype for x in ids}) == 1 else np.concatenate([x.astype(np.int64) for x in ids])
+    ids.clear()
+    order = np.argsort(name)
+    name = name[order]
+    new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+    own = every[order]
+    least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(name)))) if len(name) else own
+    repeats = np.empty(len(name), dtype=bool)
+    repeats[order] = least < own
+    del name, order, least, own
     out, at = [], 0
-    for r, own, (doc, start) in zip(rows, ids, places):
-        hit = least[at:at + len(own)] < own
-        at += len(own)
-        doc, start = doc[hit], start[hit]
+    for r, size in zip(rows, sizes):
+        hit = repeats[at:at + int((size + 1).sum())]
+        at += len(hit)
+        doc = np.repeat(_load(r["doc"]).astype(np.int64), size + 1)[hit]
+        start = (_counting(size + 1) + np.repeat(_load(r["start"]).astype(np.int64), size + 1))[hit]
         cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])) \
             if len(doc) else np.zeros(0, np.int64)
-        size = np.diff(np.append(cut, len(doc))) - 1
+        runs = np.diff(np.append(cut, len(doc))) - 1
         out.append({"batch": r["batch"], "fragment": r["fragment"], "doc": _dump(_small(doc[cut])),
-                    "start": _dump(_small(start[cut])), "size": _dump(_small(size)),
+                    "start": _dump(_small(start[cut])), "size": _dump(_small(runs)),
                     "asked": _dump(np.zeros(len(cut), np.uint8)), "ids": r["ids"], "keys": r["keys"]})
     return pa.Table.from_pylist(out, _schema(_VERDICTS))
 
 
+def _counting(n: np.ndarray) -> np.ndarray:
+    """0, 1, .. n[0] - 1, 0, 1, .. n[1] - 1, and so on."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
 # -- assembly -----------------------------------------------------------------------------
 
 def byte_spans(runs: list[bytes | None], length: int) -> np.ndarray:
