@@ -156,22 +156,29 @@ def is_furniture(node: Node, in_article: bool) -> bool:
         return True
     if node.name == "header":
         return not in_article
-    return bool(DROPPED_WORDS.intersection(node.kinds)) and node.name not in ("html", "body", "article", "main")
+    words = DROPPED_WORDS.intersection(node.kinds)
+    if in_article:
+        words -= {"header", "masthead"}  # an article's own header holds its title
+    return bool(words) and node.name not in ("html", "body", "main")
 
 
-def _article(root: Node) -> Node | None:
-    """The outermost marked article, or their common parent if there are several."""
-    marked, todo = [], [root]
+def _outermost(root: Node, kind: str) -> list[Node]:
+    """The outermost elements of a kind (by name or role), in page order, outside furniture."""
+    found, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.name in ("article", "main") or node.role in ("main", "article"):
-            marked.append(node)
-            continue
-        todo += [c for c in node.children[::-1] if isinstance(c, Node) and not is_furniture(c, False)]
-    if not marked:
-        return None
-    if len(marked) == 1:
-        return marked[0]
+        if kind in (node.name, node.role):
+            found.append(node)
+        else:
+            todo += [c for c in node.children[::-1] if isinstance(c, Node) and not is_furniture(c, False)]
+    return found
+
+
+def _article(root: Node) -> Node | None:
+    """The outermost article, else the main part; a common parent if there are several."""
+    marked = _outermost(root, "article") or _outermost(root, "main")
+    if len(marked) < 2:
+        return marked[0] if marked else None
     out = Node("#articles")
     out.children = list(marked)
     return out

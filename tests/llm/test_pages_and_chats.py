@@ -48,6 +48,15 @@ def test_article_without_furniture(spark):
         assert got[(k, url)] == f"Title {k} && co First line of story {k}. Second ééé after Shared words of all pages. one {k} two"
 
 
+def test_article_inside_main_and_its_own_header(spark):
+    page = ("<body><main><p>teaser</p><article class='post'><div class='entry-header'><h1>Title</h1></div><header><p>By me</p></header>"
+            "<p>Text</p><div id='cookie-notice'>We use</div><section class='commentList'><p>x</p></section><article class='comment'>y</article>"
+            "<div role='complementary'>z</div></article><div class=sidebar>s</div></main></body>")
+    rows = [(1, "http://a.example/", page), (2, "http://a.example/", "<main><p>only main</p><nav>n</nav></main><p>after</p>")]
+    got = extract(spark, rows)
+    assert got[(1, "http://a.example/")] == "Title By me Text" and got[(2, "http://a.example/")] == "only main"
+
+
 def test_templates_are_counted_per_host(spark):
     def page(k, host):
         return (k, f"http://{host}/x{k}", "<html><body><div class=top><span>Welcome to the site</span></div>"
