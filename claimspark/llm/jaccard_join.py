@@ -3,7 +3,8 @@
 The global n-gram order is cut into fragments; overlaps are counted inside each fragment and summed.
 
 1. Every text's set of n-gram hashes is cut along the hash order into fragments. One row per (input batch, fragment)
-   carries the batch's n-grams of that fragment; a fragment counts which of them any other text has too, and the counts are
+   carries the batch's n-grams of that fragment, each once, with its count if several texts of the batch have it, so
+   an n-gram of a third of all texts is no large group. A fragment counts which n-grams any other text has too, and the counts are
    summed per text. A text can link only if the given share of its n-grams is shared at all, which most texts
    fail. Equal sets are one class from here on, so copies are never paired.
 2. The classes left are ordered globally: n-grams of high document frequency last, the rest by hash. Two sets above
@@ -74,9 +75,10 @@ def _small(values: np.ndarray) -> np.ndarray:
 
 
 _PACKED = pa.schema([("batch", pa.int64()), ("fragment", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
-                     ("kind", pa.string()), ("ids", pa.binary()), ("ns", pa.binary()), ("signatures", pa.binary())])
-_PACKED_SQL = ("batch long, fragment int, keys binary, counts binary, kind string, ids binary, ns binary, "
-               "signatures binary")
+                     ("kind", pa.string()), ("common", pa.binary()), ("common_df", pa.binary()), ("ids", pa.binary()),
+                     ("ns", pa.binary()), ("signatures", pa.binary()), ("known", pa.binary())])
+_PACKED_SQL = ("batch long, fragment int, keys binary, counts binary, kind string, common binary, common_df binary, "
+               "ids binary, ns binary, signatures binary, known binary")
 
 
 def _pack(batches: Iterator[pa.RecordBatch], width: int, fragments: int) -> Iterator[pa.RecordBatch]:
@@ -89,29 +91,43 @@ def _pack(batches: Iterator[pa.RecordBatch], width: int, fragments: int) -> Iter
 
 
 def _packed_rows(number: int, ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, fragments: int) -> pa.RecordBatch:
+    signatures = set_signature(hashes, at)
     n = np.diff(at)
-    fragment = _fragment_of(hashes, fragments)
     owner = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+    df = np.diff(np.append(cut, len(ranked)))
+    common, common_df = ranked[cut[df > 1]], df[df > 1].astype(np.uint32)  # in several texts of this batch: sent once
+    single = np.empty(len(hashes), dtype=bool)
+    single[order] = np.repeat(df == 1, df)
+    known = np.bincount(owner[~single], minlength=len(n)).astype(np.int64)
+    hashes, owner = hashes[single], owner[single]
+    fragment = _fragment_of(hashes, fragments)
     counts = np.bincount(fragment.astype(np.int64) * len(n) + owner, minlength=fragments * len(n)).reshape(fragments, -1)
     order = np.argsort(fragment, kind="stable")
     keys = hashes[order].astype(np.uint32)
     cut = np.concatenate([[0], np.cumsum(counts.sum(axis=1))])
+    common_cut = np.searchsorted(_fragment_of(common, fragments), np.arange(fragments + 1))  # sorted, so fragments rise
     out, home = [], ((number >> 32) * 31 + (number & 0xFFFFFFFF)) % fragments
-    signatures = set_signature(hashes, at)
     for f in range(fragments):
-        held = _small(counts[f])
-        if f != home and cut[f] == cut[f + 1]:
+        held, own = _small(counts[f]), slice(common_cut[f], common_cut[f + 1])
+        if f != home and cut[f] == cut[f + 1] and own.start == own.stop:
             continue
-        out.append({"batch": number, "fragment": f, "keys": keys[cut[f]:cut[f + 1]].tobytes(), "counts": held.tobytes(),
-                    "kind": held.dtype.str, "ids": ids.tobytes() if f == home else None,
-                    "ns": n.astype(np.int64).tobytes() if f == home else None,
-                    "signatures": signatures.tobytes() if f == home else None})
+        row = {"batch": number, "fragment": f, "keys": keys[cut[f]:cut[f + 1]].tobytes(), "counts": held.tobytes(),
+               "kind": held.dtype.str, "common": common[own].astype(np.uint32).tobytes(),
+               "common_df": common_df[own].tobytes(), "ids": None, "ns": None, "signatures": None, "known": None}
+        if f == home:
+            row |= {"ids": ids.tobytes(), "ns": n.astype(np.int64).tobytes(), "signatures": signatures.tobytes(),
+                    "known": known.tobytes()}
+        out.append(row)
     return pa.RecordBatch.from_pylist(out, _PACKED)
 
 
 _COUNTED = pa.schema([("batch", pa.int64()), ("shared", pa.binary()), ("kind", pa.string()), ("ids", pa.binary()),
-                      ("ns", pa.binary()), ("signatures", pa.binary()), ("code", pa.int64()), ("df", pa.int64())])
-_COUNTED_SQL = ("batch long, shared binary, kind string, ids binary, ns binary, signatures binary, "
+                      ("ns", pa.binary()), ("signatures", pa.binary()), ("known", pa.binary()), ("code", pa.int64()),
+                      ("df", pa.int64())])
+_COUNTED_SQL = ("batch long, shared binary, kind string, ids binary, ns binary, signatures binary, known binary, "
                 "code long, df long")
 
 
@@ -119,9 +135,14 @@ def _count_fragment(table: pa.Table) -> pa.Table:
     """Which n-grams of one fragment stand in more than one text, counted per text; and the frequent ones."""
     rows = table.to_pylist()
     keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
-    every = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint32)
+    common = [np.frombuffer(r["common"], np.uint32) for r in rows]
+    every = np.concatenate([*keys, *common])
+    weight = np.concatenate([np.ones(sum(map(len, keys)), np.uint32),
+                             *[np.frombuffer(r["common_df"], np.uint32) for r in rows]])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
     starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-    df = np.diff(np.append(starts, len(every)))
+    df = np.add.reduceat(weight[order], starts, dtype=np.int64) if len(every) else np.zeros(0, np.int64)
     twice = every[starts[df > 1]]
     out = []
     for r, own in zip(rows, keys):
@@ -133,12 +154,12 @@ def _count_fragment(table: pa.Table) -> pa.Table:
         ends = np.cumsum(counts)
         shared = _small(hit[ends] - hit[ends - counts])
         out.append({"batch": r["batch"], "shared": shared.tobytes(), "kind": shared.dtype.str, "ids": r["ids"],
-                    "ns": r["ns"], "signatures": r["signatures"], "code": None, "df": None})
+                    "ns": r["ns"], "signatures": r["signatures"], "known": r["known"], "code": None, "df": None})
     heavy = df >= HEAVY_DF
     fragment = rows[0]["fragment"] if rows else 0
     for key, n in zip(every[starts[heavy]].tolist(), df[heavy].tolist()):
         out.append({"batch": None, "shared": None, "kind": None, "ids": None, "ns": None, "signatures": None,
-                    "code": fragment << 32 | key, "df": n})
+                    "known": None, "code": fragment << 32 | key, "df": n})
     return pa.Table.from_pylist(out, _COUNTED)
 
 
@@ -146,6 +167,7 @@ def _sum_batch(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     head = next(r for r in rows if r["ids"] is not None)
     total = sum(np.frombuffer(r["shared"], np.dtype(r["kind"])).astype(np.int64) for r in rows)
+    total = total + np.frombuffer(head["known"], np.int64)
     return pa.table({"id": np.frombuffer(head["ids"], np.int64), "n": np.frombuffer(head["ns"], np.int64),
                      "signature": np.frombuffer(head["signatures"], np.int64), "shared": total})
 
@@ -250,7 +272,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     link or have copies. links: pairs (a, b) of signatures: all that join different components, verified.
     """
     spark = docs.sparkSession
-    C.ship_package(spark)
+    C.prepare(spark)
     fragments = max(64, 2 * C.shuffle_partitions(spark))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     packed = src.mapInArrow(lambda it: _pack(it, width, fragments), _PACKED_SQL)
