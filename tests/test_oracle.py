@@ -17,7 +17,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+# The full grids take minutes even on the smallest tables; scripts/oracle_check.py runs them.
+SLOW = {"cv_results", "experiment_summary"}
+
+
+@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - SLOW))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
@@ -29,8 +33,3 @@ def test_query_matches_oracle(spark, con, name):
     assert stypes == dtypes
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(rel.columns, drows)[0]
-
-
-@pytest.mark.parametrize("name", ["lr_predict", "svm_predict", "cv_results"])
-def test_model_queries_run(spark, name):
-    assert E.queries()[name](spark, SF_SMALL).count() > 0

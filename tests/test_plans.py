@@ -61,6 +61,24 @@ def test_small_queries_run(spark, name):
     assert E.queries()[name](spark, SF_SMALL).count() > 0
 
 
+def test_reference_grids_are_registered():
+    assert len(Q.GRIDS["lr"]) == len(Q.GRIDS["svm"]) == 12 and Q.QUERY_FOLDS == 5
+    assert {p.max_features for p in Q.GRIDS["lr"]} == {10_000, 50_000}
+    assert {p.max_iter for p in Q.GRIDS["lr"] + Q.GRIDS["svm"]} == {1000, 2000}
+
+
+def test_fold_rows_of_a_search(spark):
+    from claimspark.plans import models as MD
+
+    data = Q.trainval(spark, SF_SMALL)
+    grid = [MD.Params("lr", 1, 100, True, c, 200, 1e-6) for c in (0.1, 1.0)]
+    res = MD.grid_search(data, grid, 3, order_col="id_num", refit=False, check=True)
+    rows = res.folds_frame(spark).collect()
+    n = data.count()
+    assert len(rows) == 6 and all(r["n_train"] + r["n_valid"] == n and r["settled"] for r in rows)
+    assert sum(r["n_valid"] for r in rows) == 2 * n
+
+
 def test_run_pipeline_from_tsv(spark):
     from claimspark.plans.experiment import run_pipeline
     from claimspark.session import scratch_path
