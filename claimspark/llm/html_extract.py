@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import ship_package, stored
+from claimspark.llm.common import prepare, stored
 
 #: Pages of a host on which a subtree must occur to be a template, and the share of the host's pages.
 TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.02
+#: Largest template table that is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -223,8 +225,8 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _send_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, subtree) once per page and subtree that holds text, outside what the structural rules drop or read anyway."""
+def _send_subtrees(batches: Iterator[pa.RecordBatch], with_id: bool) -> Iterator[pa.RecordBatch]:
+    """([id,] host, subtree) once per page and subtree that holds text."""
     for batch in batches:
         ids, hosts, hashes = [], [], []
         for row, (url, source) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())):
@@ -233,53 +235,74 @@ def _send_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ids += [row] * len(own)
             hosts += [host_of(url)] * len(own)
             hashes += sorted(own)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(pa.array(ids, pa.int64())), pa.array(hosts, pa.string()),
-             pa.array([int.from_bytes(h, "little", signed=True) for h in hashes], pa.int64())],
-            names=["id", "host", "subtree"])
+        columns = {"host": pa.array(hosts, pa.string()),
+                   "subtree": pa.array([int.from_bytes(h, "little", signed=True) for h in hashes], pa.int64())}
+        if with_id:
+            columns = {"id": batch.column("id").take(pa.array(ids, pa.int64())), **columns}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def page_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST.pattern, 1))
 
 
+def _source(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    prepare(pages.sparkSession)
+    return pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+
+
 def site_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                   min_pages: int = TEMPLATE_PAGES, min_share: float = TEMPLATE_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(host, subtree, pages) of template subtrees, and (id, host, subtree) of every page's subtrees."""
-    ship_package(pages.sparkSession)
-    src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    kind = src.schema["id"].dataType.simpleString()
-    subtrees = stored(src.mapInArrow(_send_subtrees, f"id {kind}, host string, subtree long"), "page-subtrees")
+                   min_pages: int = TEMPLATE_PAGES, min_share: float = TEMPLATE_SHARE) -> DataFrame:
+    """(host, subtree, pages) of template subtrees; counts are summed map-side, so a large host is no hot group."""
+    src = _source(pages, id_col, url_col, html_col)
+    subtrees = src.select("url", "html").mapInArrow(lambda it: _send_subtrees(it, False), "host string, subtree long")
     counted = subtrees.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     sizes = src.groupBy(page_host(F.col("url")).alias("host")).agg(F.count("*").alias("host_pages"))
     found = counted.join(sizes, "host").where(F.col("pages") >= F.col("host_pages") * min_share)
-    return found.select("host", "subtree", "pages"), subtrees
+    return found.select("host", "subtree", "pages")
+
+
+def _read_pages(batches: Iterator[pa.RecordBatch], templates_of) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for row, source in enumerate(batch.column("html").to_pylist()):
+            root = parse(source or "")
+            hash_subtrees(root)
+            texts.append(read_text(root, templates_of(batch, row)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()),
+             pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+
+
+def _signed(values) -> frozenset[bytes]:
+    return frozenset(v.to_bytes(8, "little", signed=True) for v in values or ())
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                  min_pages: int = TEMPLATE_PAGES, min_share: float = TEMPLATE_SHARE) -> DataFrame:
     """id, url, text and n_chars (code points) of every page.
 
-    Template hashes reach the pages through the pages' own subtree rows, so a host with a third of all pages is
-    one skewed join key at most, which adaptive execution splits, and never one task's group.
+    Templates (they grow with the hosts, not the pages) are broadcast while they fit `BROADCAST_BYTES`, and pages stay
+    where they are. Beyond it they reach the pages through the pages' own subtree rows: a host with a third of all pages is
+    then a skewed join key, which adaptive execution splits, and pages are shuffled by id.
     """
-    templates, subtrees = site_templates(pages, id_col, url_col, html_col, min_pages, min_share)
-    of_page = (subtrees.join(templates.select("host", "subtree"), ["host", "subtree"])
-               .groupBy("id").agg(F.collect_set("subtree").alias("templates")))  # at most a page's own subtrees
-    src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    src = _source(pages, id_col, url_col, html_col)
     kind = src.schema["id"].dataType.simpleString()
-    joined = src.join(of_page.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own")), "left").drop("own")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for source, known in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist()):
-                root = parse(source or "")
-                hash_subtrees(root)
-                texts.append(read_text(root, frozenset(t.to_bytes(8, "little", signed=True) for t in known or ())))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()),
-                 pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
-
-    out = joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
+    schema = f"id {kind}, url string, text string, n_chars long"
+    templates = stored(site_templates(pages, id_col, url_col, html_col, min_pages, min_share), "page-templates")
+    size = templates.agg(F.coalesce(F.sum(F.octet_length("host") + 32), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        by_host: dict[str, list[int]] = {}
+        for r in templates.toLocalIterator():
+            by_host.setdefault(r["host"], []).append(r["subtree"])
+        sent = pages.sparkSession.sparkContext.broadcast({h: _signed(v) for h, v in by_host.items()})
+        out = src.mapInArrow(lambda it: _read_pages(
+            it, lambda batch, row: sent.value.get(host_of(batch.column("url")[row].as_py()), frozenset())), schema)
+    else:
+        subtrees = src.mapInArrow(lambda it: _send_subtrees(it, True), f"id {kind}, host string, subtree long")
+        of_page = (subtrees.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy(F.col("id").alias("own"))
+                   .agg(F.collect_set("subtree").alias("templates")))  # at most a page's own subtrees
+        joined = src.join(of_page, F.col("id").eqNullSafe(F.col("own")), "left").drop("own")
+        out = joined.mapInArrow(lambda it: _read_pages(
+            it, lambda batch, row: _signed(batch.column("templates")[row].as_py())), schema)
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

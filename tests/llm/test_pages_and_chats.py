@@ -57,7 +57,9 @@ def test_article_inside_main_and_its_own_header(spark):
     assert got[(1, "http://a.example/")] == "Title By me Text" and got[(2, "http://a.example/")] == "only main"
 
 
-def test_templates_are_counted_per_host(spark):
+@pytest.mark.parametrize("bound", [html_extract.BROADCAST_BYTES, 0])
+def test_templates_are_counted_per_host(spark, monkeypatch, bound):
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", bound)
     def page(k, host):
         return (k, f"http://{host}/x{k}", "<html><body><div class=top><span>Welcome to the site</span></div>"
                 f"<div><p>Own words {k}</p></div><p>Terms apply here</p></body></html>")
