@@ -14,10 +14,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.session import scratch_path, ship_package  # noqa: F401
+from claimspark.session import scratch_path, ship_package
 
 #: Bytes of text handled at once by the kernels (a longer single text is one piece).
 PIECE_BYTES = 1 << 20
+#: Rows that a task hands to Python at once.
+ARROW_ROWS = 1000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -29,6 +31,18 @@ _ODD_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ready a session for the operators: the package goes to the executors, and Arrow batches get shorter.
+
+    Texts are long rows. Where the session still has Spark's own 10,000 rows a batch, `ARROW_ROWS` are set, so that a
+    batch stays at a few megabytes on both sides; a setting of the user's own stays.
+    """
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared checkpoint folder and read it back (cuts the lineage)."""
     spark = df.sparkSession

@@ -219,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  radius: int = RADIUS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per document and item found in it: id, item, start_word, similarity, n_windows."""
     spark = docs.sparkSession
-    C.ship_package(spark)
+    C.prepare(spark)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
@@ -251,7 +251,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                       block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The documents in which no item is found, all columns as they were."""
     spark = docs.sparkSession
-    C.ship_package(spark)
+    C.prepare(spark)
     place = docs.columns.index(text_col)
     for block in item_blocks(benchmark, item_col, item_text_col, width, radius, block_items):
         sent = spark.sparkContext.broadcast(block)

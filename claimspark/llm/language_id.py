@@ -176,7 +176,7 @@ def _sum_frequencies(table: pa.Table) -> pa.Table:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         features: int = FEATURES, train_rows: int = TRAIN_ROWS, seed: int = 3) -> Model:
     """Learn from the text and language of rows with both and with an id."""
-    C.ship_package(docs.sparkSession)
+    C.prepare(docs.sparkSession)
     train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # per language

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import ship_package, stored
+from claimspark.llm.common import prepare, stored
 
 #: Documents of one (source, length) group that one seeded bucket holds on average.
 BUCKET_ROWS = 200
@@ -145,7 +145,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget_
 
     The texts are read once, for their lengths; everything after works on (id, source, size, seeded hash).
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     base = stored(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("seeded")), "mix-lengths")

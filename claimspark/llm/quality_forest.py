@@ -196,7 +196,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and the counts of every text, in one pass without a shuffle."""
-    C.ship_package(docs.sparkSession)
+    C.prepare(docs.sparkSession)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     out = src.mapInArrow(_count_batches, f"id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from claimspark.llm.common import ship_package
+from claimspark.llm.common import prepare
 
 CHUNK_CHARS = 1 << 14
 #: Entries kept in a worker's caches; a full cache is emptied, which costs time and changes nothing.
@@ -260,7 +260,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
 
     `vocabulary` is the path of a byte-level BPE `tokenizer.json` that every executor can open.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     out = src.mapInArrow(lambda it: _count_batches(it, vocabulary, limit, chunk_chars),

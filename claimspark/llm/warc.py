@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import ship_package, stored
+from claimspark.llm.common import prepare, stored
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
@@ -113,7 +113,7 @@ def write_warc(records: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z"
     if not compress:
         plain.write.option("lineSep", TRAILER.decode()).option("maxRecordsPerFile", records_per_file).text(path)
         return
-    ship_package(records.sparkSession)
+    prepare(records.sparkSession)
     members = plain.mapInArrow(_members, "value binary").select(F.col("value").cast("string"))  # the bytes as they are
     members.write.option("lineSep", PADDING.decode()).option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -268,7 +268,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     One archive file is read by one task, so archives should be written at a bounded size
     (`records_per_file`); Spark's reader fetches them, so any store that Spark reads will do.
     """
-    ship_package(spark)
+    prepare(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(lambda it: _read_files(it, with_payload), RECORD_SCHEMA)
 
