@@ -7,6 +7,7 @@ strings. Word and shingle identities are 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -68,6 +69,15 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return memory that numpy and Arrow have freed to the system: Python workers live long and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,16 +8,18 @@ it) or the threshold is passed. Three things keep the volume down, none of which
 * Ranking starts at `GRAM` bytes (a 64-bit name packs them), not at one.
 * Only synchronised positions are ranked. Every `length`-byte window owns the smallest of its grams (leftmost among
   equals); equal windows own it at the same place, so a position stands for the run of windows that own it.
-* Ranks are only compared inside one gram fragment, to which Spark shuffles the (name, position) pairs; the task
-  sorts them.
+* Ranks are only compared inside one fragment of the names, to which Spark shuffles the (name, position) pairs;
+  the task sorts them.
 
 Round 1 sorts the gram names and drops positions whose gram stands in one document only. Round 2 sorts the survivors by (gram
 name, name of the bytes of all its windows), the prefix grown past the threshold on both sides: positions whose whole run
 stands in a smaller document are done; the first holder of each run stays only where its gram has other
 runs too. Round 3 sorts those by their single windows.
 
-Hot strings: a batch sends a document's gram once, runs are held by their first document only, and no pair of documents is
-ever made. Texts are joined to the verdicts by (id, text hash); the runs of one document are its own.
+Hot strings: a batch (about a megabyte of texts) sends every name once, with its smallest id, however many of its texts have it, and
+keeps the places for the answer. A gram of many batches is hot: its runs, and in round 3 its single windows, are dealt by
+names of their own instead of the gram's, so contexts of one famous string spread over all tasks. No pair of
+documents is ever made. Texts are joined to the verdicts by (id, text hash).
 
 Names are 64-bit hashes. Defined results: null text is empty; texts below `length` bytes keep all; documents with equal ids are not
 smaller than each other; a null id is larger than any other; repeated rows get one result each; an empty table gives
@@ -39,6 +41,11 @@ from claimspark.llm import common as C
 
 #: Bytes of the first rank.
 GRAM = 20
+#: Batches from which on a gram counts as hot (only the dealing differs).
+HOT_BATCHES = 64
+_HOT = 1 << 62
+#: Largest table of positions still asked about that is broadcast to the texts.
+BROADCAST_BYTES = 16 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -57,7 +64,9 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
         runs = C.mix(C.span_hash(sums, first, last + length) * C._ODD + (pos - first).astype(np.uint64) * np.uint64(257)
                      + (last - first).astype(np.uint64))
         base = int(offs[low])
-        parts.append((pos + base, first + base, last + base, names, runs, np.searchsorted(o, pos, "right") - 1 + low))
+        # chosen names are small ones; mixed again, they spread evenly over fragments
+        parts.append((pos + base, first + base, last + base, C.mix(names + C._ODD), runs,
+                      np.searchsorted(o, pos, "right") - 1 + low))
     if not parts:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
@@ -122,7 +131,10 @@ def home_fragment(batch: int, fragments: int) -> int:
 
 
 def _rows(fragment: np.ndarray, fragments: int, batch: int, columns: dict[str, np.ndarray], **head) -> list[dict]:
-    """One row per fragment with its slice of every column; the batch's home fragment always has one, with `head`."""
+    """One row per fragment with its slice of every column; the batch's home fragment always has one, with `head`.
+
+    `base` is the place of the slice's first entry in fragment order (see `_dealt`), by which answers find back.
+    """
     home = home_fragment(batch, fragments)
     order = np.argsort(fragment, kind="stable")
     cut = np.concatenate([[0], np.cumsum(np.bincount(fragment, minlength=fragments))])
@@ -132,7 +144,8 @@ def _rows(fragment: np.ndarray, fragments: int, batch: int, columns: dict[str, n
         if f == home or cut[f] < cut[f + 1]:
             row = {c: _dump(_small(v[cut[f]:cut[f + 1]]) if c not in ("name", "key") else v[cut[f]:cut[f + 1]])
                    for c, v in columns.items()}
-            out.append({"batch": batch, "fragment": f, **row, **{k: v if f == home else None for k, v in head.items()}})
+            out.append({"batch": batch, "fragment": f, "base": _dump(cut[f:f + 1]), **row,
+                        **{k: v if f == home else None for k, v in head.items()}})
     return out
 
 
@@ -154,55 +167,88 @@ def _input(batches: Iterator[pa.RecordBatch]):
         for low, high, b, o in C.pieces(buf, offs):
             yield (part << 32) | number, ids[low:high], keys[low:high], b, o, batch, low
             number += 1
+        del buf, batch
+        C.give_back()
+
+
+def _dealt(fragment: np.ndarray) -> np.ndarray:
+    """Each entry's place in fragment order, the order in which `_rows` deals them."""
+    out = np.empty(len(fragment), dtype=np.int64)
+    out[np.argsort(fragment, kind="stable")] = np.arange(len(fragment))
+    return out
 
 
 # -- round 1: grams -----------------------------------------------------------------
 
-_GRAMS = "name doc ids keys"
+_GRAMS = "name doc ids keys near_doc near_of near_code"
 
 
 def _send_grams(batches, length: int, gram: int, fragments: int) -> Iterator[pa.RecordBatch]:
     for number, ids, keys, b, o, _, _ in _input(batches):
         _, _, _, names, _, doc = anchors(b, o, length, gram)
-        # a gram once per text, whatever its count there
-        order = np.lexsort((names, doc))
+        # a gram once per text, and once per batch: with its text, or 0 if several texts have it
+        order = np.lexsort((doc, names))
         doc, names = doc[order], names[order]
         once = np.ones(len(doc), dtype=bool)
         once[1:] = (doc[1:] != doc[:-1]) | (names[1:] != names[:-1])
         doc, names = doc[once], names[once]
-        out = _rows(_fragment_of(names, fragments), fragments, number, {"name": names.astype(np.uint32), "doc": doc},
-                    ids=_dump(ids), keys=_dump(keys))
+        first = np.ones(len(doc), dtype=bool)
+        first[1:] = names[1:] != names[:-1]
+        many = np.diff(np.append(np.flatnonzero(first), len(doc))) > 1
+        near = many[np.cumsum(first) - 1] if len(doc) else first
+        holder = np.where(near, 0, doc + 1)[first]
+        names_once = names[first]
+        out = _rows(_fragment_of(names_once, fragments), fragments, number,
+                    {"name": names_once.astype(np.uint32), "doc": holder}, ids=_dump(ids), keys=_dump(keys),
+                    near_doc=_dump(_small(doc[near])), near_of=_dump(_small((np.cumsum(many) - 1)[np.cumsum(first) - 1][near])),
+                    near_code=_dump(gram_codes(names_once[many], fragments)))
         yield pa.RecordBatch.from_pylist(out, _schema(_GRAMS))
 
 
+def gram_codes(names: np.ndarray, fragments: int) -> np.ndarray:
+    return (_fragment_of(names, fragments) << 32) | names.astype(np.uint32).astype(np.int64)
+
+
 def _repeated_grams(table: pa.Table) -> pa.Table:
-    """Per batch: the gram names of one fragment that more than one text has, by text."""
+    """Per batch: the gram names of one fragment that more than one text has; hot ones marked in the holder's sign."""
     rows = table.to_pylist()
     names = [_load(r["name"]) for r in rows]
-    every = np.concatenate(names)
+    holders = [_load(r["doc"]).astype(np.int64) for r in rows]
+    every, holder = np.concatenate(names), np.concatenate(holders)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
-    same = np.zeros(len(every) + 1, dtype=bool)
-    same[1:-1] = ranked[1:] == ranked[:-1]
-    twice = np.empty(len(every), dtype=bool)
-    twice[order] = same[1:] | same[:-1]
+    start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(every) else np.zeros(0, np.int64)
+    held = np.diff(np.append(start, len(every)))
+    near = np.minimum.reduceat(holder[order], start) == 0 if len(every) else held > 0
+    flags = np.empty((2, len(every)), dtype=bool)
+    flags[0, order] = np.repeat((held > 1) | near, held)
+    flags[1, order] = np.repeat(held >= HOT_BATCHES, held)
     out, at = [], 0
-    for r, own in zip(rows, names):
-        hit = twice[at:at + len(own)]
+    for r, own, doc in zip(rows, names, holders):
+        keep, hot = flags[:, at:at + len(own)]
         at += len(own)
-        out.append({**r, "name": _dump(own[hit]), "doc": _dump(_small(_load(r["doc"])[hit]))})
+        out.append({**r, "name": _dump(own[keep]), "doc": _dump(np.where(hot, -1 - doc, doc)[keep])})
     return pa.Table.from_pylist(out, _schema(_GRAMS))
 
 
 def _grams_of_texts(table: pa.Table) -> pa.Table:
-    """One row per text of a batch that has repeated grams: id, key, grams (fragment and name, sorted)."""
+    """One row per text of a batch that has repeated grams: id, key, grams (code, the hot bit on top, in code order)."""
     rows = table.to_pylist()
     head = next(r for r in rows if r["ids"] is not None)
     ids, keys = _load(head["ids"]), _load(head["keys"])
     doc = np.concatenate([_load(r["doc"]).astype(np.int64) for r in rows])
     code = np.concatenate([(r["fragment"] << 32) | _load(r["name"]).astype(np.int64) for r in rows])
+    hot = doc < 0
+    doc = np.where(hot, -1 - doc, doc)
+    near_doc, near_of = _load(head["near_doc"]).astype(np.int64), _load(head["near_of"]).astype(np.int64)
+    near_code = _load(head["near_code"])
+    hot_near = np.isin(near_code, code[hot & (doc == 0)])[near_of]
+    near_code = near_code[near_of]
+    own = doc > 0
+    doc = np.concatenate([doc[own] - 1, near_doc])
+    code, hot = np.concatenate([code[own], near_code]), np.concatenate([hot[own], hot_near])
     order = np.lexsort((code, doc))
-    doc, code = doc[order], code[order]
+    doc, code = doc[order], np.where(hot[order], code[order] | _HOT, code[order])
     cut = np.searchsorted(doc, np.arange(len(ids) + 1))
     have = np.flatnonzero(np.diff(cut))
     return pa.table({"id": ids[have], "key": keys[have],
@@ -211,59 +257,83 @@ def _grams_of_texts(table: pa.Table) -> pa.Table:
 
 # -- round 2: runs of windows -----------------------------------------------------------
 
-_RUNS = "name doc key id pos first size ids keys"
+_RUNS = "base name key id hot ids keys texts doc start size of hot_place"
+
+
+def _once(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct names, the smallest id of each, and the index of each given name among them."""
+    values, back = np.unique(names, return_inverse=True)
+    least = np.full(len(values), NO_ID, dtype=np.int64)
+    np.minimum.at(least, back, ids)
+    return values, least, back
 
 
 def _send_runs(batches, length: int, gram: int, fragments: int) -> Iterator[pa.RecordBatch]:
     for number, ids, keys, b, o, batch, low in _input(batches):
         pos, first, last, names, whole, doc = anchors(b, o, length, gram)
-        fragment = _fragment_of(names, fragments)
-        code = (fragment << 32) | names.astype(np.uint32).astype(np.int64)
+        code = gram_codes(names, fragments)
         cut = np.searchsorted(doc, np.arange(len(ids) + 1))
-        keep = np.zeros(len(pos), dtype=bool)
+        keep, hot = np.zeros(len(pos), dtype=bool), np.zeros(len(pos), dtype=bool)
         grams = batch.column("grams")
         for k in range(len(ids)):
-            own = np.frombuffer(grams[low + k].as_py(), np.int64)
-            here = code[cut[k]:cut[k + 1]]
+            marked = np.frombuffer(grams[low + k].as_py(), np.int64)
+            own, here = marked & (_HOT - 1), code[cut[k]:cut[k + 1]]
             place = np.minimum(np.searchsorted(own, here), len(own) - 1)
             keep[cut[k]:cut[k + 1]] = own[place] == here
-        pos, first, last, names, whole, doc, fragment = (x[keep] for x in (pos, first, last, names, whole, doc, fragment))
+            hot[cut[k]:cut[k + 1]] = marked[place] >= _HOT
+        first, last, names, whole, doc, hot = (x[keep] for x in (first, last, names, whole, doc, hot))
+        run, least, entry = _once(whole, ids[doc])
+        some = np.zeros(len(run), dtype=np.int64)
+        some[entry] = np.arange(len(entry))  # any place of each run tells its gram
+        run_hot, run_gram = hot[some], names[some]
+        fragment = np.where(run_hot, _fragment_of(run, fragments), _fragment_of(run_gram, fragments))
         out = _rows(fragment, fragments, number,
-                    {"name": names.astype(np.uint32), "doc": doc, "key": whole, "id": ids[doc], "pos": pos - o[doc],
-                     "first": pos - first, "size": last - first}, ids=_dump(ids), keys=_dump(keys))
+                    {"name": run_gram.astype(np.uint32), "key": run, "id": least, "hot": run_hot.astype(np.uint8)},
+                    **_places(ids, keys, o, doc, first, last - first, _dealt(fragment)[entry], hot))
         yield pa.RecordBatch.from_pylist(out, _schema(_RUNS))
 
 
-_VERDICTS = "doc start size asked ids keys"
+_ANSWERS = "base flags ids keys texts doc start size of hot_place"
+
+
+def _answer(row: dict, smaller: np.ndarray, is_open: np.ndarray) -> dict:
+    """For each entry of a row: 1 if a text smaller than all of the batch's own has the name, 2 if it stays open."""
+    own = {c: row[c] for c in ("batch", "fragment", "base", "ids", "keys", "texts", "doc", "start", "size", "of", "hot_place")}
+    return {**own, "flags": _dump(smaller.astype(np.uint8) + 2 * is_open.astype(np.uint8))}
+
+
+def _places(ids, keys, o, doc, first, size, of, hot) -> dict[str, bytes]:
+    """A batch's own columns: its texts, and for each place its text, first window (as steps), windows after it and entry."""
+    return {"ids": _dump(ids), "keys": _dump(keys), "texts": _dump(_small(o[:-1])), "doc": _dump(_small(doc)),
+            "start": _dump(_small(np.diff(first, prepend=0))), "size": _dump(_small(size)), "of": _dump(_small(of)),
+            "hot_place": _dump(hot.astype(np.uint8))}
 
 
 def _judge_runs(table: pa.Table) -> pa.Table:
-    """Sorts one fragment's positions by (gram, run, id): runs seen in a smaller document are done, first holders may stay."""
+    """Sorts one fragment's entries by (gram, run): whether a smaller id has the run, and whether its gram has other runs.
+
+    Hot grams are dealt by run, so theirs always count as having others.
+    """
     rows = table.to_pylist()
-    part = {c: [_load(r[c]) for r in rows] for c in ("name", "key")}
-    name, key = (np.concatenate(part[c]) for c in ("name", "key"))
+    name, key, hot = (np.concatenate([_load(r[c]) for r in rows]) for c in ("name", "key", "hot"))
     ids = np.concatenate([_load(r["id"]).astype(np.int64) for r in rows])
-    order = np.lexsort((ids, key, name))
-    name, key, ids = name[order], key[order], ids[order]
-    new_run, new_gram = np.ones(len(name), bool), np.ones(len(name), bool)
+    order = np.lexsort((key, name))
+    name, key = name[order], key[order]
+    new_gram, new_run = np.ones(len(name), bool), np.ones(len(name), bool)
     new_gram[1:] = name[1:] != name[:-1]
     new_run[1:] = new_gram[1:] | (key[1:] != key[:-1])
-    run, gram_no = np.cumsum(new_run) - 1, np.cumsum(new_gram) - 1
-    held = ids[new_run][run] < ids if len(ids) else new_run
-    runs_of_gram = np.bincount(gram_no, weights=new_run) if len(name) else np.zeros(0)
-    asked = ~held & (runs_of_gram[gram_no] > 1) if len(ids) else new_run
-    flags = np.empty((2, len(name)), dtype=bool)
-    flags[0, order], flags[1, order] = held, asked
+    smaller, is_open = np.zeros(len(name), dtype=bool), hot > 0
+    if len(name):
+        run, start = np.cumsum(new_run) - 1, np.flatnonzero(new_run)
+        smaller[order] = np.minimum.reduceat(ids[order], start)[run] < ids[order]
+        others = np.bincount(np.cumsum(new_gram) - 1, weights=new_run)[np.cumsum(new_gram) - 1] > 1
+        is_open[order] |= others
     out, at = [], 0
-    for r, own in zip(rows, part["name"]):
-        covered, ask = flags[0, at:at + len(own)], flags[1, at:at + len(own)]
-        at += len(own)
-        some = covered | ask
-        start = _load(r["pos"]).astype(np.int64) - _load(r["first"])
-        out.append({"batch": r["batch"], "fragment": r["fragment"], "doc": _dump(_small(_load(r["doc"])[some])),
-                    "start": _dump(_small(start[some])), "size": _dump(_load(r["size"])[some]),
-                    "asked": _dump(ask[some].astype(np.uint8)), "ids": r["ids"], "keys": r["keys"]})
-    return pa.Table.from_pylist(out, _schema(_VERDICTS))
+    for r in rows:
+        own = slice(at, at + len(_load(r["name"])))
+        at = own.stop
+        out.append(_answer(r, smaller[own], is_open[own]))
+    return pa.Table.from_pylist(out, _schema(_ANSWERS))
 
 
 def _merge_runs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,95 +349,165 @@ def _merge_runs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
     return start[at], reach[np.append(at[1:], len(start)) - 1] - start[at]
 
 
-def _verdicts_of_texts(table: pa.Table) -> pa.Table:
-    """One row per text: its runs that are done, and the first windows of the positions still asked about."""
+def _answered(rows: list[dict], head: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """For each place that a batch kept: seen in a smaller document, still open, and the place's columns."""
+    rows = sorted(rows, key=lambda r: int(_load(r["base"])[0]))  # entries are dealt in fragment order
+    flags = np.concatenate([_load(r["flags"]) for r in rows])
+    place = {c: _load(head[c]).astype(np.int64) for c in ("doc", "start", "size", "of", "hot_place")}
+    of, own = place["of"], ids[place["doc"]]
+    place["start"] = np.cumsum(place["start"]) - _load(head["texts"]).astype(np.int64)[place["doc"]]
+    least = np.full(len(flags), NO_ID, dtype=np.int64)  # in this batch
+    np.minimum.at(least, of, own)
+    done = (flags[of] & 1 > 0) | (least[of] < own)
+    return done, ~done & (flags[of] & 2 > 0), place
+
+
+def _runs_of_texts(table: pa.Table) -> pa.Table:
+    """One row per text: its runs that are done, and the positions still asked about (first window * 2 + hot)."""
     rows = table.to_pylist()
     head = next(r for r in rows if r["ids"] is not None)
     ids, keys = _load(head["ids"]), _load(head["keys"])
-    col = lambda c: np.concatenate([_load(r[c]).astype(np.int64) for r in rows])
-    doc, start, size, asked = col("doc"), col("start"), col("size"), col("asked")
+    done, asked, place = _answered(rows, head, ids)
+    some = done | asked
+    doc, start, size, hot = (place[c][some] for c in ("doc", "start", "size", "hot_place"))
+    done, asked = done[some], asked[some]
     order = np.lexsort((start, doc))
-    doc, start, size, asked = doc[order], start[order], size[order], asked[order] > 0
+    doc, start, size, hot, done, asked = (x[order] for x in (doc, start, size, hot, done, asked))
     cut = np.searchsorted(doc, np.arange(len(ids) + 1))
     out = []
     for k in np.flatnonzero(np.diff(cut)):
         own = slice(cut[k], cut[k + 1])
-        s, n = _merge_runs(start[own][~asked[own]], size[own][~asked[own]])
+        s, n = _merge_runs(start[own][done[own]], size[own][done[own]])
         out.append({"id": int(ids[k]), "key": int(keys[k]), "done": _dump(np.stack([s, n])) if len(s) else None,
-                    "asked": _dump(start[own][asked[own]]) if asked[own].any() else None})
+                    "asked": _dump((start * 2 + hot)[own][asked[own]]) if asked[own].any() else None})
     return pa.Table.from_pylist(out, pa.schema([("id", pa.int64()), ("key", pa.int64()), ("done", pa.binary()),
                                                 ("asked", pa.binary())]))
 
 
 # -- round 3: single windows ---------------------------------------------------------------
 
-_WINDOWS = "bytes doc id start size ids keys"
+_WINDOWS = "bytes run_doc run_id run_start run_size base name id ids keys texts doc start size of hot_place"
 
 
 def _send_windows(batches, length: int, gram: int, fragments: int) -> Iterator[pa.RecordBatch]:
+    """The windows of the positions asked about: as the bytes of their run by gram, or, for hot grams, by their own names."""
     for number, ids, keys, b, o, batch, low in _input(batches):
         _, first, last, names, _, doc = anchors(b, o, length, gram)
         cut = np.searchsorted(doc, np.arange(len(ids) + 1))
-        keep = np.zeros(len(first), dtype=bool)
+        keep, hot = np.zeros(len(first), dtype=bool), np.zeros(len(first), dtype=bool)
         asked = batch.column("asked")
         for k in range(len(ids)):
-            own = _load(asked[low + k].as_py()) + o[k]
-            keep[cut[k] + np.searchsorted(first[cut[k]:cut[k + 1]], own)] = True
-        first, last, names, doc = first[keep], last[keep], names[keep], doc[keep]
+            marked = _load(asked[low + k].as_py())
+            place = cut[k] + np.searchsorted(first[cut[k]:cut[k + 1]], (marked >> 1) + o[k])
+            keep[place], hot[place] = True, (marked & 1) > 0
+        cold = keep & ~hot
+        name, least, of, at_window = _hot_windows(b, first[keep & hot], last[keep & hot], ids, doc[keep & hot], length)
+        owner = np.searchsorted(o, at_window, "right") - 1
+        dealt = _fragment_of(name, fragments)
+        rows = {r["fragment"]: r for r in _rows(
+            dealt, fragments, number, {"name": name, "id": least},
+            **_places(ids, keys, o, owner, at_window, np.zeros(len(owner), np.int64), _dealt(dealt)[of],
+                      np.zeros(len(owner), bool)))}
+        first, last, names, doc = first[cold], last[cold], names[cold], doc[cold]
         fragment = _fragment_of(names, fragments)
         order = np.argsort(fragment, kind="stable")
         at = np.concatenate([[0], np.cumsum(np.bincount(fragment, minlength=fragments))])
-        out, home = [], home_fragment(number, fragments)
-        for f in range(fragments):
+        for f in np.flatnonzero(np.diff(at)).tolist():
             own = order[at[f]:at[f + 1]]
-            if f != home and not len(own):
-                continue
             n = last[own] - first[own] + length
-            idx = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[own], n)
-            out.append({"batch": number, "fragment": f, "bytes": b[idx].tobytes(), "doc": _dump(_small(doc[own])),
-                        "id": _dump(_small(ids[doc[own]])), "start": _dump(_small(first[own] - o[doc[own]])),
-                        "size": _dump(_small(last[own] - first[own])), "ids": _dump(ids) if f == home else None,
-                        "keys": _dump(keys) if f == home else None})
-        yield pa.RecordBatch.from_pylist(out, _schema(_WINDOWS))
+            row = rows.setdefault(f, {"batch": number, "fragment": f})
+            row |= {"bytes": b[_counting(n) + np.repeat(first[own], n)].tobytes(), "run_doc": _dump(_small(doc[own])),
+                    "run_id": _dump(_small(ids[doc[own]])), "run_start": _dump(_small(first[own] - o[doc[own]])),
+                    "run_size": _dump(_small(last[own] - first[own]))}
+        yield pa.RecordBatch.from_pylist(list(rows.values()), _schema(_WINDOWS))
+
+
+def _hot_windows(b, first, last, ids, doc, length: int):
+    """Distinct names of the windows of some runs, their smallest ids, each window's name index, and the windows."""
+    n = last - first + 1
+    at = _counting(n) + np.repeat(first, n)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), at
+    names = C.mix(C.span_hash(C.prefix_sums(b), at, at + length))
+    return *_once(names, np.repeat(ids[doc], n)), at
+
+
+_FOUND = _ANSWERS + " run_doc run_start run_size"
 
 
 def _judge_windows(table: pa.Table, length: int) -> pa.Table:
-    """Sorts one fragment's windows by (name, id): those that a smaller document has are repeats; answered as runs."""
+    """Sorts one fragment's windows by name: those that a smaller document has are repeats.
+
+    Runs are answered as runs of repeated windows, windows of hot grams one by one.
+    """
     rows = table.to_pylist()
-    names, ids, sizes = [], [], []
+    names, ids, sizes, hot = [], [], [], []
     for r in rows:
-        buf = np.frombuffer(r["bytes"], np.uint8)
-        size = _load(r["size"]).astype(np.int64)
+        buf = np.frombuffer(r["bytes"] or b"", np.uint8)
+        size = _load(r["run_size"]).astype(np.int64) if r["bytes"] else np.zeros(0, np.int64)
         n = size + length
         idx = _counting(size + 1) + np.repeat(np.cumsum(n) - n, size + 1)
         names.append(C.span_hash(C.prefix_sums(buf), idx, idx + length) if len(idx) else np.zeros(0, np.uint64))
-        ids.append(np.repeat(_load(r["id"]), size + 1))
+        ids.append(np.repeat(_load(r["run_id"]), size + 1) if r["bytes"] else np.zeros(0, np.uint8))
         sizes.append(size)
+        hot.append(r["base"] is not None)
+    repeats = _smaller_by_name(names, ids)
+    own = [k for k, h in enumerate(hot) if h]
+    smaller = _smaller_by_name([_load(rows[k]["name"]) for k in own], [_load(rows[k]["id"]) for k in own])
+    out, at, hot_at = [], 0, 0
+    for r, size, is_hot in zip(rows, sizes, hot):
+        found = {**{c: None for c in _FOUND.split()}, "batch": r["batch"], "fragment": r["fragment"]}
+        if is_hot:
+            n_own = len(_load(r["name"]))
+            found |= _answer(r, smaller[hot_at:hot_at + n_own], np.zeros(n_own, bool))
+            hot_at += n_own
+        if len(size):
+            hit = repeats[at:at + int((size + 1).sum())]
+            at += len(hit)
+            doc = np.repeat(_load(r["run_doc"]).astype(np.int64), size + 1)[hit]
+            start = (_counting(size + 1) + np.repeat(_load(r["run_start"]).astype(np.int64), size + 1))[hit]
+            cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])) \
+                if len(doc) else np.zeros(0, np.int64)
+            runs = np.diff(np.append(cut, len(doc))) - 1
+            found |= {"run_doc": _dump(_small(doc[cut])), "run_start": _dump(_small(start[cut])),
+                      "run_size": _dump(_small(runs))}
+        out.append(found)
+    return pa.Table.from_pylist(out, _schema(_FOUND))
+
+
+def _smaller_by_name(names: list[np.ndarray], ids: list[np.ndarray]) -> np.ndarray:
+    """For each name: whether a smaller id has it too."""
+    if not names:
+        return np.zeros(0, bool)
     name = np.concatenate(names)
-    names.clear()
     every = np.concatenate(ids) if len({x.dtype for x in ids}) == 1 else np.concatenate([x.astype(np.int64) for x in ids])
-    ids.clear()
-    order = np.argsort(name)
-    name = name[order]
-    new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
-    own = every[order]
-    least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(name)))) if len(name) else own
-    repeats = np.empty(len(name), dtype=bool)
-    repeats[order] = least < own
-    del name, order, least, own
-    out, at = [], 0
-    for r, size in zip(rows, sizes):
-        hit = repeats[at:at + int((size + 1).sum())]
-        at += len(hit)
-        doc = np.repeat(_load(r["doc"]).astype(np.int64), size + 1)[hit]
-        start = (_counting(size + 1) + np.repeat(_load(r["start"]).astype(np.int64), size + 1))[hit]
-        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])) \
-            if len(doc) else np.zeros(0, np.int64)
-        runs = np.diff(np.append(cut, len(doc))) - 1
-        out.append({"batch": r["batch"], "fragment": r["fragment"], "doc": _dump(_small(doc[cut])),
-                    "start": _dump(_small(start[cut])), "size": _dump(_small(runs)),
-                    "asked": _dump(np.zeros(len(cut), np.uint8)), "ids": r["ids"], "keys": r["keys"]})
-    return pa.Table.from_pylist(out, _schema(_VERDICTS))
+    smaller = np.empty(len(name), dtype=bool)
+    if len(name):
+        order = np.argsort(name)
+        name, own = name[order], every[order]
+        new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        smaller[order] = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(name)))) < own
+    return smaller
+
+
+def _windows_of_texts(table: pa.Table) -> pa.Table:
+    """One row per text: its repeated windows, as runs."""
+    rows = table.to_pylist()
+    head = next(r for r in rows if r["ids"] is not None)
+    ids, keys = _load(head["ids"]), _load(head["keys"])
+    done, _, place = _answered([r for r in rows if r["base"] is not None], head, ids)
+    cold = [r for r in rows if r["run_doc"] is not None]
+    col = lambda c: np.concatenate([_load(r[c]).astype(np.int64) for r in cold]) if cold else np.zeros(0, np.int64)
+    doc = np.concatenate([place["doc"][done], col("run_doc")])
+    start = np.concatenate([place["start"][done], col("run_start")])
+    size = np.concatenate([place["size"][done], col("run_size")])
+    order = np.lexsort((start, doc))
+    doc, start, size = doc[order], start[order], size[order]
+    cut = np.searchsorted(doc, np.arange(len(ids) + 1))
+    out = [{"id": int(ids[k]), "key": int(keys[k]),
+            "done": _dump(np.stack(_merge_runs(start[cut[k]:cut[k + 1]], size[cut[k]:cut[k + 1]])))}
+           for k in np.flatnonzero(np.diff(cut))]
+    return pa.Table.from_pylist(out, pa.schema([("id", pa.int64()), ("key", pa.int64()), ("done", pa.binary())]))
 
 
 def _counting(n: np.ndarray) -> np.ndarray:
@@ -390,6 +530,17 @@ def byte_spans(runs: list[bytes | None], length: int) -> np.ndarray:
     return np.stack([start[at], end[np.append(at[1:], len(start)) - 1]], axis=1)
 
 
+def _thrifty(judge):
+    """The same function of a group's table; the worker's freed memory goes back after each group."""
+    def run(table: pa.Table) -> pa.Table:
+        out = judge(table)
+        del table
+        C.give_back()
+        return out
+
+    return run
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
                        F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("key"),
@@ -400,35 +551,40 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   gram: int | None = None) -> DataFrame:
     """(id, key, done, more) for texts with repeats: their window runs from rounds 2 and 3, packed (see `byte_spans`)."""
     spark = docs.sparkSession
-    C.ship_package(spark)
+    C.prepare(spark)
     gram = min(GRAM, length) if gram is None else gram
     fragments = max(64, 2 * C.shuffle_partitions(spark))
     src = _keyed(docs, id_col, text_col)
 
     sent = src.mapInArrow(lambda it: _send_grams(it, length, gram, fragments), _sql(_GRAMS))
-    repeated = sent.groupBy("fragment").applyInArrow(_repeated_grams, _sql(_GRAMS))
-    grams = C.stored(repeated.groupBy("batch").applyInArrow(_grams_of_texts, "id long, key long, grams binary"),
+    repeated = sent.groupBy("fragment").applyInArrow(_thrifty(_repeated_grams), _sql(_GRAMS))
+    grams = C.stored(repeated.groupBy("batch").applyInArrow(_thrifty(_grams_of_texts), "id long, key long, grams binary"),
                      "repeat-grams")
     C.drop_shuffles(spark)
     one = grams.dropDuplicates(["id", "key"])
     # rows of a batch are told apart by their place: a fixed order keeps it when a lost task runs again
     held = src.join(one, ["id", "key"]).select("id", "key", "text", "grams").sortWithinPartitions("id", "key")
     runs = held.mapInArrow(lambda it: _send_runs(it, length, gram, fragments), _sql(_RUNS))
-    judged = runs.groupBy("fragment").applyInArrow(_judge_runs, _sql(_VERDICTS))
+    judged = runs.groupBy("fragment").applyInArrow(_thrifty(_judge_runs), _sql(_ANSWERS))
     verdicts = C.stored(judged.groupBy("batch").applyInArrow(
-        _verdicts_of_texts, "id long, key long, done binary, asked binary"), "repeat-runs")
+        _thrifty(_runs_of_texts), "id long, key long, done binary, asked binary"), "repeat-runs")
     C.release(grams)
     C.drop_shuffles(spark)
 
     asked = verdicts.where("asked is not null").select("id", "key", "asked").dropDuplicates(["id", "key"])
-    held = src.join(asked, ["id", "key"]).select("id", "key", "text", "asked").sortWithinPartitions("id", "key")
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("asked") + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:  # texts stay where they are, in the order of their files
+        held = src.join(F.broadcast(asked), ["id", "key"]).select("id", "key", "text", "asked")
+    else:
+        held = src.join(asked, ["id", "key"]).select("id", "key", "text", "asked").sortWithinPartitions("id", "key")
     windows = held.mapInArrow(lambda it: _send_windows(it, length, gram, fragments), _sql(_WINDOWS))
-    answered = windows.groupBy("fragment").applyInArrow(lambda t: _judge_windows(t, length), _sql(_VERDICTS))
+    answered = windows.groupBy("fragment").applyInArrow(
+        _thrifty(lambda t: _judge_windows(t, length)), _sql(_FOUND))
     more = C.stored(answered.groupBy("batch").applyInArrow(
-        _verdicts_of_texts, "id long, key long, done binary, asked binary"), "repeat-windows")
+        _thrifty(_windows_of_texts), "id long, key long, done binary"), "repeat-windows")
     C.drop_shuffles(spark)
     left = verdicts.where("done is not null").select("id", "key", "done").dropDuplicates(["id", "key"])
-    right = more.where("done is not null").select("id", "key", F.col("done").alias("more")).dropDuplicates(["id", "key"])
+    right = more.select("id", "key", F.col("done").alias("more")).dropDuplicates(["id", "key"])
     return left.join(right, ["id", "key"], "full")
 
 
