@@ -297,7 +297,6 @@ def repeats_brute(rows, length):
 @pytest.mark.parametrize(("length", "gram", "hot"), [(50, None, 16), (50, 50, 1), (23, 4, 1), (7, 7, 2), (50, None, 2)])
 def test_repeats_match_brute_force(spark, monkeypatch, length, gram, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_BATCHES", hot)
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", suffix_dedup.BROADCAST_BYTES if hot == 1 else 0)
     rows = [r for r in awkward_texts() if r[0] != 19]
     docs = frame(spark, rows).repartition(5)  # several batches
     got = suffix_dedup.repeat_digests(docs, length=length, gram=gram)
