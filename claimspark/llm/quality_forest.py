@@ -250,8 +250,10 @@ def fit(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
            .groupBy(F.col(id_col).alias("labelled_id")).agg(F.min(label_col).alias("label")))
     passing = statistics.where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words")
     known = C.stored(passing.join(one, passing[id_col] == one["labelled_id"]).drop("labelled_id"), "quality-labelled")
-    drawn = (known.where("label = 1").select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("seeded"), *COUNTS)
-             .orderBy("seeded", *COUNTS).limit(fit_rows).toPandas())
+    good = known.where("label = 1").select(
+        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)).alias("seeded"), *COUNTS)
+    share = min(1.0, 2.0 * fit_rows / max(good.count(), 1))  # about twice as many come near the driver as are kept
+    drawn = good.where(F.col("seeded") < share * (1 << 30)).orderBy("seeded", *COUNTS).limit(fit_rows).toPandas()
     forest = grow_forest(features({c: drawn[c].to_numpy() for c in COUNTS}), seed=seed)
     if len(drawn):
         steps = (scored(known, forest).groupBy("label", F.floor(F.col("score") * SCORE_STEPS).alias("step"))
