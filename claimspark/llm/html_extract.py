@@ -11,8 +11,8 @@ page order by one space.
 
 Defined results: null, empty or text-free html gives an empty string; unclosed and stray tags are repaired as browsers
 do for paragraphs, lists and tables; a page without a parsable host counts as host ''; repeated rows get one result each, and
-count once per row; rows with a null id are extracted by the structural rules and the templates of other null ids' pages; an empty table gives an
-empty result; other columns are ignored.
+count once per row; every page is read with the templates of its own host, whatever its id (null and shared ids too); an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -220,25 +220,17 @@ def read_text(root: Node, templates: frozenset[bytes]) -> str:
     return " ".join(blocks)
 
 
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
-
-
-def _send_subtrees(batches: Iterator[pa.RecordBatch], with_id: bool) -> Iterator[pa.RecordBatch]:
-    """([id,] host, subtree) once per page and subtree that holds text."""
+def _send_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, subtree) once per page and subtree that holds text."""
     for batch in batches:
-        ids, hosts, hashes = [], [], []
-        for row, (url, source) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())):
+        hosts, hashes = [], []
+        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             nodes = hash_subtrees(parse(source or ""))
             own = {n.hash for n in nodes if n.hash and n.name not in ("#root", "html", "body", "head", "article", "main")}
-            ids += [row] * len(own)
-            hosts += [host_of(url)] * len(own)
+            hosts += [host] * len(own)
             hashes += sorted(own)
         columns = {"host": pa.array(hosts, pa.string()),
                    "subtree": pa.array([int.from_bytes(h, "little", signed=True) for h in hashes], pa.int64())}
-        if with_id:
-            columns = {"id": batch.column("id").take(pa.array(ids, pa.int64())), **columns}
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
@@ -248,16 +240,17 @@ def page_host(url: Column) -> Column:
 
 def _source(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     prepare(pages.sparkSession)
-    return pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    return pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
+                        page_host(F.col(url_col)).alias("host"))
 
 
 def site_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                    min_pages: int = TEMPLATE_PAGES, min_share: float = TEMPLATE_SHARE) -> DataFrame:
     """(host, subtree, pages) of template subtrees; counts are summed map-side, so a large host is no hot group."""
     src = _source(pages, id_col, url_col, html_col)
-    subtrees = src.select("url", "html").mapInArrow(lambda it: _send_subtrees(it, False), "host string, subtree long")
+    subtrees = src.select("host", "html").mapInArrow(_send_subtrees, "host string, subtree long")
     counted = subtrees.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    sizes = src.groupBy(page_host(F.col("url")).alias("host")).agg(F.count("*").alias("host_pages"))
+    sizes = src.groupBy("host").agg(F.count("*").alias("host_pages"))
     found = counted.join(sizes, "host").where(F.col("pages") >= F.col("host_pages") * min_share)
     return found.select("host", "subtree", "pages")
 
@@ -283,8 +276,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """id, url, text and n_chars (code points) of every page.
 
     Templates (they grow with the hosts, not the pages) are broadcast while they fit `BROADCAST_BYTES`, and pages stay
-    where they are. Beyond it they reach the pages through the pages' own subtree rows: a host with a third of all pages is
-    then a skewed join key, which adaptive execution splits, and pages are shuffled by id.
+    where they are. Beyond it one row per host is joined to the host's pages: each template is on a `min_share` of them, so a row
+    holds at most 1 / `min_share` times a page's subtrees. A host with a third of all pages is then a skewed join
+    key, which adaptive execution splits.
     """
     src = _source(pages, id_col, url_col, html_col)
     kind = src.schema["id"].dataType.simpleString()
@@ -297,12 +291,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             by_host.setdefault(r["host"], []).append(r["subtree"])
         sent = pages.sparkSession.sparkContext.broadcast({h: _signed(v) for h, v in by_host.items()})
         out = src.mapInArrow(lambda it: _read_pages(
-            it, lambda batch, row: sent.value.get(host_of(batch.column("url")[row].as_py()), frozenset())), schema)
+            it, lambda batch, row: sent.value.get(batch.column("host")[row].as_py(), frozenset())), schema)
     else:
-        subtrees = src.mapInArrow(lambda it: _send_subtrees(it, True), f"id {kind}, host string, subtree long")
-        of_page = (subtrees.join(templates.select("host", "subtree"), ["host", "subtree"]).groupBy(F.col("id").alias("own"))
-                   .agg(F.collect_set("subtree").alias("templates")))  # at most a page's own subtrees
-        joined = src.join(of_page, F.col("id").eqNullSafe(F.col("own")), "left").drop("own")
-        out = joined.mapInArrow(lambda it: _read_pages(
+        of_host = templates.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+        out = src.join(of_host, "host", "left").mapInArrow(lambda it: _read_pages(
             it, lambda batch, row: _signed(batch.column("templates")[row].as_py())), schema)
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -71,6 +71,15 @@ def test_templates_are_counted_per_host(spark, monkeypatch, bound):
         assert got[(k, url)] == (own if k < 100 else f"Welcome to the site {own} Terms apply here")
 
 
+@pytest.mark.parametrize("bound", [html_extract.BROADCAST_BYTES, 0])
+def test_pages_of_null_and_shared_ids_use_their_own_host(spark, monkeypatch, bound):
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", bound)
+    rows = [(None if k % 2 else 7, f"http://t.example/x{k}", f"<div>Terms apply</div><p>Own {k}</p>") for k in range(12)]
+    rows += [(i, f"http://other.example/{i}", f"<div>Terms apply</div><p>Other {i}</p>") for i in (None, 7)]
+    got = extract(spark, rows)
+    assert got == {(i, u): f"Own {u.split('x')[-1]}" if "t.example" in u else f"Terms apply Other {i}" for i, u, _ in rows}
+
+
 def test_html_defined_results(spark):
     rows = [(1, "http://a.example/", None), (2, None, ""), (3, "nonsense", "no tags & text &lt;b&gt;"), (None, "http://a.example/", "<p>x"),
             (None, None, "<p>y"), (4, "http://a.example/", "<p>same"), (4, "http://a.example/", "<p>same"),
