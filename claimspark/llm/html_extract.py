@@ -1,7 +1,11 @@
 """Main text of web pages: site templates are removed by counting element subtrees per host.
 
 Every page is parsed into a tree of elements. Each subtree (name, kind and text of all it holds) has a hash. Spark counts on how many
-pages of a host every hash occurs; subtrees that recur on many of them are the site's template and are deleted. Elements that
+pages of a host every hash of a block outside running text occurs; blocks that recur on at least half of them are the site's template
+and are deleted. Pages with the same reading text (copies) are counted once. Inline elements, blocks within a sentence, and parts of a
+list or table never go by themselves; a recurring heading goes only where nothing of its own follows it; a block that holds more than
+half of the page's reading text, with its title, is the page's body and stays with all in it. A page that would lose all its text to
+templates keeps it. Elements that
 are no reading text by their meaning (navigation, headers and footers of the page, sidebars, notices, adverts, forms, scripts,
 styles, reader comments; by element name, role, class or id) go as well. Where a page marks its article (`article`, `main`, role
 main), only that is read, and prose in it stays even if it recurs: articles may quote each other.
@@ -10,8 +14,8 @@ Text: character references are decoded, white space inside a block becomes one s
 page order by one space.
 
 Defined results: null, empty or text-free html gives an empty string; unclosed and stray tags are repaired as browsers
-do for paragraphs, lists and tables; a page without a parsable host counts as host ''; repeated rows get one result each, and
-count once per row; every page is read with the templates of its own host, whatever its id (null and shared ids too); an empty
+do for paragraphs, lists and tables; a page without a parsable host counts as host ''; repeated rows get one result each;
+every page is read with the templates of its own host, whatever its id (null and shared ids too); an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -28,12 +32,15 @@ from pyspark.sql import functions as F
 
 from claimspark.llm.common import prepare, stored
 
-#: Pages of a host on which a subtree must occur to be a template, and the share of the host's pages.
+#: Distinct pages of a host on which a block must occur to be a template, and the share of the host's distinct pages.
 TEMPLATE_PAGES = 5
-TEMPLATE_SHARE = 0.02
+TEMPLATE_SHARE = 0.5
 #: Largest template table that is broadcast.
 BROADCAST_BYTES = 16 << 20
 
+#: Stands for the page itself among its subtrees.
+PAGE = 0
+
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -53,6 +60,9 @@ DROPPED_ROLES = frozenset("alert banner complementary contentinfo dialog form me
 DROPPED_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist
 consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup
 promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that can be a template by themselves.
+COUNTED = HEADINGS | frozenset("address blockquote center details dir div dl fieldset figure hgroup ol p pre section table ul".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption b i em strong span a code br".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
@@ -186,9 +196,58 @@ def _article(root: Node) -> Node | None:
     return out
 
 
+def _in_sentence(children: list, place: int) -> bool:
+    """True for an element next to text or to an inline element that holds text."""
+    for step in (-1, 1):
+        k = place + step
+        while 0 <= k < len(children):
+            other = children[k]
+            if isinstance(other, Node):
+                if other.name in BLOCK:
+                    break
+                if other.hash:
+                    return True
+            elif other.strip():
+                return True
+            k += step
+    return False
+
+
+def counted_blocks(root: Node) -> list[Node]:
+    """The blocks that can be a template: outside furniture and running text; hashes must be set."""
+    found, todo = [], [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        for k, child in enumerate(node.children):
+            if isinstance(child, Node) and child.hash and not is_furniture(child, inside) and not _in_sentence(node.children, k):
+                if child.name in COUNTED:
+                    found.append(child)
+                if child.name not in HEADINGS and child.name not in ("p", "pre"):
+                    todo.append((child, inside or not {"article", "main"}.isdisjoint((child.name, child.role))))
+    return found
+
+
+def _reading(node: Node, inside: bool) -> tuple[int, bool]:
+    """Characters of an element's text without furniture, and whether the element holds a title."""
+    size, title, todo = 0, False, [node]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            size += len("".join(item.split()))
+        elif item is node or not is_furniture(item, inside):
+            title = title or item.name in ("h1", "article", "main") or item.role in ("article", "main")
+            todo += item.children
+    return size, title
+
+
 def read_text(root: Node, templates: frozenset[bytes]) -> str:
-    """Blocks of reading text, without furniture and template subtrees; hashes must be set."""
+    """Blocks of reading text, without furniture and template blocks; hashes must be set."""
     article = _article(root)
+    inside = article is not None
+    top = article or root
+    # element -> True for a template, False for a body that recurs as a whole
+    found = {id(n): True for n in counted_blocks(root) if n.hash in templates and not (inside and n.name in PROSE)} if templates else {}
+    whole = _reading(top, inside)[0] if found else 0
     blocks: list[str] = []
     current: list[str] = []
 
@@ -198,40 +257,63 @@ def read_text(root: Node, templates: frozenset[bytes]) -> str:
             blocks.append(words)
         current.clear()
 
-    todo: list = [article or root]
+    def is_body(node: Node) -> bool:
+        if not any(isinstance(c, Node) and c.name in BLOCK for c in node.children):
+            return False
+        size, title = _reading(node, inside)
+        return size * 2 > whole and (inside or title)
+
+    def push(node: Node, exempt: bool) -> None:
+        gone = True  # whether nothing of its own follows a heading
+        for child in node.children[::-1]:
+            if isinstance(child, str):
+                gone = gone and not child.strip()
+                todo.append((child, exempt))
+                continue
+            own = exempt
+            template = not exempt and found.get(id(child), False)
+            if template and is_body(child):
+                template, own = False, True
+            if is_furniture(child, inside) or template and (child.name not in HEADINGS or gone):
+                gone = True
+                if child.name in BLOCK:
+                    todo.append((None, exempt))
+            else:
+                gone = gone and not child.hash
+                todo.append((child, own))
+
+    todo: list = []
+    push(top, False)
     while todo:
-        item = todo.pop()
+        item, exempt = todo.pop()
         if item is None:
             flush()
         elif isinstance(item, str):
             current.append(item)
         else:
-            inside = article is not None
-            if item is not article and item is not root and (
-                    is_furniture(item, inside) or item.hash in templates and not (inside and item.name in PROSE)):
-                if item.name in BLOCK:
-                    flush()
-                continue
             if item.name in BLOCK:
                 flush()
-                todo.append(None)
-            todo += item.children[::-1]
+                todo.append((None, exempt))
+            push(item, exempt)
     flush()
+    if found and not blocks:
+        return read_text(root, frozenset())
     return " ".join(blocks)
 
 
 def _send_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, subtree) once per page and subtree that holds text."""
+    """(host, content, subtrees) of every page: the hash of its reading text, and its distinct countable blocks with `PAGE` in front."""
     for batch in batches:
-        hosts, hashes = [], []
-        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            nodes = hash_subtrees(parse(source or ""))
-            own = {n.hash for n in nodes if n.hash and n.name not in ("#root", "html", "body", "head", "article", "main")}
-            hosts += [host] * len(own)
-            hashes += sorted(own)
-        columns = {"host": pa.array(hosts, pa.string()),
-                   "subtree": pa.array([int.from_bytes(h, "little", signed=True) for h in hashes], pa.int64())}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        contents, lists = [], []
+        for source in batch.column("html").to_pylist():
+            root = parse(source or "")
+            hash_subtrees(root)
+            text = read_text(root, frozenset())
+            contents.append(int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
+            own = {int.from_bytes(n.hash, "little", signed=True) for n in counted_blocks(root)}
+            lists.append([PAGE, *sorted(own - {PAGE})])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(contents, pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
+                                         names=["host", "content", "subtrees"])
 
 
 def page_host(url: Column) -> Column:
@@ -246,13 +328,20 @@ def _source(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 def site_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                    min_pages: int = TEMPLATE_PAGES, min_share: float = TEMPLATE_SHARE) -> DataFrame:
-    """(host, subtree, pages) of template subtrees; counts are summed map-side, so a large host is no hot group."""
+    """(host, subtree, pages) of template subtrees; `pages` counts pages of distinct reading text.
+
+    Copies share one row before the count, with one copy's blocks (the same one in every run). Counts are summed map-side, so a large host is
+    no hot group.
+    """
     src = _source(pages, id_col, url_col, html_col)
-    subtrees = src.select("host", "html").mapInArrow(_send_subtrees, "host string, subtree long")
-    counted = subtrees.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    sizes = src.groupBy("host").agg(F.count("*").alias("host_pages"))
-    found = counted.join(sizes, "host").where(F.col("pages") >= F.col("host_pages") * min_share)
-    return found.select("host", "subtree", "pages")
+    sent = src.select("host", "html").mapInArrow(_send_subtrees, "host string, content long, subtrees array<long>")
+    distinct = sent.groupBy("host", "content").agg(F.min("subtrees").alias("subtrees"))
+    counted = (distinct.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree")
+               .agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages))
+    counted = stored(counted, "page-blocks")  # blocks on `min_pages` distinct pages and more, and the hosts' sizes
+    sizes = counted.where(F.col("subtree") == PAGE).select("host", F.col("pages").alias("host_pages"))
+    found = counted.where(F.col("subtree") != PAGE).join(sizes, "host")
+    return found.where(F.col("pages") >= F.col("host_pages") * min_share).select("host", "subtree", "pages")
 
 
 def _read_pages(batches: Iterator[pa.RecordBatch], templates_of) -> Iterator[pa.RecordBatch]:

@@ -80,6 +80,33 @@ def test_pages_of_null_and_shared_ids_use_their_own_host(spark, monkeypatch, bou
     assert got == {(i, u): f"Own {u.split('x')[-1]}" if "t.example" in u else f"Terms apply Other {i}" for i, u, _ in rows}
 
 
+def test_recurring_pieces_of_running_text_stay(spark):
+    def some(k):  # on 6 of 40 pages
+        return "<h2>Summary</h2><table><tr><td>0</td><td>v%d</td></tr></table>" % k if k < 6 else ""
+
+    rows = [(k, f"http://plain.example/{k}", f"<div class=top>Welcome</div><p>Own {k} <b>note</b> by <a href=/b>Berlin</a> end.</p>{some(k)}"
+             f"<h2>Facts</h2><p>More {k}</p><div>cut <section>in two</section> here {k}</div><h3>Links</h3><ul><li>a<li>b</ul>") for k in range(40)]
+    rows += [(100 + k, f"http://marked.example/{k}", f"<div class=x>Site</div><article><div class=body><p>Own{k}<sup>2</sup> <u>under</u> "
+              f"<small>fine</small> <cite>cited</cite></p><table><tr><td>Year</td></tr><tr><td>{k}</td></tr></table></div></article>") for k in range(12)]
+    got = extract(spark, rows)
+    for k, url, _ in rows[:40]:
+        assert got[(k, url)] == (f"Own {k} note by Berlin end. " + (f"Summary 0 v{k} " if k < 6 else "")
+                                 + f"Facts More {k} cut in two here {k}")
+    for k, url, _ in rows[40:]:
+        assert got[(k, url)] == f"Own{k - 100}2 under fine cited Year {k - 100}"
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    copy = "<html><body><div class=wrap><h1>Title</h1><p>First words</p><p>Second words</p></div></body></html>"
+    rows = [(k, f"http://copies.example/{k}", copy) for k in range(6)]
+    rows += [(10 + k, f"http://near.example/{k}", f"{copy}<p>Seen {k} times</p>") for k in range(6)]
+    rows += [(20 + k, f"http://marked.example/{k}", f"<article><div><p>All words</p><p>of it</p></div><p>{k}</p></article>") for k in range(6)]
+    got = extract(spark, rows)
+    for k, url, _ in rows:
+        assert got[(k, url)] == ("Title First words Second words" + (f" Seen {k - 10} times" if k >= 10 else "")
+                                 if k < 20 else f"All words of it {k - 20}")
+
+
 def test_html_defined_results(spark):
     rows = [(1, "http://a.example/", None), (2, None, ""), (3, "nonsense", "no tags & text &lt;b&gt;"), (None, "http://a.example/", "<p>x"),
             (None, None, "<p>y"), (4, "http://a.example/", "<p>same"), (4, "http://a.example/", "<p>same"),
