@@ -2,7 +2,7 @@
 
 The benchmark is a stated query set; it is read in blocks of at most `BLOCK_ITEMS` items, and each block is searched in one pass over
 all documents, without a shuffle. For every item length (in words) that a document's n-grams hint at, each window of
-that many words is fingerprinted: the 64 signs of the sum of its weighted n-gram hashes, from running sums. Item
+that many words is fingerprinted (of a document with fewer words, the whole document as one window): the 64 signs of the sum of its weighted n-gram hashes, from running sums. Item
 fingerprints are indexed by `RADIUS + 1` bit blocks: two fingerprints within the radius agree in at least one block
 (they differ in at most `RADIUS` bits), so the index returns every pair within it. Candidates within the radius are verified by the exact
 weighted Jaccard similarity of n-gram multisets: sum of weight * min(count) over sum of weight * max(count). An n-gram
@@ -145,11 +145,15 @@ class ItemBlock:
         found: dict[int, tuple[int, float, int]] = {}
         grams, _ = C.shingle_hashes(words, np.array([0, len(words)]), self.width, short=False)
         jobs: dict[int, np.ndarray] = {}
+        longer = []  # lengths of hinted items with more words than the text
         if len(grams):
             place = np.minimum(np.searchsorted(self.known, grams), max(len(self.known) - 1, 0))
             hits = np.flatnonzero(self.known[place] == grams) if len(self.known) else np.zeros(0, np.int64)
             for length in np.unique(np.concatenate([self.lengths_of[p] for p in place[hits]])).tolist() if len(hits) else ():
-                if length < self.width or length > len(words):
+                if length < self.width:
+                    continue
+                if length > len(words):
+                    longer.append(length)
                     continue
                 at = hits[np.fromiter((length in self.lengths_of[p] for p in place[hits]), bool, len(hits))]
                 mark = np.zeros(len(words) - length + 2, dtype=np.int64)
@@ -167,6 +171,11 @@ class ItemBlock:
                 start = int(starts[w])
                 own = slice(start, start + count)
                 self._take(found, int(item), start, self.similarity(grams[own], weights[own], int(item)), threshold)
+        if longer:
+            prints = fingerprints(grams, weights, np.array([0]), len(grams))
+            for length in longer:
+                for item in self.candidates(length, prints)[1]:
+                    self._take(found, int(item), 0, self.similarity(grams, weights, int(item)), threshold)
         for length in [n for n in self.index if n < self.width and n <= len(words)]:  # items of a few words
             windows = np.arange(len(words) - length + 1)
             firsts = np.stack([windows, windows + length], axis=1)

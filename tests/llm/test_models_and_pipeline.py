@@ -130,6 +130,31 @@ def test_leaks_match_brute_force(spark):
     assert {3, 4, 6, 7, 10, 11} <= hit
 
 
+def test_documents_shorter_than_an_item(spark):
+    """Brute force over cut items: the whole document is the one window."""
+    items = [(1, prose(901, 40)), (2, prose(903, 60)), (3, prose(904, 9)), (4, prose(901, 38))]
+    texts = {i: t.split(" ") for i, t in items}
+    docs = [(i * 1000 + head * 100 + tail, " ".join(w[head:len(w) - tail])) for i, w in texts.items()
+            for head in range(0, 6) for tail in range(0, 14) if 0 < len(w) - tail - head] + [(9999, prose(77, 30))]
+    weigh = lambda c: sum(n * sum(map(len, g)) for g, n in c.items())
+    grams = lambda w: Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4))
+    want = {}
+    for d, text in docs:
+        for i, target in texts.items():
+            have, whole = grams(text.split(" ")), grams(target)
+            if len(text.split(" ")) < len(target) and have and weigh(have & whole) / weigh(have | whole) >= 0.8:
+                want[d, i] = (0, round(weigh(have & whole) / weigh(have | whole), 9), 1)
+    assert (1002, 1) in want and (1004, 1) in want and (1013, 1) not in want
+    rows = [(d, t, None, None) for d, t in docs]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    words = {d: len(t.split(" ")) for d, t in docs}
+    for block in (1000, 1):
+        got = decontaminate.contaminated(frame(spark, rows), table, block_items=block).collect()
+        assert {(r[0], r[1]): (r[2], round(r[3], 9), r[4]) for r in got if words[r[0]] < len(texts[r[1]])} == want
+        kept = {r["doc_id"] for r in decontaminate.drop_contaminated(frame(spark, rows), table, block_items=block).collect()}
+        assert kept == {d for d, _ in docs} - {r[0] for r in got} and 9999 in kept
+
+
 def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
