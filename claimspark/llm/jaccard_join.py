@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from claimspark.llm import common as C
 from claimspark.llm.components import connected
@@ -324,28 +325,59 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return members, classes, first_links.unionByName(more_links)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-               percent: int = 80) -> DataFrame:
-    """id, n_shingles and component_id (the smallest id reachable by links, itself included) for every row."""
+def _named_members(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """members with root (the component's key; null for sets that neither link nor have copies) and component_id."""
     members, classes, links = similarity_classes(docs, id_col, text_col, width, percent)
     roots = connected(links)
     own = classes.join(roots.withColumnRenamed("node", "signature"), "signature", "left").select(
         "signature", "representative", F.coalesce("root", "signature").alias("root"))
     lowest = own.groupBy("root").agg(F.min("representative").alias("component_id"))
-    named = own.join(lowest, "root").select("signature", "component_id")
-    out = members.join(named, "signature", "left")
+    return members.join(own.join(lowest, "root").select("signature", "root", "component_id"), "signature", "left")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+               percent: int = 80) -> DataFrame:
+    """id, n_shingles and component_id (the smallest id reachable by links, itself included) for every row."""
+    out = _named_members(docs, id_col, text_col, width, percent)
     back = lambda c: F.when(c != NO_ID, c)
     return out.select(back(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"),
                       back(F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id")))
                       .alias("component_id"))
 
 
+def _add_signature(batches: Iterator[pa.RecordBatch], place: int, width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [set_signature(hashes, at) for _, _, hashes, at in text_sets(batch.column(place), width)]
+        signatures = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signatures, pa.int64())],
+                                         names=[*batch.schema.names, "__signature"])
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                percent: int = 80) -> DataFrame:
-    """One document of each component stays: that with the smallest id. All columns as they were."""
-    found = components(docs, id_col, text_col, width, percent)
-    losers = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("loser")).distinct()
-    losers = C.stored(losers, "ngram-losers")
-    if losers.count() * 8 <= BROADCAST_BYTES:
-        losers = F.broadcast(losers)
-    return docs.join(losers, docs[id_col] == losers["loser"], "left_anti")
+    """One row of each component stays: that with the smallest id. All columns as they were.
+
+    Rows are told apart by id and signature, so a row that only shares its id with a copy stays. A null id comes after
+    all others: such a row stays only if its whole component has null ids. Of equal ids the smallest signature stays, and of
+    rows equal in both the first by their columns as JSON. Every row without a word is a component of its own and stays.
+    """
+    found = _named_members(docs, id_col, text_col, width, percent).where("n > 0 and root is not null")
+    keys = C.stored(found.groupBy("root", "id", "signature").agg(F.count("*").alias("copies")), "ngram-keys")
+    best = keys.groupBy("root").agg(F.min(F.struct("id", "signature")).alias("best"))
+    first = F.struct("id", "signature") == F.col("best")
+    gone = C.stored(keys.join(best, "root").where(~first | (F.col("copies") > 1)).select(
+        F.col("id").alias("__id"), F.col("signature").alias("__gone"), first.alias("__first")), "ngram-losers")
+    C.release(keys)
+    place = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField("__signature", LongType())])
+    signed = docs.mapInArrow(lambda it: _add_signature(it, place, width), schema)
+    match = (F.coalesce(signed[id_col].cast("long"), F.lit(NO_ID)) == F.col("__id")) & (signed["__signature"] == F.col("__gone"))
+    small = gone.count() * 16 <= BROADCAST_BYTES
+    left = signed.join(F.broadcast(gone) if small else gone, match, "left_anti").select(*docs.columns)
+    repeated = gone.where("__first")
+    if not repeated.limit(1).count():
+        return left
+    row = F.struct(*docs.columns)
+    one = (signed.join(F.broadcast(repeated) if small else repeated, match).groupBy("__id", "__gone")
+           .agg(F.min_by(row, F.to_json(row)).alias("row")))  # merged map-side, so many copies are no large group
+    return left.unionByName(one.select("row.*"))

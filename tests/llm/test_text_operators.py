@@ -191,6 +191,21 @@ def test_keep_first_keeps_one_of_each_component(spark):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == want
 
 
+@pytest.mark.parametrize("bound", [jaccard_join.BROADCAST_BYTES, 0])
+def test_keep_first_of_null_repeated_and_shared_ids(spark, monkeypatch, bound):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", bound)
+    a, b, c, d, e = (prose(500 + k, 40) for k in range(5))
+    rows = [(1, a, "en", "s"), (None, a, "en", "s"), (None, a.upper(), "en", "s"),  # null copies of a numbered one
+            (None, b, "en", "s"), (None, b, "en", "s"), (None, b, "en", "t"),  # null ids only
+            (2, c, "en", "s"), (2, c, "en", "s"),  # a repeated row
+            (3, d, "en", "s"), (4, d, "en", "s"), (4, e, "en", "s"),  # 4 is a copy of 3 and a clean text
+            (5, None, "en", "s"), (5, None, "en", "s"), (None, "", "en", "s"), (None, "", "en", "s")]
+    docs = frame(spark, rows)
+    left = jaccard_join.keep_first(docs)
+    assert left.columns == docs.columns
+    assert plain(r[:4] for r in left.collect()) == plain([rows[0], rows[3], rows[6], rows[8], *rows[10:]])
+
+
 # -- mixing ------------------------------------------------------------------------------------
 
 def water_fill(sizes, weights=(5, 2, 1), share=1.5, epochs=2):
