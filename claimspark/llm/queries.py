@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimspark.llm import (chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, quality_forest,
-                            suffix_dedup, token_counts, warc)
+from claimspark.llm import (anchor_dedup, chat_format, decontaminate, divergence_audit, html_extract, jaccard_join, language_id,
+                            mixing, prefix_trie, quality_forest, suffix_dedup, token_counts, warc)
 from claimspark.session import scratch_path
 from claimspark.sources.tables import read_table
 
@@ -68,6 +68,19 @@ def op10_warc(spark, sf_dir):
                        "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(prefix_trie.share_openings(
+        read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
+def op12_divergence_audit(spark, sf_dir):
+    return divergence_audit.audit(read_table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op13_anchor_dedup(spark, sf_dir):
+    return anchor_dedup.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"), width=13)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_html_extract": op2_html_extract,
@@ -79,4 +92,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_divergence_audit": op12_divergence_audit,
+    "op13_anchor_dedup": op13_anchor_dedup,
 }
