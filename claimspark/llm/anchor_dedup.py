@@ -85,7 +85,7 @@ def kept_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     return out, sums[np.searchsorted(kept, first)]
 
 
-def _hashed(batch, width):
+def _hashed(batch):
     """Pieces of a batch's texts with their words: (first row, end row, bytes, starts, ends, first word of each text)."""
     buf, offs = column_bytes(batch.column("text"))
     for row, end, part, at in pieces(buf, offs):
@@ -100,7 +100,7 @@ def _emit_anchors(width):
     def run(batches):
         for batch in batches:
             low = batch.column("lo").to_numpy(zero_copy_only=False)
-            for row, _, part, starts, ends, first in _hashed(batch, width):
+            for row, _, part, starts, ends, first in _hashed(batch):
                 at, text = anchor_places(first, width, shared)
                 if not len(at):
                     continue
@@ -121,15 +121,16 @@ def _emit_places(width):
 
     def run(batches):
         for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            for row, _, part, starts, ends, first in _hashed(batch, width):
+            key, low = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo"))
+            for row, _, part, starts, ends, first in _hashed(batch):
                 at, text = anchor_places(first, width, shared)
                 if not len(at):
                     continue
                 names = mix(span_hash(prefix_sums(part), starts, ends))
                 h = windows(names, at, shared, _STEPS[0]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key[row + text]), pa.array((at - first[text]).astype(np.int32))],
-                                                 names=["h", "key", "place"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(key[row + text]), pa.array(low[row + text]), pa.array((at - first[text]).astype(np.int32))],
+                    names=["h", "key", "own", "place"])
     return run
 
 
@@ -142,15 +143,20 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _extend(width):
-    """Names of all windows of `width` words around the shared anchors of each text, each once."""
+def _extend(width, asking):
+    """Names of the windows of `width` words around the shared anchors of each text, each once: all of them, or with `asking`
+    only those around an anchor that a smaller doc_id has, with their places."""
     shared = width - PERIOD + 1
 
     def run(batches):
         for batch in batches:
             key, low = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo"))
-            listed, places = _lists(batch.column("places"))
-            for row, end, part, starts, ends, first in _hashed(batch, width):
+            listed, marked = _lists(batch.column("places"))
+            if asking:
+                older = marked % 2 == 1
+                listed, marked = listed[older], marked[older]
+            places = marked // 2
+            for row, end, part, starts, ends, first in _hashed(batch):
                 lo, hi = np.searchsorted(listed, (row, end))
                 anchor = first[listed[lo:hi] - row] + places[lo:hi]
                 inside = np.zeros(len(starts) + width + 1, dtype=np.int64)  # +1 where a window may start, -1 after
@@ -163,11 +169,11 @@ def _extend(width):
                 at, text = at[fits], text[fits]
                 if not len(at):
                     continue
-                one, two = word_names(part, starts, ends)
-                a, b = (windows(n, at, width, s).view(np.int64) for n, s in zip((one, two), _STEPS))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(b), pa.array(key[row + text]), pa.array(low[row + text]),
-                     pa.array((at - first[text]).astype(np.int32))], names=["a", "b", "key", "lo", "place"])
+                columns = [pa.array(windows(n, at, width, s).view(np.int64)) for n, s in zip(word_names(part, starts, ends), _STEPS)]
+                columns.append(pa.array(low[row + text]))
+                if asking:
+                    columns += [pa.array(key[row + text]), pa.array((at - first[text]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "lo", "key", "place"][:len(columns)])
     return run
 
 
@@ -177,7 +183,7 @@ def _cut(width, with_text):
         for batch in batches:
             listed, places = _lists(batch.column("places"))
             sigs, low = batch.column("sig"), batch.column("lo")
-            for row, end, part, starts, ends, first in _hashed(batch, width):
+            for row, end, part, starts, ends, first in _hashed(batch):
                 lo, hi = np.searchsorted(listed, (row, end))
                 at = first[listed[lo:hi] - row] + places[lo:hi]
                 gone = np.zeros(len(starts) + width + 1, dtype=np.int64)
@@ -221,25 +227,31 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False) ->
 
     # 2. anchors that two ids share
     shared = stored(named.select("lo", "text").mapInArrow(_emit_anchors(width), "h long, lo long, hi long")
-                    .groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("h"),
+                    .groupBy("h").agg(F.min("lo").alias("least"), F.max("hi").alias("hi")).where("least < hi").select("h", "least"),
                     "anchor-shared")
     drop_shuffles(spark)
 
-    # 3. their places, and the windows around them
-    places = stored(named.select("key", "text").mapInArrow(_emit_places(width), "h long, key long, place int")
-                    .join(shared, "h", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("places")),
-                    "anchor-places")
+    # 3. their places (times 2, and 1 more where a smaller id has the anchor), and the windows around them
+    mark = F.col("place") * 2 + (F.col("least") < F.col("own")).cast("int")
+    places = stored(named.select("key", "lo", "text").mapInArrow(_emit_places(width), "h long, key long, own long, place int")
+                    .join(shared, "h").select("key", mark.alias("mark")).groupBy("key")
+                    .agg(F.sort_array(F.collect_list("mark")).alias("places")), "anchor-places")
     drop_shuffles(spark)
     release(shared)
-    found = stored(named.join(places, "key").select("key", "lo", "text", "places").mapInArrow(
-        _extend(width), "a long, b long, key long, lo long, place int"), "anchor-windows")
+    placed = stored(named.join(places, "key").select("key", "lo", "text", "places"), "anchor-placed")
     drop_shuffles(spark)
     release(places)
-    owners = found.groupBy("a", "b").agg(F.min("lo").alias("owner"), F.max("lo").alias("hi")).where("owner < hi").select("a", "b", "owner")
-    repeats = stored(found.join(owners, ["a", "b"]).where("owner < lo").groupBy("key")
+    # kept, so that the join below deals plain shuffles, whose hot keys AQE splits
+    owners = stored(placed.mapInArrow(_extend(width, False), "a long, b long, lo long").groupBy("a", "b")
+                    .agg(F.min("lo").alias("owner"), F.max("lo").alias("hi")).where("owner < hi").select("a", "b", "owner"),
+                    "anchor-owners")
+    drop_shuffles(spark)
+    asked = placed.mapInArrow(_extend(width, True), "a long, b long, lo long, key long, place int")
+    repeats = stored(asked.join(owners, ["a", "b"]).where("owner < lo").select("key", "place").groupBy("key")
                      .agg(F.sort_array(F.collect_list("place")).alias("places")), "anchor-repeats")
     drop_shuffles(spark)
-    release(found)
+    release(owners)
+    release(placed)
 
     # 4. texts without them, and the verdict for each row
     extra = ", kept_text string, whole_text string" if with_text else ""
