@@ -2,10 +2,8 @@
 
 readStream (files of requests) -> scorer -> prediction columns + version -> parquet with a
 checkpoint. Every request row gives one prediction row, missing text scores as "".
-The text rule is a stateless expression and streams as it is; a trained model, whose features need
-shuffles, scores each micro-batch, and writes it to a folder named by the batch id, so a
-batch that runs again after a failure replaces its own output. Either way stream
-output equals batch output row for row.
+The text rule and a trained `PipelineModel` are both stateless projections, so a stream of either is a plan without a
+shuffle, and stream output equals batch output row for row.
 """
 
 from __future__ import annotations
@@ -39,20 +37,17 @@ def score_requests(requests: DataFrame, id_col: str, text_col: str,
     return scored.select(id_col, *FLAT_PREDICTION_COLUMNS, "version")
 
 
+def model_scores(requests: DataFrame, model, id_col: str, text_col: str, version: str) -> DataFrame:
+    """Requests, batch or stream, scored by a trained classifier (anything with `predict_flat`)."""
+    flat = model.predict_flat(requests.select(id_col, text_col), text_col, version)
+    return flat.select(id_col, *FLAT_PREDICTION_COLUMNS, "version")
+
+
 def start_model_scoring(requests: DataFrame, model, id_col: str, text_col: str, out_path: str, checkpoint: str,
                         version: str, available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
-    """Score a request stream with a trained classifier (anything with `predict_flat`)."""
-    def score(batch: DataFrame, batch_id: int) -> None:
-        flat = model.predict_flat(batch.select(id_col, text_col), text_col, version)
-        (flat.select(id_col, *FLAT_PREDICTION_COLUMNS, "version")
-         .write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}"))
-
-    writer = requests.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    elif processing_time:
-        writer = writer.trigger(processingTime=processing_time)
-    return writer.start()
+    """Score a request stream with a trained classifier."""
+    return start_scoring(model_scores(requests, model, id_col, text_col, version), out_path, checkpoint, available_now,
+                         processing_time)
 
 
 def start_scoring(scored: DataFrame, out_path: str, checkpoint: str,
