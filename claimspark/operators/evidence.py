@@ -74,19 +74,26 @@ def _score_pairs(pairs: DataFrame, qt: DataFrame, postings: DataFrame) -> DataFr
 
 
 def candidate_pairs(qt: DataFrame, postings: DataFrame, seed_terms: int = 3) -> DataFrame:
-    """(q, doc) pairs that can hold a statement's best score; windows run over one statement's terms."""
+    """(q, doc) pairs that can hold a statement's best score; windows run over one statement's terms.
+
+    The documents of its rarest terms give a statement a lower bound. Terms that cannot reach it together are left out; the
+    others are summed for each document, and the pair stays where this sum and the most that the rest can add reach the bound.
+    """
     by_df = Window.partitionBy("q").orderBy("df", "term")
     seeds = qt.withColumn("n", F.row_number().over(by_df)).where(F.col("n") <= seed_terms).select("q", "term")
     first = join_checked(postings.select("doc", "term"), seeds, "term").select("q", "doc").distinct()
     lower = _score_pairs(first, qt, postings).groupBy("q").agg(F.max("score").alias("lower"))
     most = postings.groupBy("term").agg(F.max("w").alias("max_w"))
     bounds = (qt.join(most, "term").join(lower, "q", "left")
-              .withColumn("most", F.col("w") * F.col("max_w")))
+              .withColumn("most", F.col("w") * F.col("max_w"))
+              .withColumn("lower", F.coalesce("lower", F.lit(0.0)) - 10.0 ** -SCORE_DECIMALS))
     rising = Window.partitionBy("q").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    essential = (bounds.withColumn("reach", F.sum("most").over(rising))
-                 .where(F.col("reach") >= F.coalesce(F.col("lower"), F.lit(0.0)) - 10.0 ** -SCORE_DECIMALS)
-                 .select("q", "term"))
-    return join_checked(postings.select("doc", "term"), essential, "term").select("q", "doc").distinct()
+    reach = bounds.withColumn("reach", F.sum("most").over(rising)).withColumn("leads", F.col("reach") >= F.col("lower"))
+    needed = F.col("lower") - F.coalesce(F.sum(F.when(~F.col("leads"), F.col("most"))).over(Window.partitionBy("q")), F.lit(0.0))
+    essential = reach.withColumn("needed", needed).where("leads").select("q", "term", F.col("w").alias("wq"), "needed")
+    partly = join_checked(postings.select("doc", "term", F.col("w").alias("wd")), essential, "term")
+    sums = partly.groupBy("q", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("part"), F.first("needed").alias("needed"))
+    return sums.where(F.col("part") >= F.col("needed") - 10.0 ** -SCORE_DECIMALS).select("q", "doc")
 
 
 def retrieval_scores(queries: DataFrame, docs: DataFrame, q_id: str, q_text: str, d_id: str, d_text: str,

@@ -1,11 +1,11 @@
 """TF-IDF in long form: (doc, term, tf, df, idf, weight).
 
 Plan shape:
-  docs --per row: sorted tokens, run lengths--> explode --> (id, term, tf)   (no shuffle of text or terms)
+  docs --repartition(id)--> explode terms --groupBy(id, term)--> tf    (texts move once, term counts don't)
   tf --groupBy(term), partial agg--> df, corpus tf                     (term shuffle)
   tf JOIN vocabulary                                                  (broadcast behind a size
       check; else shuffle join with AQE skew split)
-  L2 norm, only where asked for: sum(w^2) OVER (PARTITION BY id)       (shuffle of vocabulary terms)
+  L2 norm, only where asked for: sum(w^2) OVER (PARTITION BY id)       (in place, on the documents' partitioning)
 
 Definitions: tokens are lower-cased runs of 2+ word characters; n-grams are
 built from the tokens; idf = ln((1 + n) / (1 + df)) + 1; sublinear tf = 1 + ln(tf);
@@ -16,31 +16,19 @@ be unique (the model classes make a key of their own).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import ngrams, tokens
-from claimspark.operators.joins import BROADCAST_BYTES, join_checked, measured_bytes
-from claimspark.session import materialize
+from claimspark.operators.joins import join_checked
 
 
 def term_frequencies(df: DataFrame, id_col: str = "id", text_col: str = "statement_clean",
                      ngram_max: int = 1) -> DataFrame:
-    """(id, term, tf), counted inside each row: a term's run in the sorted terms starts where its left neighbour differs,
-    and ends where the next run starts."""
-    listed = df.select(id_col, F.array_sort(ngrams(tokens(F.col(text_col)), ngram_max)).alias("__s"))
-    n = F.size("__s")
-    starts = F.filter(F.sequence(F.lit(0), n - 1),
-                      lambda i: (i == 0) | (F.get("__s", i) != F.get("__s", F.greatest(i - 1, F.lit(0)))))
-    runs = listed.where(n > 0).select(id_col, "__s", starts.alias("__at"))
-    ends = F.concat(F.slice("__at", 2, F.size("__at")), F.array(F.size("__s")))
-    rows = runs.select(id_col, F.explode(F.arrays_zip(
-        F.transform("__at", lambda i: F.get("__s", i)).alias("term"),
-        F.zip_with(ends, F.col("__at"), lambda e, a: (e - a).cast("long")).alias("tf"))).alias("__r"))
-    return rows.select(id_col, "__r.term", "__r.tf")
+    """(id, term, tf). Documents are dealt by id first, so the counts of a document's terms need no shuffle of their own."""
+    dealt = df.select(id_col, text_col).repartition(id_col)
+    terms = dealt.select(id_col, F.explode(ngrams(tokens(F.col(text_col)), ngram_max)).alias("term"))
+    return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -89,60 +77,5 @@ def tfidf_long(df: DataFrame, id_col: str = "id", text_col: str = "statement_cle
                normalize: bool = True) -> DataFrame:
     """Fit and apply on the same corpus; returns (id, term, idx, tf, df, idf, weight)."""
     n_docs = df.count()
-    tf = term_frequencies(df, id_col, text_col, ngram_max)  # narrow: cheaper to run twice than to keep
-    return weigh(tf, vocabulary(tf, n_docs, max_features), id_col, sublinear, normalize)
-
-
-# -- vectors for Spark ML ----------------------------------------------------
-
-@F.udf(returnType=VectorUDT(), useArrow=True)
-def _sparse(size, pairs):
-    # Small per-document helper, Arrow-batched: (idx, weight) pairs already sorted by idx.
-    if not pairs:
-        return SparseVector(size, [], [])
-    return SparseVector(size, [p[0] for p in pairs], [p[1] for p in pairs])
-
-
-def vectors_from_tf(tf: DataFrame, model: "TfidfModel", docs: DataFrame, id_col: str = "id",
-                    features_col: str = "features") -> DataFrame:
-    """Sparse L2-normalised vectors for `docs` from a precomputed tf table; documents without
-    vocabulary terms get an all-zero vector. Per-document groups are bounded by the vocabulary."""
-    w = weigh(tf, model.vocab, id_col, model.sublinear, True, model.small)
-    pairs = w.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("pairs"))
-    out = docs.join(pairs, id_col, "left")
-    return out.withColumn(features_col, _sparse(F.lit(model.size), F.col("pairs"))).drop("pairs")
-
-
-@dataclass
-class TfidfModel:
-    """A fitted vocabulary (at most max_features terms), its settings, and whether it fits a broadcast."""
-
-    vocab: DataFrame
-    size: int
-    ngram_max: int
-    sublinear: bool
-    small: bool
-
-    def transform(self, df: DataFrame, id_col: str = "id", text_col: str = "statement_clean",
-                  features_col: str = "features") -> DataFrame:
-        """Append the TF-IDF vector."""
-        tf = term_frequencies(df, id_col, text_col, self.ngram_max)
-        return vectors_from_tf(tf, self, df, id_col, features_col)
-
-
-def load_tfidf(vocab: DataFrame, size: int, ngram_max: int, sublinear: bool) -> TfidfModel:
-    """A model from a kept vocabulary table, whose size in bytes is measured."""
-    return TfidfModel(vocab, size, ngram_max, sublinear, measured_bytes(vocab) <= BROADCAST_BYTES)
-
-
-def fit_from_tf(tf: DataFrame, n_docs: int, ngram_max: int, max_features: int,
-                sublinear: bool = True) -> TfidfModel:
-    vocab = materialize(vocabulary(tf, n_docs, max_features))
-    return load_tfidf(vocab, vocab.count(), ngram_max, sublinear)
-
-
-def fit_tfidf(df: DataFrame, id_col: str = "id", text_col: str = "statement_clean",
-              ngram_max: int = 1, max_features: int = 10_000, sublinear: bool = True) -> TfidfModel:
-    """Fit vocabulary and idf on `df` only (call inside each fold to avoid leakage)."""
     tf = term_frequencies(df, id_col, text_col, ngram_max)
-    return fit_from_tf(tf, df.count(), ngram_max, max_features, sublinear)
+    return weigh(tf, vocabulary(tf, n_docs, max_features), id_col, sublinear, normalize)

@@ -128,14 +128,15 @@ def test_small_blocks_and_many_tasks_give_the_same_fit(claims, monkeypatch):
     one = MD.TfidfClassifier(p).fit(claims).fitted
     monkeypatch.setattr(S, "ROWS_PER_TASK", 5)
     monkeypatch.setattr(S, "DIRECT_TASKS", 2)
+    monkeypatch.setattr(S, "BLOCK_ENTRIES", 9)
     many = MD.TfidfClassifier(p).fit(claims.repartition(30)).fitted
     np.testing.assert_allclose(one.weights, many.weights, atol=1e-8)
 
 
 def test_blocks_hold_any_rows():
     indptr = np.array([0, 0, 2, 2, 5, 5])
-    got = S.row_sums(indptr, np.arange(10.0).reshape(5, 2))
-    assert got.tolist() == [[0, 0], [2, 4], [0, 0], [18, 21], [0, 0]]
+    got = S.row_sums(indptr, np.arange(10.0).reshape(5, 2).T)
+    assert got.T.tolist() == [[0, 0], [2, 4], [0, 0], [18, 21], [0, 0]]
 
 
 def test_macro_f1_counts():
@@ -191,9 +192,9 @@ def test_no_terms_raise(spark):
 
 
 def test_folds_need_not_fit_the_vocabulary_of_all(spark, claims, texts):
-    docs = MD.with_row_key(V.NgramTerms(inputCol="statement_clean", outputCol="terms", ngramMax=1).transform(claims).select(
-        "id", "terms", (F.col("id") % 2).alias("fold")))
-    stats = V.term_statistics(docs, MD.ROW, "terms", "fold")
+    docs = V.NgramTerms(inputCol="statement_clean", outputCol="terms", ngramMax=1).transform(claims).select(
+        "terms", (F.col("id") % 2).alias("fold"))
+    stats = V.term_statistics(docs, "terms", "fold")
     both, first = V.fold_vocabularies(stats, [None, 0], 5)
     count = {}
     for i, t, _ in texts:
