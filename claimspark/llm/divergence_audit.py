@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import column_bytes, lower_ascii, pieces, prepare, shuffle_partitions, stored
+from claimspark.llm.common import column_bytes, lower_ascii, pieces, prepare, stored
 from claimspark.operators.joins import join_checked
 
 SCALE = 1_000_000_000
 ADDED = 2
 #: Bytes of text sorted at once (a longer single text is one shard).
 SHARD_BYTES = 4 << 20
+#: Kept terms that one task compares for all pairs of a lang's sources.
+SLICE_TERMS = 1 << 13
 #: Cells of the (term, source) matrix that a task works on at once.
 TILE_CELLS = 1 << 18
 #: Largest N + ADDED * V whose product with SCALE fits 64 bits; beyond it Python's integers are used.
@@ -196,7 +198,6 @@ def kept_terms(docs: DataFrame, min_docs: int = 10) -> DataFrame:
 
 def audit(docs: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
     """(lang, source, part, item, value, rank) for the columns text, lang and source of `docs`; see the module."""
-    spark = docs.sparkSession
     groups = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     kept = stored(kept_terms(docs, min_docs), "audit-terms")
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count(F.lit(1)).alias("n_terms"))
@@ -213,9 +214,10 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
              .where("p > q").select("lang", "source", F.lit("term").alias("part"), "item",
                                     F.expr("(p - q) * (p - q) div (p + q)").alias("value")))
 
-    slices = shuffle_partitions(spark)
-    left = kept.select("lang", F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int").alias("slice"), "uses")
-    right = stats.select("lang", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "source", "total", "n_terms")
+    slices = F.expr(f"1 + n_terms div {SLICE_TERMS}")  # by the lang's terms: each slice gives a row for every pair
+    left = join_checked(kept.select("lang", "term", "uses"), langs, "lang").select(
+        "lang", F.pmod(F.xxhash64("term"), slices).alias("slice"), "uses")
+    right = stats.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"), "source", "total", "n_terms")
     pairs = (left.groupBy("lang", "slice").cogroup(right.groupBy("lang", "slice"))
              .applyInArrow(_pair_sums, "lang string, source string, item string, value long")
              .groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
