@@ -5,9 +5,10 @@ their own size; what a full source leaves is shared again by weight (water filli
 solved exactly from the sorted ratios of cap to weight).
 
 Selection: a source first takes every document as often as its target holds whole passes. The rest of
-its budget is fitted by length: documents are counted by exact length, every length gives
-the same share of its documents, and a bounded-knapsack dynamic programme closes the remaining gap with
-the documents left at each length. Which documents of a length are taken follows from a
+its budget is fitted by length: documents are counted by exact length, and from the longest length down
+each gives the same share of its words, rounded so that what one length is over or under goes to the next
+shorter one. A bounded-knapsack dynamic programme then fits the last `FITTED` documents anew, so that the sum
+comes as near to the budget as it can. Which documents of a length are taken follows from a
 seeded hash of their id, so reruns agree.
 
 Distributed work: lengths are counted with map-side partial sums; the budget fitting sees one row per
@@ -32,8 +33,8 @@ from claimspark.llm.common import prepare, stored
 
 #: Documents of one (source, length) group that one seeded bucket holds on average.
 BUCKET_ROWS = 200
-#: Largest remaining budget that the dynamic programme fits, in length units.
-KNAPSACK_SPAN = 1 << 16
+#: Shortest documents of the even share that the dynamic programme may choose anew, besides those not taken.
+FITTED = 32
 
 
 def word_count(text: Column) -> Column:
@@ -69,39 +70,57 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budge
     return found.select("source", "source_no", "source_size", "weight", target.alias("target"))
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int = KNAPSACK_SPAN) -> np.ndarray:
+def even_share(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """Documents of each length so that, from the longest down, the words taken keep to the same share of the words."""
+    lengths, counts = lengths.tolist(), counts.tolist()
+    total, seen, taken = sum(s * n for s, n in zip(lengths, counts)), 0, 0
+    take = [n * budget // total for n in counts]  # stays for documents without a word
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        size, n = lengths[k], counts[k]
+        if size:
+            seen += size * n
+            take[k] = min(max((2 * (budget * seen - taken * total) + total * size) // (2 * total * size), 0), n)
+            taken += size * take[k]
+    return np.array(take, dtype=np.int64)
+
+
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that the lengths sum to `budget`, or as near as can be.
 
-    Every length first gives the same share (rounded down), then the longest lengths fill up while more than
-    `span` is missing, then bounded-knapsack dynamic programming over the documents left finds the reachable sum
-    nearest to the gap. Reachable sums are the bits of an integer; each length's copies are split in powers of two.
+    Every length first gives the same share. The shortest `FITTED` of these documents, and more while the sum is above the
+    budget, are given back, and bounded-knapsack dynamic programming over them, and then over the other documents left from the
+    shortest up, finds the reachable sum nearest to the gap; it ends once the gap itself is reached. Reachable sums are the bits of an integer; each length's copies are split in powers of two.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
-    take = np.zeros(len(lengths), dtype=np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
-        return take
+        return np.zeros(len(lengths), dtype=np.int64)
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
-    gap = budget - int((take * lengths).sum())
-    for k in np.argsort(-lengths, kind="stable"):
-        if gap <= span:
+    take = even_share(lengths, counts, budget)
+    gap, spare, given = budget - int((take * lengths).sum()), FITTED, np.zeros(len(lengths), dtype=np.int64)
+    if gap == 0:
+        return take
+    upward = np.argsort(lengths, kind="stable")
+    for k in upward:
+        size = int(lengths[k])
+        given[k] = min(int(take[k]), max(spare, -(gap // size) if gap < 0 else 0)) if size else 0
+        gap += int(given[k]) * size
+        spare = max(spare - int(given[k]), 0)
+        if not spare and gap >= 0:
             break
-        if lengths[k] > 0:
-            more = min(int(counts[k] - take[k]), (gap - span // 2) // int(lengths[k]))
-            if more > 0:
-                take[k] += more
-                gap -= more * int(lengths[k])
+    take -= given
     if gap <= 0:
         return take
     bits, items, seen = 1, [], [1]
     mask = (1 << (2 * gap + 1)) - 1
-    for k in np.argsort(lengths, kind="stable"):
-        size, left, part = int(lengths[k]), int(counts[k] - take[k]), 1
+    for k, left in [(k, given[k]) for k in upward if given[k]] + [(k, counts[k] - take[k] - given[k]) for k in upward]:
+        size, part = int(lengths[k]), 1
         if size == 0 or size > 2 * gap:
             continue
-        left = min(left, 2 * gap // size)
+        if bits >> gap & 1:
+            break
+        left = min(int(left), 2 * gap // size)
         while left > 0:
             n = min(part, left)
             grown = (bits | bits << (n * size)) & mask
@@ -111,8 +130,6 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int =
                 seen.append(bits)
             left -= n
             part *= 2
-        if bits >> gap & 1:
-            break
     below = (bits & ((1 << (gap + 1)) - 1)).bit_length() - 1
     above_bits = bits >> (gap + 1)
     best = below

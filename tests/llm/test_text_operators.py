@@ -275,6 +275,21 @@ def test_fit_counts_reaches_the_nearest_sum():
         assert abs(int((take * lengths).sum()) - budget) <= max(lengths) or budget > total
 
 
+@pytest.mark.parametrize("share", [0.13, 0.5, 0.64, 0.9])
+def test_every_length_band_gives_its_share(share):
+    """Lengths held by one document each, and a long tail: no band fills up and none is left out."""
+    rng = np.random.default_rng(3)
+    for lengths in (np.arange(1, 20001), np.unique(np.exp(rng.uniform(0, 9.9, 3000)).astype(np.int64))):
+        counts = np.ones(len(lengths), dtype=np.int64)
+        total = int(lengths.sum())
+        take = mixing.fit_counts(lengths, counts, int(total * share))
+        assert int((take * lengths).sum()) == int(total * share)
+        for low, high in ((1, 50), (50, 500), (500, 2000), (2000, 20001)):
+            band = (lengths >= low) & (lengths < high)
+            words = int(lengths[band].sum())
+            assert abs(int((take * lengths)[band].sum()) / words - share) < 0.05 or words < 30 * int(lengths[band].max())
+
+
 def test_mix_splits_a_hot_length(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
     rows = [(i, "w " * 8, None, "a") for i in range(500)] + [(1000 + i, "w " * (i % 9 + 1), None, "b") for i in range(100)]
