@@ -8,7 +8,7 @@ windows of `width` words therefore have an anchor at the same place inside them,
 2. Anchors of all texts are counted; those of two different doc_ids or more are shared. (hash, smallest id, largest id) are
    summed in the task before they are shuffled.
 3. The places of shared anchors return to their texts. Each shared anchor is extended: every window of `width` words around it
-   gets a name of 128 bits, and the smallest doc_id of each name is found.
+   gets a name of 96 bits, and the smallest doc_id of each name is found.
 4. A text loses the words of its windows whose name a smaller doc_id has.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Results for special input: null and empty texts have no words; texts shorter than a
@@ -169,8 +169,8 @@ def _extend(width, asking):
                 at, text = at[fits], text[fits]
                 if not len(at):
                     continue
-                columns = [pa.array(windows(n, at, width, s).view(np.int64)) for n, s in zip(word_names(part, starts, ends), _STEPS)]
-                columns.append(pa.array(low[row + text]))
+                one, two = (windows(n, at, width, s).view(np.int64) for n, s in zip(word_names(part, starts, ends), _STEPS))
+                columns = [pa.array(one), pa.array((two >> 32).astype(np.int32)), pa.array(low[row + text])]
                 if asking:
                     columns += [pa.array(key[row + text]), pa.array((at - first[text]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "lo", "key", "place"][:len(columns)])
@@ -181,7 +181,7 @@ def _cut(width, with_text):
     """Each text without the words of its listed windows."""
     def run(batches):
         for batch in batches:
-            listed, places = _lists(batch.column("places"))
+            listed, places = _lists(batch.column("gone"))
             sigs, low = batch.column("sig"), batch.column("lo")
             for row, end, part, starts, ends, first in _hashed(batch):
                 lo, hi = np.searchsorted(listed, (row, end))
@@ -238,29 +238,30 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False) ->
                     .agg(F.sort_array(F.collect_list("mark")).alias("places")), "anchor-places")
     drop_shuffles(spark)
     release(shared)
-    placed = stored(named.join(places, "key").select("key", "lo", "text", "places"), "anchor-placed")
+    placed = stored(texts.join(places, "key", "left"), "anchor-placed")
     drop_shuffles(spark)
     release(places)
+    release(texts)  # each text is kept once
+    around = placed.where(F.col("places").isNotNull())
     # kept, so that the join below deals plain shuffles, whose hot keys AQE splits
-    owners = stored(placed.mapInArrow(_extend(width, False), "a long, b long, lo long").groupBy("a", "b")
+    owners = stored(around.mapInArrow(_extend(width, False), "a long, b int, lo long").groupBy("a", "b")
                     .agg(F.min("lo").alias("owner"), F.max("lo").alias("hi")).where("owner < hi").select("a", "b", "owner"),
                     "anchor-owners")
     drop_shuffles(spark)
-    asked = placed.mapInArrow(_extend(width, True), "a long, b long, lo long, key long, place int")
+    asked = around.mapInArrow(_extend(width, True), "a long, b int, lo long, key long, place int")
     repeats = stored(asked.join(owners, ["a", "b"]).where("owner < lo").select("key", "place").groupBy("key")
-                     .agg(F.sort_array(F.collect_list("place")).alias("places")), "anchor-repeats")
+                     .agg(F.sort_array(F.collect_list("place")).alias("gone")), "anchor-repeats")
     drop_shuffles(spark)
     release(owners)
-    release(placed)
 
     # 4. texts without them, and the verdict for each row
     extra = ", kept_text string, whole_text string" if with_text else ""
-    cut = stored(texts.join(repeats, "key", "left").select("sig", "lo", "text", "places").mapInArrow(
+    cut = stored(placed.select("sig", "lo", "key", "text").join(repeats, "key", "left").select("sig", "lo", "text", "gone").mapInArrow(
         _cut(width, with_text), "sig binary, lo long, n_words long, n_removed long, kept_sha256 string, whole_sha256 string" + extra),
         "anchor-cut")
     drop_shuffles(spark)
     release(repeats)
-    release(texts)
+    release(placed)
     whole = F.col("doc_id").isNull() | (F.col("n_words") < width)
     copy = F.col("doc_id") > F.col("lo")
 
