@@ -3,8 +3,8 @@
 Each text is tokenised in full; the encoding keeps the first (max_length - 2)
 tokens between a begin and an end id, maps them through a vocabulary (unknown
 -> UNK), and pads with PAD to max_length; the mask is 1 on real positions.
-The vocabulary is bounded (max_features rows), so it is broadcast; only the kept
-positions are exploded, and each document's group holds at most max_length rows.
+The vocabulary is broadcast behind a size check; only the kept positions are exploded, and each
+document's group holds at most max_length rows. Rows get a key of their own, fixed by a checkpoint.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import tokens
+from claimspark.operators.joins import join_checked
 from claimspark.operators.tfidf import term_frequencies, vocabulary
 from claimspark.schema import BOS_ID, EOS_ID, PAD_ID, UNK_ID
+from claimspark.session import materialize
 
 FIRST_TERM_ID = 4  # ids 0-3 are the special ids
 
@@ -34,9 +36,9 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str =
     label = [label_col] if label_col else []
     tok = df.select(id_col, *label, tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("__tok"))
     base = tok.select(id_col, *label, F.size("__tok").alias("n_tokens"), F.slice("__tok", 1, keep).alias("__kept"))
-    keyed = base.withColumn("__row", F.monotonically_increasing_id())  # equal ids keep sequences of their own
+    keyed = materialize(base.withColumn("__row", F.monotonically_increasing_id()))  # equal ids keep sequences of their own
     pos = keyed.select("__row", id_col, *label, "n_tokens", F.posexplode_outer("__kept").alias("pos", "term"))
-    known = pos.join(F.broadcast(vocab), "term", "left")
+    known = join_checked(pos, vocab, "term", "left")
     tid = F.coalesce("token_id", F.lit(UNK_ID)).cast("int")
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", tid.alias("tid")))
     seq = known.groupBy("__row", id_col, *label, "n_tokens").agg(F.array_sort(F.collect_list(entry)).alias("__s"))

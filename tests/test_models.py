@@ -110,6 +110,18 @@ def test_trained_model_serves_batch_stream_and_python(spark, data, tmp_path):
     out = scratch_path(spark, "t-out")
     ST.start_model_scoring(stream, model, "id", "text", out, scratch_path(spark, "t-ck"), "v1").awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(out).select(*flat).collect())) == batch
+    scores = ST.model_scores(stream, model, "id", "text", "v1")
+    logical = scores._jdf.queryExecution().analyzed().toString()
+    assert scores.isStreaming and not any(node in logical for node in ("Join", "Aggregate", "Repartition", "MapInArrow"))
+    plan = ST.model_scores(requests, model, "id", "text", "v1")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+    # the checkpoint holds what was read: a restart scores new files only
+    requests.where("id < 3").withColumn("id", F.col("id") + 100).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    ck = scratch_path(spark, "t-ck2")
+    out2 = scratch_path(spark, "t-out2")
+    for _ in range(2):
+        ST.start_model_scoring(stream, model, "id", "text", out2, ck, "v1").awaitTermination()
+    assert spark.read.parquet(out2).count() == len(batch) + 3
     python = score_in_pandas(requests, model.python_scorer(), "text", "v1")
     for a, b in zip(sorted(map(tuple, python.select(*flat).collect())), batch, strict=True):
         assert (*a[:3], a[-1]) == (*b[:3], b[-1]) and a[3:6] == pytest.approx(b[3:6], abs=2e-4)
