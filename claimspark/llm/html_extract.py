@@ -7,8 +7,12 @@ list or table never go by themselves; a recurring heading goes only where nothin
 half of the page's reading text, with its title, is the page's body and stays with all in it. A page that would lose all its text to
 templates keeps it. Elements that
 are no reading text by their meaning (navigation, headers and footers of the page, sidebars, notices, adverts, forms, scripts,
-styles, reader comments; by element name, role, class or id) go as well. Where a page marks its article (`article`, `main`, role
-main), only that is read, and prose in it stays even if it recurs: articles may quote each other.
+styles, reader comments; by element name, role, or a whole token of class or id) go as well, but never one that is the page's body: it
+holds more than half of the page's text, with the title, the marked article, or, on pages that mark none, mostly unlinked text.
+
+Where a page marks its article (`article`, `main`, role main), the marked parts are chosen by their share of the text: articles
+in the main part win if they hold half of it, an article wins over the page if it holds a third. A title that stands before the article stays.
+Within it prose that recurs on half of the host's pages goes only at the edges (notices, licence lines): articles may quote each other.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in
 page order by one space.
@@ -53,58 +57,106 @@ ENDS_P = BLOCK - frozenset("br body caption dd dt head html legend li option tbo
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
         "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-# What is no reading text, by element, role, or a word of class or id.
-DROPPED = frozenset("""aside button canvas datalist dialog embed footer form head iframe input menu nav noscript object
+# What is no reading text: by element, whatever it holds; by element, role, or a word of class or id, unless it is the page's body.
+DROPPED = frozenset("""button canvas datalist dialog embed head iframe input menu nav noscript object
 select script style svg template textarea title audio video""".split())
+SECONDARY = frozenset("aside footer form".split())
 DROPPED_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-DROPPED_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist
-consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+DROPPED_WORDS = COMMENT_WORDS | frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs
+consent cookie cookies footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup
 promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget""".split())
+#: Words that may follow one of `DROPPED_WORDS` in a token (`share-buttons`, but not `share-price`), and words that void a token.
+PARTS = frozenset("""area bar block body bottom box button buttons cell col column container content form group holder icon icons
+inner item items left link links list outer panel right row section slot text top unit wrap wrapper zone""".split())
+VOIDING = frozenset("can has is js no not with without".split())
+#: Articles of these words point to other pages.
+CARD_WORDS = frozenset("card teaser tile".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that can be a template by themselves.
 COUNTED = HEADINGS | frozenset("address blockquote center details dir div dl fieldset figure hgroup ol p pre section table ul".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption b i em strong span a code br".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
-                    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# Possessive throughout: no position is read twice, so a page costs time in proportion to its length.
+_TAG = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*+)|[!?])")
+_TAG_END = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+_RAW_ENDS = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in RAW}
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_PART = re.compile(r"[A-Z]*[a-z]+|[A-Z]+")
+# Numbers of references that are longer than any code point.
+_ZEROS = re.compile(r"&#0{8,}+")
+_DIGITS = re.compile(r"&#[0-9]{9,}+;?")
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("name", "kinds", "role", "children", "hash")
+    __slots__ = ("name", "kinds", "role", "words", "children", "hash", "gross", "linked", "marked", "h1", "body", "size")
+
+    def __init__(self, name: str, kinds: tuple[str, ...] = (), role: str = "", words: frozenset[str] = frozenset()) -> None:
+        self.name, self.kinds, self.role, self.words, self.children, self.hash = name, kinds, role, words, [], b""
+        self.gross, self.linked, self.marked, self.h1, self.body, self.size = 0, 0, 0, False, False, 0
+
 
-    def __init__(self, name: str, kinds: tuple[str, ...] = (), role: str = "") -> None:
-        self.name, self.kinds, self.role, self.children, self.hash = name, kinds, role, [], b""
+def decode(piece: str) -> str:
+    if "&#" in piece:
+        piece = _DIGITS.sub("\ufffd", _ZEROS.sub("&#0", piece))
+    return html.unescape(piece)
+
+
+def furniture_words(tokens: list[str]) -> frozenset[str]:
+    """The words by which tokens of class or id name their element: the last word, or the first before mere `PARTS`."""
+    found = set()
+    for token in tokens:
+        words = [w.lower() for w in _PART.findall(token) if len(w) > 1]
+        if not words or words[0] in VOIDING:
+            continue
+        if words[-1] in DROPPED_WORDS or words[-1] in CARD_WORDS:
+            found.add(words[-1])
+        elif words[0] in DROPPED_WORDS and all(w in PARTS or w in DROPPED_WORDS for w in words[1:]):
+            found.add(words[0])
+    return frozenset(found)
 
 
 def parse(source: str) -> Node:
     """The element tree; children are nodes and decoded texts, in order."""
     root = Node("#root")
-    open_nodes, at = [root], 0
+    open_nodes, at, quotes = [root], 0, True
+    places: dict[str, list[int]] = {}  # name -> depths of its open elements
 
     def text(piece: str) -> None:
         if piece:
-            open_nodes[-1].children.append(html.unescape(piece))
+            open_nodes[-1].children.append(decode(piece))
 
     def close(name: str, bounds: set[str]) -> None:
-        for k in range(len(open_nodes) - 1, 0, -1):
-            if open_nodes[k].name == name:
-                del open_nodes[k:]
-                return
-            if open_nodes[k].name in bounds:
-                return
+        depths = places.get(name)
+        if not depths or any(places.get(b) and places[b][-1] > depths[-1] for b in bounds):
+            return
+        depth = depths[-1]
+        while len(open_nodes) > depth:
+            places[open_nodes.pop().name].pop()
 
     while at < len(source):
-        m = _TOKEN.search(source, at)
+        m = _TAG.search(source, at)
         if not m:
             text(source[at:])
             break
         text(source[at:m.start()])
-        at = m.end()
         if not m[2]:
+            mark = "-->" if source.startswith("<!--", m.start()) else ">"
+            end = source.find(mark, m.start() + 2)
+            at = end + len(mark) if end >= 0 else len(source)
             continue
+        whole = _TAG_END.match(source, m.end()) if quotes else None
+        if whole:
+            at = whole.end()
+        else:  # a quote that swallows the page's end is none, and neither is any after it
+            quotes = False
+            at = source.find(">", m.end()) + 1
+            if not at:
+                text(source[m.start():])
+                break
+        inside = source[m.end():at - 1]
         name = m[2].lower()
         if m[1]:
             if name == "br":
@@ -119,18 +171,22 @@ def parse(source: str) -> Node:
             ended, bounds = ENDS[name]
             for other in ended:
                 close(other, bounds)
-        kinds, role = (), ""
-        if m[3].strip():
-            found = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(m[3])}
+        kinds, role, words = (), "", frozenset()
+        if "=" in inside:
+            found = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(inside)
+                     if a[0].lower() in ("class", "id", "role")}
             role = found.get("role", "").strip().lower()
-            kinds = tuple(w.lower() for w in _WORD.findall(found.get("class", "") + " " + found.get("id", "")))
-        node = Node(name, kinds, role)
+            named = found.get("class", "") + " " + found.get("id", "")
+            kinds = tuple(w.lower() for w in _WORD.findall(named))
+            words = furniture_words(named.split())
+        node = Node(name, kinds, role, words)
         open_nodes[-1].children.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
-            node.children.append(html.unescape(source[at:end.start() if end else len(source)]))
+            end = _RAW_ENDS[name].search(source, at)
+            node.children.append(decode(source[at:end.start() if end else len(source)]))
             at = end.end() if end else len(source)
-        elif name not in VOID and not m[4]:
+        elif name not in VOID and not inside.endswith("/"):
+            places.setdefault(name, []).append(len(open_nodes))
             open_nodes.append(node)
     return root
 
@@ -144,8 +200,8 @@ def _postorder(root: Node) -> list[Node]:
     return out[::-1]
 
 
-def hash_subtrees(root: Node) -> list[Node]:
-    """Set the hash of every element (b'' where nothing is to be read below it); returns the elements, children first."""
+def hash_subtrees(root: Node) -> None:
+    """Set the hash of every element (b'' where nothing is to be read below it) and its weights (see `_weigh`)."""
     nodes = _postorder(root)
     for node in nodes:
         h, some = blake2b(digest_size=8), False
@@ -159,40 +215,99 @@ def hash_subtrees(root: Node) -> list[Node]:
                 h.update(b"\2" + words.encode("utf-8", "replace"))
                 some = some or bool(words)
         node.hash = h.digest() if some else b""
-    return nodes
+    _weigh(nodes)
+
+
+def _is_mark(node: Node) -> bool:
+    return node.name in ("article", "main") or node.role in ("article", "main")
+
+
+def _weigh(nodes: list[Node]) -> None:
+    """Weights of elements, given children first: `gross` characters without `DROPPED` elements and reader comments, those
+    `linked` or in a `marked` article, whether an `h1` is inside, whether it is the page's `body`, and the `size` of its reading text."""
+    for node in nodes:
+        node.h1 = node.name == "h1"
+        for child in node.children:
+            if isinstance(child, str):
+                node.gross += len("".join(child.split()))
+            elif child.name not in DROPPED and (child.h1 or not COMMENT_WORDS & child.words):
+                node.gross += child.gross
+                node.linked += child.linked
+                node.marked += child.marked
+                node.h1 = node.h1 or child.h1
+        if node.name == "a":
+            node.linked = node.gross
+        if _is_mark(node) and (node.name == "main" or not node.words):
+            node.marked = node.gross
+    page = nodes[-1]
+    for node in nodes:
+        if node.gross * 2 > page.gross:
+            unmarked = not page.marked and node.name not in ("aside", "footer") and node.linked * 2 <= node.gross
+            node.body = node.h1 or not COMMENT_WORDS & node.words and (node.marked * 2 > page.gross or unmarked)
+        for child in node.children:
+            if isinstance(child, str):
+                node.size += len("".join(child.split()))
+            elif not is_furniture(child, True):
+                node.size += child.size
 
 
 def is_furniture(node: Node, in_article: bool) -> bool:
     """True for elements that are no reading text by their meaning."""
-    if node.name in DROPPED or node.role in DROPPED_ROLES:
+    if node.name in DROPPED:
+        return True
+    if node.body:
+        return False
+    if node.name in SECONDARY or node.role in DROPPED_ROLES:
         return True
     if node.name == "header":
         return not in_article
-    words = DROPPED_WORDS.intersection(node.kinds)
+    words = node.words & DROPPED_WORDS if node.name != "article" else node.words
     if in_article:
         words -= {"header", "masthead"}  # an article's own header holds its title
     return bool(words) and node.name not in ("html", "body", "main")
 
 
-def _outermost(root: Node, kind: str) -> list[Node]:
-    """The outermost elements of a kind (by name or role), in page order, outside furniture."""
-    found, todo = [], [root]
+def _outermost(root: Node, marked, inside: bool = False) -> list[Node]:
+    """The outermost elements below `root` that `marked` accepts, in page order, outside furniture."""
+    found, todo = [], [c for c in root.children[::-1] if isinstance(c, Node) and not is_furniture(c, inside)]
     while todo:
         node = todo.pop()
-        if kind in (node.name, node.role):
+        if marked(node):
             found.append(node)
         else:
-            todo += [c for c in node.children[::-1] if isinstance(c, Node) and not is_furniture(c, False)]
+            todo += [c for c in node.children[::-1] if isinstance(c, Node) and not is_furniture(c, inside)]
     return found
 
 
+def _size(nodes: list[Node]) -> int:
+    return sum(n.size for n in nodes)
+
+
 def _article(root: Node) -> Node | None:
-    """The outermost article, else the main part; a common parent if there are several."""
-    marked = _outermost(root, "article") or _outermost(root, "main")
-    if len(marked) < 2:
-        return marked[0] if marked else None
+    """The marked part that is the article, by its share of the text; a common parent for several, or for a title and its article."""
+    marks = _outermost(root, _is_mark)
+    mains = [n for n in marks if "main" in (n.name, n.role)]
+    chosen = [n for n in marks if n not in mains]
+    scope = root
+    if mains and _size(mains) >= _size(chosen):
+        chosen, scope = mains, Node("#mains")
+        scope.children = mains
+        inner = [a for m in mains for a in _outermost(m, _is_mark, True)]
+        if inner and 2 * _size(inner) >= _size(mains):
+            chosen = inner
+    elif 3 * _size(chosen) < root.size:
+        return None
+    if not chosen:
+        return None
+    if not any(n.h1 for n in chosen):
+        first = chosen[0]
+        before = _outermost(scope, lambda n: n is first or n.name == "h1", scope is not root)
+        place = next((k for k, n in enumerate(before) if n is first), 0)
+        chosen = before[max(place - 1, 0):place] + chosen
+    if len(chosen) == 1:
+        return chosen[0]
     out = Node("#articles")
-    out.children = list(marked)
+    out.children, out.size = chosen, _size(chosen)
     return out
 
 
@@ -227,41 +342,27 @@ def counted_blocks(root: Node) -> list[Node]:
     return found
 
 
-def _reading(node: Node, inside: bool) -> tuple[int, bool]:
-    """Characters of an element's text without furniture, and whether the element holds a title."""
-    size, title, todo = 0, False, [node]
-    while todo:
-        item = todo.pop()
-        if isinstance(item, str):
-            size += len("".join(item.split()))
-        elif item is node or not is_furniture(item, inside):
-            title = title or item.name in ("h1", "article", "main") or item.role in ("article", "main")
-            todo += item.children
-    return size, title
-
-
 def read_text(root: Node, templates: frozenset[bytes]) -> str:
     """Blocks of reading text, without furniture and template blocks; hashes must be set."""
     article = _article(root)
     inside = article is not None
     top = article or root
-    # element -> True for a template, False for a body that recurs as a whole
-    found = {id(n): True for n in counted_blocks(root) if n.hash in templates and not (inside and n.name in PROSE)} if templates else {}
-    whole = _reading(top, inside)[0] if found else 0
-    blocks: list[str] = []
+    # element -> whether it goes wherever it stands, or only at the article's edges
+    found = {id(n): not (inside and n.name in PROSE) for n in counted_blocks(root) if n.hash in templates} if templates else {}
+    blocks: list[tuple[str, bool, bool]] = []  # text, goes at an edge, heading
     current: list[str] = []
+    edge = heading = False
 
     def flush() -> None:
         words = " ".join("".join(current).split())
         if words:
-            blocks.append(words)
+            blocks.append((words, edge, heading))
         current.clear()
 
     def is_body(node: Node) -> bool:
         if not any(isinstance(c, Node) and c.name in BLOCK for c in node.children):
             return False
-        size, title = _reading(node, inside)
-        return size * 2 > whole and (inside or title)
+        return node.size * 2 > top.size and (inside or node.h1 or node.marked > 0)
 
     def push(node: Node, exempt: bool) -> None:
         gone = True  # whether nothing of its own follows a heading
@@ -277,7 +378,7 @@ def read_text(root: Node, templates: frozenset[bytes]) -> str:
             if is_furniture(child, inside) or template and (child.name not in HEADINGS or gone):
                 gone = True
                 if child.name in BLOCK:
-                    todo.append((None, exempt))
+                    todo.append((None, None))
             else:
                 gone = gone and not child.hash
                 todo.append((child, own))
@@ -288,17 +389,24 @@ def read_text(root: Node, templates: frozenset[bytes]) -> str:
         item, exempt = todo.pop()
         if item is None:
             flush()
+            if exempt is not None:
+                edge, heading = exempt
         elif isinstance(item, str):
             current.append(item)
         else:
             if item.name in BLOCK:
                 flush()
-                todo.append((None, exempt))
+                todo.append((None, (edge, heading)))
+                edge = edge or inside and not exempt and id(item) in found and not found[id(item)] and item.name not in HEADINGS
+                heading = heading or item.name in HEADINGS
             push(item, exempt)
     flush()
     if found and not blocks:
         return read_text(root, frozenset())
-    return " ".join(blocks)
+    own = [k for k, (_, at_edge, title) in enumerate(blocks) if not at_edge and not title]
+    if own:
+        blocks = [b for k, b in enumerate(blocks) if not b[1] or own[0] < k < own[-1]]
+    return " ".join(b[0] for b in blocks)
 
 
 def _send_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
