@@ -2,11 +2,13 @@
 
 Writer: one WARC/1.1 record per row, payload = the text in UTF-8. Records are written by Spark's own
 file commit, so lost tasks leave no half-written archive; each is a gzip member of its own (or plain), and
-members are set apart by one zero byte, which gzip readers skip as padding. Rows with equal
+members are set apart by one zero byte, which gzip readers skip as padding. A task opens a new archive after a bound of
+records or of bytes, so no archive outgrows the reader, whatever the size of its pages. Rows with equal
 payloads are archived once: the smallest id is the response, the others are revisit records that refer to it.
 
 Salvage reader: every archive is checked record by record (version line, header
-lines, Content-Length inside the file, trailer, payload digest). After a failed check it searches for the
+lines, Content-Length inside the file, trailer, payload digest). A payload with a wrong digest whose trailer stands before the
+next record or the file's end is quarantined as a whole: records quoted inside it are none. After any other failed check it searches for the
 next version line (or gzip member) that starts a valid record, goes on from there, and logs the skipped
 bytes as a quarantined gap. Plain files and files of gzip members are read.
 
@@ -36,6 +38,8 @@ TRAILER = b"\r\n\r\n"
 NO_ID = "null"
 #: Largest table of revisits (64 bytes each) that is broadcast to the pages; beyond it both sides are shuffled by id.
 BROADCAST_BYTES = 16 << 20
+#: Bytes after which a task opens a new archive.
+ARCHIVE_BYTES = 256 << 20
 #: Stands between gzip members.
 PADDING = b"\0"
 ID_PREFIX = "urn:page:"
@@ -90,8 +94,11 @@ def _record_id(value: Column) -> Column:
 
 
 def write_warc(records: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z",
-               records_per_file: int = 5000, compress: bool = True) -> None:
-    """Write planned records (see `plan_records`) as WARC files below `path`: gzip members, or plain."""
+               records_per_file: int = 5000, compress: bool = True, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write planned records (see `plan_records`) as WARC files below `path`: gzip members, or plain.
+
+    A file holds at most `records_per_file` records, and at most `archive_bytes` and its last record.
+    """
     revisit = F.col("record_type") == "revisit"
     body = F.when(revisit, "").otherwise(F.col("payload"))
     lines = [
@@ -110,18 +117,28 @@ def write_warc(records: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z"
     ]
     head = F.concat_ws(CRLF, *lines)
     plain = records.select(F.concat(head, F.lit(CRLF + CRLF), body).alias("value"))
-    if not compress:
-        plain.write.option("lineSep", TRAILER.decode()).option("maxRecordsPerFile", records_per_file).text(path)
-        return
     prepare(records.sparkSession)
-    members = plain.mapInArrow(_members, "value binary").select(F.col("value").cast("string"))  # the bytes as they are
-    members.write.option("lineSep", PADDING.decode()).option("maxRecordsPerFile", records_per_file).text(path)
+    coded = plain.mapInArrow(lambda it: _members(it, compress, archive_bytes), "value binary, volume long")
+    members = coded.select(F.col("value").cast("string"), "volume")  # the bytes as they are
+    (members.write.partitionBy("volume").option("lineSep", PADDING.decode() if compress else TRAILER.decode())
+     .option("maxRecordsPerFile", records_per_file).text(path))
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], compress: bool, archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Records as they stand in the archive, and the number of the task's archive that each goes to."""
+    volume = held = 0
     for batch in batches:
-        members = [gzip.compress(value.as_py().encode("utf-8") + TRAILER, 6, mtime=0) for value in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
+        members, volumes = [], []
+        for value in batch.column(0):
+            member = value.as_py().encode("utf-8")
+            if compress:
+                member = gzip.compress(member + TRAILER, 6, mtime=0)
+            if held >= archive_bytes:
+                volume, held = volume + 1, 0
+            held += len(member)
+            members.append(member)
+            volumes.append(volume)
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(volumes, pa.int64())], names=["value", "volume"])
 
 
 # -- salvage reader --------------------------------------------------------------
@@ -130,29 +147,35 @@ _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[A-Za-z-]+:[^\r\n]*\r\n)+)\r\n")
 
 
+_FOLLOWS = re.compile(rb"\0*+(?:WARC/1\.[01]\r\n|\x1f\x8b\x08|\Z)")
+
+
 def _parse_at(data: bytes, at: int):
-    """(end, headers, payload) of a valid plain record at `at`, or the failed check's name."""
+    """(failed check, end, headers, payload) of a plain record at `at`; without a failure the check is ''.
+
+    The end of a failed record is None unless its extent is sure: the trailer stands, and the next record or the file's end after it.
+    """
     m = _HEAD.match(data, at)
     if not m:
-        return "header"
+        return "header", None, None, None
     headers = {}
     for line in m[1].split(b"\r\n")[:-1]:
         name, _, value = line.partition(b":")
         headers[name.decode("ascii").lower()] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
-    if not length.isdigit():
-        return "content-length"
+    if not (length.isascii() and length.isdigit() and len(length) < 20):
+        return "content-length", None, None, None
     end = m.end() + int(length)
     if end > len(data):
-        return "truncated"
+        return "truncated", None, None, None
     if data[end:end + 4] != TRAILER:
-        return "trailer"
+        return "trailer", None, None, None
     payload = data[m.end():end]
     digest = headers.get("warc-payload-digest", "")
     if headers.get("warc-type") == "response" and digest.startswith("sha1:"):
         if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest[5:]:
-            return "digest"
-    return end + 4, headers, payload
+            return "digest", end + 4 if _FOLLOWS.match(data, end + 4) else None, None, None
+    return "", end + 4, headers, payload
 
 
 def _member_at(data: bytes, at: int):
@@ -191,12 +214,12 @@ def salvage(data: bytes) -> Iterator[tuple]:
                     else:
                         found.append(("gap", at, end, "member: " + item[3]))
         else:
-            got = _parse_at(data, at)
-            if isinstance(got, str):
-                why = got
-            else:
-                end = got[0]
-                found.append(("record", at, end, got[1], got[2]))
+            why, end, headers, payload = _parse_at(data, at)
+            if not why:
+                found.append(("record", at, end, headers, payload))
+            elif end is not None:
+                found.append(("gap", at, end, why))
+                why = ""
         if not why:
             yield from found
             at = end
@@ -211,7 +234,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
             if data[at:at + 1] == b"\x1f":
                 if _member_at(data, at) is not None:
                     break
-            elif not isinstance(_parse_at(data, at), str):
+            elif _parse_at(data, at)[1] is not None:
                 break
         yield "gap", start, at, why
 
@@ -266,7 +289,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     """All records and gaps of the archives below `path` (kind `record` or `gap`).
 
     One archive file is read by one task, so archives should be written at a bounded size
-    (`records_per_file`); Spark's reader fetches them, so any store that Spark reads will do.
+    (`records_per_file`, `archive_bytes`); Spark's reader fetches them, so any store that Spark reads will do.
     """
     prepare(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
