@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import os
+import time
 import re
 
 import pytest
@@ -107,6 +108,48 @@ def test_copies_of_a_page_are_no_template(spark):
                                  if k < 20 else f"All words of it {k - 20}")
 
 
+BODY = "<p>" + "Long words of the article. " * 5 + "</p>"
+TOLD = ("Long words of the article. " * 5).strip()
+
+
+@pytest.mark.parametrize("source, want", [
+    (f"<form id=aspnetForm><div><h1>T</h1>{BODY}</div><input><button>Go</button></form>", f"T {TOLD}"),
+    (f"<div class='layout has-sidebar'><article><h1>T</h1>{BODY}</article></div>", f"T {TOLD}"),
+    (f"<div class='layout has-sidebar'><h1>T</h1>{BODY}</div>", f"T {TOLD}"),
+    (f"<div class=sidebar><article>{BODY}</article></div>", TOLD),
+    ("<main><h1>Title</h1>text of it<article class=card>Other story</article></main>", "Title text of it"),
+    (f"<main><h1>Title</h1>{BODY}<article>Other</article></main>", f"Title {TOLD} Other"),
+    (f"<main><h1>Title</h1><article>{BODY}</article><div>Read also</div></main>", f"Title {TOLD}"),
+    (f"<header><h1>Site</h1></header><main><header><h1>Title</h1></header><article>{BODY}</article></main>", f"Title {TOLD}"),
+    ("<article>Price <div class='share-price'>12</div><div class='share-buttons'>Tweet</div></article>", "Price 12"),
+    (f"<section class=comments><article>{BODY * 4}</article></section><article>{BODY}</article>", TOLD),
+    (f"<section class=related><article>One</article></section><article>{BODY}</article>", TOLD),
+    (f"{BODY}<form class=newsletter>Your mail <input></form><footer>Imprint</footer>", TOLD),
+    ("<p title=it's>quote</p><p class=\"x>broken</p><p>after</p>", "quote broken after"),
+    ("a &#" + "1" * 6000 + "; b &#" + "0" * 6000 + "65; c", "a \ufffd b A c")])
+def test_the_page_body_is_no_furniture(source, want):
+    root = html_extract.parse(f"<html><head><title>t</title></head><body>{source}</body></html>")
+    html_extract.hash_subtrees(root)
+    assert html_extract.read_text(root, frozenset()) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a b=", "<div></span>", "<div>", '<a =">"', "<script></script ", "<", "<!--", "<p><b>x</b>",
+                                   "<ul><li>", "&", "<a class='aB-"])
+def test_hostile_pages_take_linear_time(piece):
+    start = time.monotonic()
+    root = html_extract.parse("<p>hello</p>" + piece * (1_000_000 // len(piece)))
+    html_extract.hash_subtrees(root)
+    assert html_extract.read_text(root, frozenset()).startswith("hello")
+    assert time.monotonic() - start < 15  # seconds for 1 MB; a quadratic reader takes hours
+
+
+def test_recurring_prose_goes_at_the_edges_of_articles(spark):
+    rows = [(k, f"http://h/{k}", f"<article><h1>Title {k}</h1><p>Sponsored by nobody</p><p>Own words {k}</p><p>Quoted line</p><p>More of {k}</p>"
+             "<p>Licence: free</p><ul><li>Report an error</li></ul></article>") for k in range(12)]
+    got = html_extract.extract_text(pages_frame(spark, rows)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"Title {k} Own words {k} Quoted line More of {k}" for k in range(12)}
+
+
 def test_html_defined_results(spark):
     rows = [(1, "http://a.example/", None), (2, None, ""), (3, "nonsense", "no tags & text &lt;b&gt;"), (None, "http://a.example/", "<p>x"),
             (None, None, "<p>y"), (4, "http://a.example/", "<p>same"), (4, "http://a.example/", "<p>same"),
@@ -249,6 +292,29 @@ def test_salvage_of_plain_archives():
     assert found(inner) == (["9"], [])
 
 
+def test_records_inside_a_damaged_record_are_none():
+    quoted = record(99, b"quoted")
+    hurt = bytearray(record(1, b"x" * 50 + quoted + b"y" * 50))
+    hurt[-60] ^= 1  # the digest fails, the trailer stands
+    for before, after in ((b"", b""), (record(0, b"a"), record(2, b"c")), (b"junk", b"\0" + gzip.compress(record(2, b"c")))):
+        ids, gaps = found(before + bytes(hurt) + after)
+        assert "99" not in ids and ids == [k for k, part in (("0", before), ("2", after)) if len(part) > 4]
+        assert (len(before) if before != b"junk" else 4, len(before) + len(hurt), "digest") in gaps
+    assert found(gzip.compress(bytes(hurt)))[0] == []
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_archives_are_bounded_by_bytes(spark, tmp_path, compress):
+    rows = [(k, "u", os.urandom(1500).hex()) for k in range(40)]
+    path = str(tmp_path / "w")
+    planned = warc.plan_records(pages_frame(spark, rows)).coalesce(1)
+    warc.write_warc(planned, path, compress=compress, archive_bytes=10_000)
+    sizes = [os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.startswith("part-")]
+    assert len(sizes) >= 5 and max(sizes) < 10_000 + 4_000
+    read = warc.read_warc(spark, path)
+    assert {bytes(r["payload"]).decode() for r in warc.records(read).collect()} == {r[2] for r in rows} and warc.gap_log(read).count() == 0
+
+
 def test_salvage_of_gzip_members():
     own = [record(k, os.urandom(200) + str(k).encode()) for k in range(6)]
     members = [gzip.compress(r) for r in own]

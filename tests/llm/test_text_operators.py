@@ -191,6 +191,15 @@ def test_keep_first_keeps_one_of_each_component(spark):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == want
 
 
+def test_many_null_and_shared_ids_are_told_apart_by_their_texts(spark):
+    rows = [(None if k % 2 else 7, prose(k // 4, 40), "en", "s") for k in range(160)]  # 40 texts, two rows each of null and of 7
+    rows += [(k, prose(900 + k // 2, 40), "en", "s") for k in range(20, 40)]
+    got = jaccard_join.components(frame(spark, rows)).collect()
+    assert plain(got) == plain(jaccard_brute(rows))
+    members, classes, _ = jaccard_join.similarity_classes(frame(spark, rows))
+    assert members.count() == 180 and classes.count() == 50
+
+
 @pytest.mark.parametrize("bound", [jaccard_join.BROADCAST_BYTES, 0])
 def test_keep_first_of_null_repeated_and_shared_ids(spark, monkeypatch, bound):
     monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", bound)
