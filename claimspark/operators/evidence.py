@@ -110,15 +110,17 @@ def retrieval_scores(queries: DataFrame, docs: DataFrame, q_id: str, q_text: str
 
 def best_evidence(queries: DataFrame, docs: DataFrame, q_id: str = "item_id", q_text: str = "text",
                   d_id: str = "doc_id", d_text: str = "text", sentences: int = 3,
-                  seed_terms: int | None = 3, candidates_shown: int = 3) -> DataFrame:
+                  seed_terms: int | None = 3, candidates_shown: int = 3, scores: DataFrame | None = None) -> DataFrame:
     """JN-3 + WIN-2 + PRJ-21: per statement, the best document and its first sentences.
 
     `seed_terms` rarest terms give the first lower bound (None scores all pairs); results do not depend on it.
+    `scores` (q, doc, r) come from a stored index (`evidence_index.search`) instead, where given.
 
     Output: q_id, best_doc_id (null unless one clear winner), best_score, n_best (documents
     tied on the best score), evidence (summary, ambiguity message, or no-result message).
     """
-    scores = retrieval_scores(queries, docs, q_id, q_text, d_id, d_text, seed_terms)
+    if scores is None:
+        scores = retrieval_scores(queries, docs, q_id, q_text, d_id, d_text, seed_terms)
     top = scores.groupBy("q").agg(F.max("r").alias("r"))
     tied = join_checked(scores, top, ["q", "r"], "inner")  # only documents on the best score
     w = Window.partitionBy("q").orderBy("doc")

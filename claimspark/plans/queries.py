@@ -13,6 +13,7 @@ from claimspark.functions.text import clean_categorical, clean_text
 from claimspark.functions.text import ngrams, tokens
 from claimspark.operators import errors as ER
 from claimspark.operators import evidence as EV
+from claimspark.operators import evidence_index as EI
 from claimspark.operators import sequences as SQ
 from claimspark.operators import folds as FO
 from claimspark.operators import tfidf as TF
@@ -331,9 +332,10 @@ def q_experiment_summary(spark, sf_dir):
 # -- evidence and fact-check batch -------------------------------------------
 
 def evidence(spark, sf_dir):
-    """Statements from `benchmark`, evidence corpus from `documents`."""
-    return EV.best_evidence(read_table(spark, sf_dir, "benchmark", "item_id", "text"),
-                            read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    """Statements from `benchmark`, evidence corpus from `documents`, whose stored index serves all queries of the application."""
+    stm = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    scores = EI.search(stm, EI.index_of_file(spark, table_path(sf_dir, "documents")))
+    return EV.best_evidence(stm, read_table(spark, sf_dir, "documents", "doc_id", "text"), scores=scores)
 
 
 def q_evidence_top1(spark, sf_dir):
