@@ -287,20 +287,19 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        .groupBy("signature").agg(F.min("id").alias("representative"), F.max("n").alias("n")),
                        "ngram-classes")
     wanted = classes.select(F.col("signature").alias("expected"), F.col("representative").alias("wanted"))
-    if classes.count() * 16 <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
+    small = classes.count() * 16 <= BROADCAST_BYTES
     keyed = src.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
     # ids of several rows (null among them) don't tell a class's text: those rows are told apart by their signatures as well
     shared = C.stored(members.groupBy("id").count().where("count > 1").select("id"), "ngram-shared-ids")
     by_id = wanted.join(shared, F.col("wanted") == F.col("id"), "left_anti")
-    texts = keyed.join(by_id, F.col("id") == F.col("wanted")).select("expected", "text")
+    texts = keyed.join(F.broadcast(by_id) if small else by_id, F.col("id") == F.col("wanted")).select("expected", "text")
     profiles = texts.mapInArrow(lambda it: _profiles(it, width, percent, fragments, codes, df),
                                 "signature long, n long, prefix array<long>, segments array<binary>")
     if shared.limit(1).count():
         schema = StructType([*keyed.schema.fields, StructField("__signature", LongType())])
         signed = keyed.join(shared, "id", "left_semi").select(*keyed.columns).mapInArrow(lambda it: _add_signature(it, 1, width), schema)
         of_class = ((F.col("id") == F.col("wanted")) & (F.col("__signature") == F.col("expected")))
-        one_each = signed.join(wanted, of_class).groupBy("expected").agg(F.min("text").alias("text"))
+        one_each = signed.join(F.broadcast(wanted) if small else wanted, of_class).groupBy("expected").agg(F.min("text").alias("text"))
         profiles = profiles.unionByName(one_each.mapInArrow(lambda it: _profiles(it, width, percent, fragments, codes, df), profiles.schema))
     profiles = C.stored(profiles, "ngram-profiles")
 
