@@ -288,6 +288,34 @@ SELECT conv_id, turn,
        END AS verdict
 FROM conversations WHERE role = 'assistant'"""
 
+# -- learned sentence ends -----------------------------------------------------
+
+_QUOTES = "'\"''()[]{}'"
+_SENTENCES = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(list_concat(w[2:], [NULL])) AS nxt FROM t WHERE len(w) > 0),
+b AS (SELECT *, trim(word, {_QUOTES}) AS bare,
+             rtrim(translate(trim(word, {_QUOTES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ',;:!?') AS base FROM p),
+c AS (SELECT *, rtrim(base, '.') AS type, ends_with(base, '.') AS period,
+             coalesce(regexp_matches(trim(nxt, {_QUOTES}), '^\\p{{Ll}}'), false) AS lower FROM b),
+n AS (SELECT type, count(*) FILTER (period) AS n_period, count(*) FILTER (NOT period) AS n_plain,
+             count(*) FILTER (period AND lower) AS n_lower FROM c WHERE type <> '' GROUP BY type),
+s AS (SELECT least(greatest(sum(n_period) / greatest(sum(n_period) + sum(n_plain), 1), 1e-9), 1 - 1e-9) AS share FROM n),
+m AS (SELECT n.*, length(type) - length(replace(type, '.', '')) AS dots,
+             2 * (n_period * (ln(0.99) - ln(share)) + n_plain * (ln(1 - 0.99::DOUBLE) - ln(1 - share))) AS ratio FROM n CROSS JOIN s),
+l AS (SELECT *, CASE WHEN n_period = 0 OR length(type) = dots THEN 0.0
+                     ELSE ratio * exp(-(length(type) - dots)::DOUBLE) * (dots + 1) * exp(-n_plain * ln(greatest(length(type) - dots, 1))) END AS score FROM m),
+a AS (SELECT type, n_period, n_plain, n_lower, round(score, 4) + 0.0 AS score,  -- no negative zero
+             score >= 0.3 OR (n_lower >= 5 AND 2 * n_lower > n_period) AS abbreviation FROM l)"""
+SQL["sentence_abbreviations"] = _SENTENCES + " SELECT * FROM a WHERE n_period > 0"
+SQL["sentence_counts"] = _SENTENCES + """,
+e AS (SELECT doc_id, nxt, coalesce(right(bare, 1) IN ('!', '?') OR (right(bare, 1) = '.' AND NOT coalesce(a.abbreviation, false)
+                          AND NOT regexp_matches(c.type, '^\\p{L}$')), false) AS ends
+      FROM c LEFT JOIN a ON c.type = a.type),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (ends OR nxt IS NULL) AS n_sentences FROM e GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_sentences, 0) AS BIGINT) AS n_sentences
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id"""
+
 # -- sequences and streaming ----------------------------------------------------
 
 SQL["sequence_encode"] = O.with_ctes(O.DOCS_CTE + O.tf_ctes(1) + O.vocab_cte(VOCAB_SIZE), f"""

@@ -14,6 +14,7 @@ from claimspark.functions.text import ngrams, tokens
 from claimspark.operators import errors as ER
 from claimspark.operators import evidence as EV
 from claimspark.operators import evidence_index as EI
+from claimspark.operators import sentences as SE
 from claimspark.operators import sequences as SQ
 from claimspark.operators import folds as FO
 from claimspark.operators import tfidf as TF
@@ -366,6 +367,18 @@ def q_fact_check(spark, sf_dir):
                       p["probabilities"]["REAL"].alias("prob_real"), "search_evidence", "prompt", "response", "agent_decision")
 
 
+def q_sentence_abbreviations(spark, sf_dir):
+    """PRJ-21: what the corpus says of each word that ever carries a period."""
+    stats = SE.period_statistics(read_table(spark, sf_dir, "documents", "text"))
+    return stats.where("n_period > 0").select("type", "n_period", "n_plain", "n_lower", (F.round("score", 4) + 0.0).alias("score"), "abbreviation")
+
+
+def q_sentence_counts(spark, sf_dir):
+    """PRJ-21: words and sentences of each document, by learned sentence ends."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return SE.sentence_counts(docs, SE.abbreviations(docs))
+
+
 def q_verdict_parse(spark, sf_dir):
     """PRJ-20 over the assistant turns of `conversations` as the response table."""
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -459,6 +472,8 @@ QUERIES = {
     "evidence_prompt": q_evidence_prompt,
     "verdict_parse": q_verdict_parse,
     "fact_check": q_fact_check,
+    "sentence_abbreviations": q_sentence_abbreviations,
+    "sentence_counts": q_sentence_counts,
     "sequence_encode": q_sequence_encode,
     "stream_score": q_stream_score,
     "stream_score_model": q_stream_score_model,
