@@ -23,6 +23,7 @@ window names are summed in the task first, and the joins back to the texts split
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,9 @@ from claimspark.llm.common import (column_bytes, drop_shuffles, mix, pieces, pre
 
 #: A perfect difference set: each residue modulo 7 is the difference of two of its members.
 PERIOD, COVER = 7, (0, 1, 3)
+#: Anchors are counted and placed in so many slices of their hashes, one slice after the other: a slice's shuffles are gone
+#: before those of the next one are written.
+SLICES = 2
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _SECOND = np.random.default_rng(20260202).permutation(256).astype(np.uint8)
@@ -94,7 +98,14 @@ def _hashed(batch):
 
 # -- steps -------------------------------------------------------------------------
 
-def _emit_anchors(width):
+def _sliced(names, at, text, shared, part):
+    """(hash, word, text) of the anchors whose hash falls into slice `part`."""
+    h = windows(names, at, shared, _STEPS[0])
+    own = h % np.uint64(SLICES) == part
+    return h[own].view(np.int64), at[own], text[own]
+
+
+def _emit_anchors(width, slice_no):
     shared = width - PERIOD + 1
 
     def run(batches):
@@ -104,8 +115,9 @@ def _emit_anchors(width):
                 at, text = anchor_places(first, width, shared)
                 if not len(at):
                     continue
-                names = mix(span_hash(prefix_sums(part), starts, ends))
-                h = windows(names, at, shared, _STEPS[0]).view(np.int64)
+                h, at, text = _sliced(mix(span_hash(prefix_sums(part), starts, ends)), at, text, shared, slice_no)
+                if not len(at):
+                    continue
                 ids = low[row + text]
                 order = np.lexsort((ids, h))
                 h, ids = h[order], ids[order]
@@ -116,7 +128,7 @@ def _emit_anchors(width):
     return run
 
 
-def _emit_places(width):
+def _emit_places(width, slice_no):
     shared = width - PERIOD + 1
 
     def run(batches):
@@ -126,8 +138,7 @@ def _emit_places(width):
                 at, text = anchor_places(first, width, shared)
                 if not len(at):
                     continue
-                names = mix(span_hash(prefix_sums(part), starts, ends))
-                h = windows(names, at, shared, _STEPS[0]).view(np.int64)
+                h, at, text = _sliced(mix(span_hash(prefix_sums(part), starts, ends)), at, text, shared, slice_no)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(key[row + text]), pa.array(low[row + text]), pa.array((at - first[text]).astype(np.int32))],
                     names=["h", "key", "own", "place"])
@@ -225,22 +236,26 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False) ->
     drop_shuffles(spark)
     named = texts.where(F.col("lo").isNotNull())  # texts that only rows without id have stay whole
 
-    # 2. anchors that two ids share
-    shared = stored(named.select("lo", "text").mapInArrow(_emit_anchors(width), "h long, lo long, hi long")
-                    .groupBy("h").agg(F.min("lo").alias("least"), F.max("hi").alias("hi")).where("least < hi").select("h", "least"),
-                    "anchor-shared")
-    drop_shuffles(spark)
-
-    # 3. their places (times 2, and 1 more where a smaller id has the anchor), and the windows around them
+    # 2. anchors that two ids share, and 3. their places (times 2, and 1 more where a smaller id has the anchor)
     mark = F.col("place") * 2 + (F.col("least") < F.col("own")).cast("int")
-    places = stored(named.select("key", "lo", "text").mapInArrow(_emit_places(width), "h long, key long, own long, place int")
-                    .join(shared, "h").select("key", mark.alias("mark")).groupBy("key")
-                    .agg(F.sort_array(F.collect_list("mark")).alias("places")), "anchor-places")
-    drop_shuffles(spark)
-    release(shared)
+    found = []
+    for part in range(SLICES):
+        shared = stored(named.select("lo", "text").mapInArrow(_emit_anchors(width, part), "h long, lo long, hi long")
+                        .groupBy("h").agg(F.min("lo").alias("least"), F.max("hi").alias("hi")).where("least < hi")
+                        .select("h", "least"), "anchor-shared")
+        drop_shuffles(spark)
+        found.append(stored(named.select("key", "lo", "text").mapInArrow(_emit_places(width, part), "h long, key long, own long, place int")
+                            .join(shared, "h").select("key", mark.alias("mark")).groupBy("key")
+                            .agg(F.collect_list("mark").alias("places")), "anchor-places"))
+        drop_shuffles(spark)
+        release(shared)
+    places = reduce(DataFrame.unionAll, found).groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+
+    # the windows around them
     placed = stored(texts.join(places, "key", "left"), "anchor-placed")
     drop_shuffles(spark)
-    release(places)
+    for part in found:
+        release(part)
     release(texts)  # each text is kept once
     around = placed.where(F.col("places").isNotNull())
     # kept, so that the join below deals plain shuffles, whose hot keys AQE splits
