@@ -227,6 +227,8 @@ _MODEL_ROWS = f"""processed WHERE statement_clean IS NOT NULL AND label_binary I
 SQL["lr_predict"] = O.with_ctes(O.PROCESSED_CTE, f"""
 SELECT id, split, label_binary, true AS class_known, true AS score_agrees, true AS settled FROM {_MODEL_ROWS}""")
 SQL["svm_predict"] = SQL["lr_predict"]
+SQL["epoch_training"] = O.with_ctes(O.PROCESSED_CTE, f"""
+SELECT id, split, label_binary, true AS class_known, true AS score_agrees, true AS restored FROM {_MODEL_ROWS} AND split = 'valid'""")
 
 _GRID = ", ".join(f"({O.q(p.kind)}, {p.ngram_max}, {p.max_features}, {str(p.sublinear).lower()}, "
                   f"CAST({p.C} AS DOUBLE), {p.max_iter})" for p in GRIDS["lr"])

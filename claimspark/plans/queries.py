@@ -18,6 +18,7 @@ from claimspark.operators import sentences as SE
 from claimspark.operators import sequences as SQ
 from claimspark.operators import folds as FO
 from claimspark.operators import tfidf as TF
+from claimspark.plans import epochs as EP
 from claimspark.plans import models as MD
 from claimspark.plans.experiment import run_baseline_experiment
 from claimspark.operators import metrics as M
@@ -320,6 +321,21 @@ def q_cv_results(spark, sf_dir):
                           & F.col("rank_test_score").between(1, len(GRIDS["lr"]))).alias("rank_valid"))
 
 
+def q_epoch_training(spark, sf_dir):
+    """Mini-batch training on the train split, early stopping by macro F1 on the valid split, whose rows the restored model scores.
+
+    `restored` says that the scores' macro F1, counted anew, is that of the best epoch, and that no epoch had a better one.
+    """
+    data = materialize(labelled(spark, sf_dir).select("id", "split", "statement_clean", "label_binary"))
+    train, valid = (data.where(F.col("split") == s) for s in ("train", "valid"))
+    got = EP.train_epochs(train, valid, QUERY_LR)
+    scored = materialize(got.classifier.predict(valid))
+    f1 = M.compute_metrics(scored, "label_binary", "prediction").first()["f1"]
+    best = got.history[got.best_epoch - 1].f1
+    return _checked(scored.withColumn("settled", F.lit(abs(f1 - best) < 1e-9 and best == max(e.f1 for e in got.history))),
+                    0.5).withColumnRenamed("settled", "restored")
+
+
 def q_experiment_summary(spark, sf_dir):
     """Both of the reference's grids, best model of each on the test split."""
     out = run_baseline_experiment(materialize(labelled(spark, sf_dir)), GRIDS, QUERY_FOLDS, order_col="id_num",
@@ -467,6 +483,7 @@ QUERIES = {
     "lr_predict": q_lr_predict,
     "svm_predict": q_svm_predict,
     "cv_results": q_cv_results,
+    "epoch_training": q_epoch_training,
     "experiment_summary": q_experiment_summary,
     "evidence_top1": q_evidence_top1,
     "evidence_prompt": q_evidence_prompt,
