@@ -1,8 +1,9 @@
-"""Repeated byte strings across documents by distributed prefix doubling.
+"""Repeated byte strings across documents by names of grams and windows at growing lengths, in place of prefix doubling.
 
 Asked: every byte covered by a string of `length` bytes that also starts in a document with a smaller id.
 
-Suffix positions are ranked by growing prefixes; a position leaves as soon as its prefix is unique (no other document has
+No pairs (rank[i], rank[i + k]) are formed and no offset doubles: hashes of byte strings stand in for the ranks. Suffix positions
+are compared by growing prefixes; a position leaves as soon as its prefix is unique (no other document has
 it) or the threshold is passed. Three things keep the volume down, none of which loses a string:
 
 * Ranking starts at `GRAM` bytes (a 64-bit name packs them), not at one.
