@@ -5,10 +5,11 @@ Texts are lower-cased; every run of non-letters counts as one space. N-grams of
 buckets form the vocabulary. A text's features are (1 + ln tf) * idf, scaled to length 1, over its whole text.
 
 The classifier is fitted by follow-the-regularised-leader with elastic-net penalties (the l1 part keeps weights at
-exactly zero), then a temperature is calibrated on rows that the fit has not seen, by least negative log likelihood.
+exactly zero), then a temperature is calibrated on all training documents that the fit has not seen, by least negative log
+likelihood: each task sums the log probabilities at every temperature of a grid.
 
-Bound: at most about `TRAIN_ROWS` training documents per language are fitted on, chosen by a seeded hash of the id; every fifth of
-them calibrates the temperature. Everything else covers all training documents.
+Bound: at most about `TRAIN_ROWS` training documents per language are drawn by a seeded hash of the id, and four fifths of them are
+fitted on; the driver holds their non-zero counts. Everything else covers all training documents.
 
 Defined results: null texts and texts without a letter get `und` with score 0; without any training document all do; rows
 with a null language, or a null id, are never learned from; repeated rows are predicted each; an empty table gives an
@@ -100,7 +101,25 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_ftrl(x: np.ndarray, y: np.ndarray, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05,
+class SparseRows:
+    """TF-IDF vectors of texts kept as their non-zero counts; `rows[i]` gives the vectors of some rows."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes]], idf: np.ndarray):
+        """`rows`: (places as int32, counts as float32) of each text."""
+        self.rows, self.idf, self.shape = rows, idf, (len(rows), len(idf))
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        counts = np.zeros((len(at), len(self.idf)), dtype=np.float32)
+        for k, i in enumerate(at):
+            place, count = self.rows[i]
+            counts[k, np.frombuffer(place, np.int32)] = np.frombuffer(count, np.float32)
+        return tf_idf(counts, self.idf)
+
+
+def fit_ftrl(x: np.ndarray | SparseRows, y: np.ndarray, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05,
              l2: float = 0.05, epochs: int = 4, batch: int = 16, seed: int = 5) -> np.ndarray:
     """Weights (feature + bias, class) by follow-the-regularised-leader over shuffled mini-batches.
 
@@ -108,8 +127,7 @@ def fit_ftrl(x: np.ndarray, y: np.ndarray, classes: int, alpha: float = 0.5, bet
     0 while |z| <= l1, else -(z - sign(z) l1) / ((beta + sqrt(n)) / alpha + l2).
     """
     rng = np.random.default_rng(seed)
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    z, n = np.zeros((x.shape[1], classes)), np.zeros((x.shape[1], classes))
+    z, n = np.zeros((x.shape[1] + 1, classes)), np.zeros((x.shape[1] + 1, classes))
     target = np.eye(classes)[y]
 
     def weights() -> np.ndarray:
@@ -121,7 +139,9 @@ def fit_ftrl(x: np.ndarray, y: np.ndarray, classes: int, alpha: float = 0.5, bet
         order = rng.permutation(len(x))
         for i in range(0, len(order), batch):
             rows = order[i:i + batch]
-            g = x[rows].T @ (softmax(x[rows] @ w) - target[rows])
+            own = x[rows]
+            own = np.hstack([own, np.ones((len(own), 1), own.dtype)])
+            g = own.T @ (softmax(own @ w) - target[rows])
             drift = (np.sqrt(n + g * g) - np.sqrt(n)) / alpha
             z += g - drift * w
             n += g * g
@@ -129,20 +149,38 @@ def fit_ftrl(x: np.ndarray, y: np.ndarray, classes: int, alpha: float = 0.5, bet
     return w
 
 
-def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the least negative log likelihood, from a fine geometric grid.
+#: The temperatures tried.
+GRID = np.geomspace(0.02, 10.0, 200)
+
+
+def log_likelihoods(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each temperature of `GRID`, the summed log probabilities of the rows' classes and of all other classes."""
+    out = np.zeros((2, len(GRID)))
+    for k, t in enumerate(GRID):
+        z = logits / t
+        z = z - z.max(axis=1, keepdims=True)
+        z = np.maximum(z - np.log(np.exp(z).sum(axis=1, keepdims=True)), np.log(1e-300))
+        own = float(z[np.arange(len(y)), y].sum())
+        out[:, k] = own, float(z.sum()) - own
+    return out
+
+
+def best_temperature(sums: np.ndarray, rows: int, classes: int) -> float:
+    """The temperature with the least negative log likelihood, from the sums of all rows.
 
     Targets are smoothed by one more, wrong, row (1 / (rows + 2) of the weight is spread over the other
     classes), so that rows without any error do not ask for endless confidence.
     """
-    if not len(logits) or logits.shape[1] < 2:
+    if not rows or classes < 2:
         return 1.0
-    wrong = 1.0 / (len(y) + 2)
-    target = np.full(logits.shape, wrong / (logits.shape[1] - 1))
-    target[np.arange(len(y)), y] = 1.0 - wrong
-    grid = np.geomspace(0.02, 10.0, 200)
-    loss = [-(target * np.log(np.maximum(softmax(logits / t), 1e-300))).sum(axis=1).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+    wrong = 1.0 / (rows + 2)
+    loss = -((1.0 - wrong) * sums[0] + wrong / (classes - 1) * sums[1]) / rows
+    return float(GRID[int(np.argmin(loss))])
+
+
+def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
+    """The best temperature for rows that are at hand."""
+    return best_temperature(log_likelihoods(logits, y), len(y), logits.shape[1])
 
 
 def held_out(id_col: Column) -> Column:
@@ -198,9 +236,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, 2.0 * train_rows / n))).otherwise(share)
     seeded = train.withColumn("seeded", F.xxhash64(F.lit(seed), "id"))
-    drawn = seeded.where(F.pmod(F.col("seeded"), F.lit(1 << 30)) < share * (1 << 30))
+    near = F.pmod(F.col("seeded"), F.lit(1 << 30)) < share * (1 << 30)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("seeded", "id"))
-    drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= train_rows).drop("rank")
+    drawn = seeded.where(near).withColumn("rank", rank).where(F.col("rank") <= train_rows).drop("rank")
+    spared = F.pmod(F.shiftrightunsigned("seeded", 40), F.lit(5)) == 4  # a fifth of the drawn rows isn't fitted on
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,20 +249,49 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 [batch.column("seeded"), batch.column("lang"), C.binary([p.astype(np.int32) for p in places]),
                  C.binary([c[p] for c, p in zip(counts, places)])], names=["seeded", "lang", "place", "count"])
 
-    rows = drawn.select("seeded", "lang", "text").mapInArrow(
+    rows = drawn.where(~spared).select("seeded", "lang", "text").mapInArrow(
         vectors, "seeded long, lang string, place binary, count binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["seeded"], r["lang"], r["place"], r["count"]))
-    counts = np.zeros((len(rows), len(chosen)), dtype=np.float32)
-    for k, r in enumerate(rows):
-        counts[k, np.frombuffer(r["place"], np.int32)] = np.frombuffer(r["count"], np.float32)
-    x, y = tf_idf(counts, idf), np.array([languages.index(r["lang"]) for r in rows], dtype=np.int64)
-    calibrate = np.arange(len(rows)) % 5 == 4
-    model.weights = fit_ftrl(x[~calibrate], y[~calibrate], len(languages))
-    logits = x[calibrate] @ model.weights[:-1] + model.weights[-1]
-    model.temperature = fit_temperature(logits, y[calibrate])
+    y = np.array([languages.index(r["lang"]) for r in rows], dtype=np.int64)
+    model.weights = fit_ftrl(SparseRows([(r["place"], r["count"]) for r in rows], idf), y, len(languages))
+
+    # the rest: those spared, those not near, and those behind the last one drawn of their language
+    last: dict[str, int] = {}
+    for r in rows:
+        last[r["lang"]] = max(r["seeded"], last.get(r["lang"], r["seeded"]))
+    end = F.lit(None).cast("long")
+    for name, value in last.items():
+        end = F.when(F.col("lang") == name, F.lit(value)).otherwise(end)
+    model.temperature = _calibrated(seeded.where(spared | ~near | end.isNull() | (F.col("seeded") > end)), model)
     return model
 
 
+def _calibrated(rest: DataFrame, model: Model) -> float:
+    """The best temperature for all rows (text, lang) of `rest`."""
+    sent = rest.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total, n = sent.value, np.zeros((2, len(GRID))), 0
+        number = {name: k for k, name in enumerate(own.languages)}
+        for batch in batches:
+            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            for i in range(0, len(texts), 256):
+                counts, some = own.counts(texts[i:i + 256])
+                y = np.array([number[name] for name in langs[i:i + 256]], dtype=np.int64)
+                total += log_likelihoods(own.vectors(counts[some]) @ own.weights[:-1] + own.weights[-1], y[some])
+                n += int(some.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([k for k in range(2) for _ in GRID], pa.int32()),
+                                          pa.array(list(range(len(GRID))) * 2, pa.int32()), pa.array(total.ravel()),
+                                          pa.array([n] * total.size, pa.int64())], names=["part", "place", "total", "n"])
+
+    got = rest.select("text", "lang").mapInArrow(sums, "part int, place int, total double, n long").groupBy("part", "place").agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n")).orderBy("part", "place").collect()  # 2 x len(GRID)
+    sent.destroy()
+    if not got:
+        return 1.0
+    return best_temperature(np.array([r["total"] for r in got]).reshape(2, -1), got[0]["n"], len(model.languages))
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score of every row, from its whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages

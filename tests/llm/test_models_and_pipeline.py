@@ -71,6 +71,36 @@ def test_ftrl_and_temperature():
     assert t == pytest.approx(7 * language_id.fit_temperature(logits, y), rel=0.1)
 
 
+def test_temperature_rests_on_every_row_that_is_not_fitted(spark, monkeypatch):
+    words = {"en": "the house and some water with old trees", "de": "das Haus und etwas Wasser mit alten Bäumen", "fr": "la maison et une eau avec des arbres"}
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        lang = list(words)[i % 3]
+        mixed = words[lang].split() + words["en"].split()[:4]
+        rows.append((i, " ".join(rng.choice(mixed, 4)), lang, None))
+    rows += [(300, "123 !", "en", None), (301, None, "de", None), (302, "eau", None, None), (None, "Haus", "de", None)]
+    seen = {}
+    monkeypatch.setattr(language_id, "fit_ftrl", lambda x, *a, own=language_id.fit_ftrl: seen.update(fitted=len(x)) or own(x, *a))
+    monkeypatch.setattr(language_id, "_calibrated", lambda rest, model, own=language_id._calibrated: seen.update(
+        rest=[tuple(r) for r in rest.select("id", "text", "lang").collect()]) or own(rest, model))
+    for train_rows in (20, 600):
+        model = language_id.fit(frame(spark, rows), train_rows=train_rows)
+        assert seen["fitted"] + len(seen["rest"]) == 301 and 0 < seen["fitted"] <= 3 * train_rows
+        assert len({r[0] for r in seen["rest"]}) == len(seen["rest"])
+        lettered = [r for r in seen["rest"] if any(c.isalpha() for c in r[1])]
+        counts, some = model.counts([r[1] for r in lettered])
+        assert some.all()
+        logits = model.vectors(counts) @ model.weights[:-1] + model.weights[-1]
+        y = np.array([model.languages.index(r[2]) for r in lettered])
+        # the plain formula, at every temperature
+        wrong = 1 / (len(y) + 2)
+        target = np.full(logits.shape, wrong / 2)
+        target[np.arange(len(y)), y] = 1 - wrong
+        loss = [-(target * np.log(np.maximum(language_id.softmax(logits / t), 1e-300))).sum() for t in language_id.GRID]
+        assert model.temperature == language_id.GRID[int(np.argmin(loss))]
+
+
 # -- decontamination -----------------------------------------------------------------------
 
 ITEMS = [(1, prose(901, 40)), (2, prose(902, 25)), (3, prose(903, 60)), (4, None), (5, ""), (6, "only four words here"),
