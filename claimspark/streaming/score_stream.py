@@ -26,6 +26,11 @@ def request_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: st
     return reader.load(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Stream a table that is one file or a folder of files. A stream's plain path must be a folder, a pattern may match either."""
+    return request_stream(spark, f"{path[:-1]}[{path[-1]}]", schema)
+
+
 def score_requests(requests: DataFrame, id_col: str, text_col: str,
                    version: str = DEFAULT_MODEL_VERSION, partitions: int | None = None) -> DataFrame:
     """Score each request. `partitions` spreads a micro-batch over that many tasks first

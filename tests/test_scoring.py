@@ -103,3 +103,20 @@ def test_only_the_text_crosses_to_python(spark):
     plan = S.score_in_pandas(df, factory(0.5))._jdf.queryExecution().executedPlan().toString()
     udf = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
     assert udf and all("other" not in line.split("],")[0] for line in udf)
+
+
+def test_a_table_of_one_or_many_files_is_streamed_whole(spark):
+    """A folder of part files gave an empty stream: the name pattern was matched against its parts."""
+    from claimspark.plans import queries as Q
+
+    root = scratch_path(spark, "t-tables")
+    docs = spark.createDataFrame([(i, f"Text number {i}") for i in range(20)] + [(20, None)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{root}/documents.parquet")
+    assert sorted(r["doc_id"] for r in Q.q_stream_score(spark, root).collect()) == list(range(21))
+    one = scratch_path(spark, "t-file")
+    docs.coalesce(1).write.parquet(one)
+    (part,) = [f for f in spark.read.parquet(one).inputFiles()]
+    out, ck = scratch_path(spark, "t-out"), scratch_path(spark, "t-ck")
+    requests = ST.table_stream(spark, part, docs.schema)
+    ST.start_scoring(ST.score_requests(requests, "doc_id", "text"), out, ck).awaitTermination()
+    assert spark.read.parquet(out).count() == 21
