@@ -1,7 +1,7 @@
 """TF-IDF in long form: (doc, term, tf, df, idf, weight).
 
 Plan shape:
-  docs --repartition(id)--> explode terms --groupBy(id, term)--> tf    (texts move once, term counts don't)
+  docs --deal(id)--> explode terms --groupBy(id, term)--> tf           (texts move once, term counts don't; a task's share is bounded)
   tf --groupBy(term), partial agg--> df, corpus tf                     (term shuffle)
   tf JOIN vocabulary                                                  (broadcast behind a size
       check; else shuffle join with AQE skew split)
@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import ngrams, tokens
-from claimspark.operators.joins import join_checked
+from claimspark.operators.joins import deal, join_checked
 
 
 def term_frequencies(df: DataFrame, id_col: str = "id", text_col: str = "statement_clean",
                      ngram_max: int = 1) -> DataFrame:
     """(id, term, tf). Documents are dealt by id first, so the counts of a document's terms need no shuffle of their own."""
-    dealt = df.select(id_col, text_col).repartition(id_col)
+    dealt = deal(df.select(id_col, text_col), id_col)
     terms = dealt.select(id_col, F.explode(ngrams(tokens(F.col(text_col)), ngram_max)).alias("term"))
     return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 

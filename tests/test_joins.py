@@ -39,3 +39,18 @@ def test_measured_bytes_counts_text_in_utf8(spark):
     df = spark.createDataFrame([("é" * 10, 1, [1, 2]), (None, 2, None)], "s string, n long, a array<int>")
     assert measured_bytes(df) == 2 * (ROW_BYTES + 8 + 8) + 20 + len('{"a":[1,2]}') + len("{}")
     assert measured_bytes(df.limit(0)) == 0
+
+
+def test_tasks_that_take_documents_apart_grow_with_the_table(spark, tmp_path):
+    """AQE merged the dealt partitions by their shuffled bytes, so a task's words grew with the table."""
+    from claimspark.operators.joins import DEAL_BYTES, deal
+    from claimspark.operators.tfidf import term_frequencies
+
+    path = f"{tmp_path}/docs"
+    spark.range(40).selectExpr("id", "repeat(sha2(string(id), 512), 600) AS text").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    docs = spark.read.parquet(path)
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = -(-size // DEAL_BYTES)
+    assert wanted > 4 and deal(docs, "id").rdd.getNumPartitions() == wanted
+    assert "hashpartitioning(id#" in term_frequencies(docs, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert deal(spark.createDataFrame([(1, "a")], "id int, text string"), "id").rdd.getNumPartitions() <= 4
