@@ -202,3 +202,44 @@ def test_folds_need_not_fit_the_vocabulary_of_all(spark, claims, texts):
             count.setdefault(w, [0, 0])[i % 2] += 1
     assert len(both) == len(first) == 5
     assert all(df == sum(count[t]) for t, df in both.items()) and all(df == count[t][1] for t, df in first.items())
+
+
+def test_a_pass_in_parts_is_the_whole_pass_and_never_has_more_tasks_than_cores(claims, monkeypatch):
+    """Tasks, each with sums of all columns, grew with the rows: their shuffles filled the disk."""
+    import threading
+
+    from pyspark.sql import functions as F
+
+    from claimspark import session
+
+    spark = claims.sparkSession
+    monkeypatch.setattr(S, "ROWS_PER_TASK", 1)
+    rows = claims.limit(60).repartition(20).select(F.col("label_binary").alias("label"), F.lit(0).alias("fold"), "statement_clean")
+    terms = MD.NgramTerms(inputCol="statement_clean", outputCol="terms", ngramMax=1).transform(rows)
+    counted = MD.CountVectorizerModel.from_vocabulary(["aa", "bb", "cc"], inputCol="terms", outputCol="counts").transform(terms)
+    table = S.feature_table(counted, "counts", "label", "fold", 60, np.ones((3, 1)), [-1], True)
+    assert table.tasks <= spark.sparkContext.defaultParallelism
+    points = [(S.Column(0, k, 1.0), np.arange(4.0) / (i + 1)) for i, k in enumerate(("lr", "svm", "lr", "svm"))]
+    turns = [(c, w, w[::-1].copy()) for c, w in points[:3]]
+    whole = S.pass_over(table, points, turns)
+    monkeypatch.setattr(S, "PASS_BYTES", 1)
+    parts = S.pass_over(table, points, turns)
+    np.testing.assert_allclose(np.stack(whole[0]), np.stack(parts[0]), atol=1e-9)
+    np.testing.assert_allclose(whole[1], parts[1])
+    assert whole[2].tolist() == parts[2].tolist()
+    table.close()
+
+    sent = []
+    monkeypatch.setattr(session, "_ship", lambda s: (sent.append(1), setattr(s.sparkContext, "_claimspark_shipped", True)))
+    monkeypatch.setattr(spark.sparkContext, "_claimspark_shipped", False, raising=False)
+    asking = [threading.Thread(target=session.ship_package, args=(spark,)) for _ in range(8)]
+    [t.start() for t in asking]
+    [t.join() for t in asking]
+    assert sent == [1]
+
+
+def test_stored_numbers_keep_their_values():
+    for top in (5, 65535, 65536, 1 << 30):
+        n = np.array([0, 3, top])
+        assert S._wide(S._narrow(n), 3).tolist() == n.tolist()
+    assert S._wide(S._narrow(np.array([], dtype=np.int32)), 0).tolist() == []
