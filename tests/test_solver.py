@@ -243,3 +243,64 @@ def test_stored_numbers_keep_their_values():
         n = np.array([0, 3, top])
         assert S._wide(S._narrow(n), 3).tolist() == n.tolist()
     assert S._wide(S._narrow(np.array([], dtype=np.int32)), 0).tolist() == []
+
+
+def packed(rows, idf, sublinear=True):
+    """Blocks of (label, fold, {term: count}) rows."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    cols = {"indices": [sorted(c) for *_, c in rows], "values": [[float(c[t]) for t in sorted(c)] for *_, c in rows],
+            "label": pa.array([r[0] for r in rows], pa.int32()), "fold": pa.array([r[1] for r in rows], pa.int32())}
+    batch = pa.RecordBatch.from_arrays([pa.array(v) for v in cols.values()], names=list(cols))
+    return list(S._pack(SimpleNamespace(value=idf), sublinear)([batch]))
+
+
+def test_sums_equal_dense_sums_and_a_block_stores_four_bytes_an_entry():
+    """A pass was a third longer on the way to Python, and took the logarithm of every count again."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(2)), int(rng.integers(3)), {int(t): int(n) for t, n in zip(rng.choice(40, 12, False), rng.integers(1, 9, 12))})
+            for _ in range(50)]
+    rows += [(1, 0, {}), (0, 1, {3: 5000, 7: 4096}), (1, 2, {39: 1})]
+    idf = rng.uniform(0.5, 3, (40, 2))
+    blocks = packed(rows, idf)
+    entries = sum(len(r[2]) for r in rows)
+    parts = [p for b in blocks for p in b.to_pylist()]
+    beside = sum(len(p[f]) for p in parts for f in ("indptr", "label", "fold", "norm"))
+    assert sum(len(v) for p in parts for v in p.values() if isinstance(v, bytes)) - beside == 4 * entries
+
+    raw = np.zeros((len(rows), 40))
+    for i, (*_, c) in enumerate(rows):
+        for t, n in c.items():
+            raw[i, t] = 1 + np.log(n)
+    y = np.array([2.0 * r[0] - 1 for r in rows])
+    fold = np.array([r[1] for r in rows])
+    points, bias, view, kind = rng.normal(size=(3, 40)), np.array([0.3, -0.2, 0.1]), np.array([1, 0]), np.array([0, 1])
+    shared = {"u": np.stack([points[0] * idf[:, 1], points[1] * idf[:, 0], points[2] * idf[:, 0]]), "bias": bias, "view": view,
+              "kind": kind, "held": np.array([0, 1]), "evals": 1, "turns": 1, "sublinear": True}
+    got = np.frombuffer(next(S._sum_blocks(SimpleNamespace(value=shared))(iter(blocks))).column("sums")[0].as_py())
+    x = [raw * idf[:, v] for v in (0, 1)]
+    x = [m / np.where(m.any(axis=1), np.linalg.norm(m, axis=1), 1.0)[:, None] for m in x]
+    z = x[1] @ points[0] + bias[0]
+    slope = -y / (1 + np.exp(y * z)) * (fold != 1)
+    gap = 1 - y * (x[0] @ points[1] + bias[1])
+    turn = 2.0 * (gap > 0) * (x[0] @ points[2] + bias[2]) * (fold != 0)
+    want = [np.append(raw.T @ (slope / np.where(raw.any(axis=1), np.linalg.norm(raw * idf[:, 1], axis=1), 1.0)), slope.sum()),
+            np.append(raw.T @ (turn / np.where(raw.any(axis=1), np.linalg.norm(raw * idf[:, 0], axis=1), 1.0)), turn.sum())]
+    np.testing.assert_allclose(got[:82].reshape(2, 41), want, atol=1e-9)
+    assert got[82] == pytest.approx(float((np.logaddexp(0, -y * z) * (fold != 1)).sum()))
+    assert got[83:].sum() == (fold == 1).sum()
+
+
+def test_a_search_goes_no_further_than_the_fit_asks_for():
+    """The last search of a fit went on to a gradient far below its tolerance: a tenth of all passes."""
+    state = S._State(S.Column(0, "lr", 1.0, tol=1e-6), 4)
+    state.start, state.g, state.w = 1.0, np.full(5, 1e-6), np.zeros(5)
+    state._turn()
+    assert state.aim >= 0.99e-7
+    state.g = np.full(5, 1e-3)
+    state._turn()
+    assert state.aim < 0.1 * np.linalg.norm(state.g)
