@@ -9,7 +9,7 @@ A term's postings are cut by weight (a band spans a factor of two) and, within i
 `BLOCK_POSTINGS`. Blocks have a bounded size whatever the term's frequency, and a term that a third of all documents hold is dealt over
 many tasks. Cutting by weight makes a block's largest weight a tight bound; cutting by document says in which part a document must stand.
 
-It is written from packed postings of three to four bytes (`index_build`): texts are read once and stay where they lie, and the
+It is written from packed postings of about four bytes (`index_build`): texts are read once and stay where they lie, and the
 vocabulary is never sent around.
 
 Search, exact (block-max pruning):

@@ -4,7 +4,7 @@
           --squares--> each document's sum of squared weights, by piece, from the shards a task holds
           --cut_blocks--> blocks of (doc, w)
 
-A posting takes three to four bytes on the way from the texts to its shard, and neither texts nor the vocabulary are sent around:
+A posting takes about four bytes on the way from the texts to its shard, and neither texts nor the vocabulary are sent around:
 a document's place in its piece stands for its id, and a term's document frequency is counted where all of its postings meet.
 Tasks hold one slot of a shard at a time, and 20 bytes for each document of the corpus (id, hash, length).
 """
